@@ -26,8 +26,14 @@ def special_tokens_mask(ids: Column, special_ids: Sequence[int]) -> Column:
 
 
 def compress(values: Column, mask: Column) -> Column:
-    """The values whose mask is 0; works for ids and for vectors alike."""
-    return F.filter(values, lambda _, i: F.get(mask, i) == 0)
+    """The values whose mask is 0; works for ids and for vectors alike.
+
+    The arrays are zipped first: an array that a lambda looks into would be computed again for
+    every element.
+    """
+    entries = F.arrays_zip(values.alias("value"), mask.alias("mask"))
+    kept = F.filter(entries, lambda entry: entry["mask"] == 0)
+    return F.transform(kept, lambda entry: entry["value"])
 
 
 def from_end(values: Column, back: int = 1) -> Column:
@@ -53,10 +59,11 @@ def shifted_entries(states: Column, ids: Column) -> Column:
     is the state at ``pos - 1``; the first token has none. One row holds the whole sequence,
     so no window or shuffle is needed.
     """
-    values = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    entries = F.arrays_zip(
+        F.slice(states, F.lit(1), n).alias("key_vector"), F.slice(ids, F.lit(2), n).alias("value_token_id")
+    )
     return F.transform(
-        values,
-        lambda value, i: F.struct(
-            (i + 1).alias("pos"), F.get(states, i).alias("key_vector"), value.alias("value_token_id")
-        ),
+        entries,
+        lambda entry, i: F.struct((i + 1).alias("pos"), entry["key_vector"], entry["value_token_id"]),
     )

@@ -178,13 +178,17 @@ def _cells(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int) -> D
             .select("cell", "v_block", "q_block", "grp", row_id, "vector")
         )
 
-    cell = ("cell", "v_block", "q_block")
-    left = placed(vectors, "vec_id", "v_block", "q_block").groupBy(*cell)
-    right = placed(queries, "query_id", "q_block", "v_block").groupBy(*cell)
+    cell = ["cell", "v_block", "q_block"]
+    left = placed(vectors, "vec_id", "v_block", "q_block")
+    right = placed(queries, "query_id", "q_block", "v_block")
+    # Both sides may come from one table; new names tell their columns apart.
+    right = right.select(*[F.col(c).alias(f"asked_{c}") for c in right.columns])
+    left, right = left.groupBy(*cell), right.groupBy(*[f"asked_{c}" for c in cell])
 
     def run(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         if not vector_rows.num_rows or not query_rows.num_rows:
             return pa.Table.from_batches([], _ARROW_CANDIDATES)
+        query_rows = query_rows.rename_columns([c.removeprefix("asked_") for c in query_rows.column_names])
         best = _Best(*_columns(query_rows, "query_id"), k)
         best.meet(*_columns(vector_rows, "vec_id"))
         return best.emit()
@@ -254,6 +258,31 @@ def _columns(rows: pa.Table | pa.RecordBatch, row_id: str) -> tuple[np.ndarray,
     return rows.column("grp").to_numpy(), rows.column(row_id).to_numpy(), _matrix(vector)
 
 
+def _without_spare_copies(groups: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers in group order, without the copies of a vector beyond the ``k`` with the
+    lowest ids of its group: those are never among the ``k`` nearest of any query. So a large
+    set of copies costs no more than ``k`` vectors."""
+    if not len(ids):
+        return np.arange(0)
+    bits = np.ascontiguousarray(matrix).view(np.uint32).reshape(len(matrix), -1)
+    weights = np.random.default_rng(0).integers(1, 2**63, bits.shape[1], dtype=np.uint64)
+    digest = np.zeros(len(matrix), np.uint64)
+    for s in range(0, len(bits), _GATHER):  # sums wrap around, so equal rows have equal digests
+        digest[s : s + _GATHER] = (bits[s : s + _GATHER] * weights).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((ids, digest, groups))
+    new = np.append(
+        True, (np.diff(groups[order]) != 0) | (digest[order][1:] != digest[order][:-1])
+    )
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, len(order)))
+    keep = np.ones(len(order), bool)
+    for start, length in zip(starts[lengths > k], lengths[lengths > k]):
+        run = order[start : start + length]
+        if (bits[run] == bits[run[0]]).all():  # else two vectors share a digest: keep all
+            keep[start + k : start + length] = False
+    return order[keep]
+
+
 class _Best:
     """The ``k`` best vectors met so far by each query of a block."""
 
@@ -267,9 +296,10 @@ class _Best:
         """Let each query see the vectors of its group."""
         if len(self.ids) and self.matrix.shape[1] != matrix.shape[1]:
             raise ValueError(f"queries have dimension {self.matrix.shape[1]}, vectors {matrix.shape[1]}")
-        order = np.argsort(groups, kind="stable")
         # A vector without a finite length has no distance to anything.
-        order = order[np.isfinite(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)[order])]
+        finite = np.isfinite(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
+        groups, ids, matrix = groups[finite], ids[finite], matrix[finite]
+        order = _without_spare_copies(groups, ids, matrix, self.k)
         groups, ids, matrix = groups[order], ids[order], matrix[order]
         present, starts = np.unique(groups, return_index=True)
         ends = np.append(starts[1:], len(groups))

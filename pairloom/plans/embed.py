@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions import arrays as ar
 from pairloom.functions.text import word_tokens
 from pairloom.operators.batching import BATCH_SIZE, assign_batches, pad_batches
 from pairloom.operators.datastore import datastore_entries
@@ -119,7 +120,8 @@ def build_datastore(
 
 def same_position_groups(source_ids: str, target_ids: str):
     """For each target position the source id at the same position, or the last one there is."""
-    return F.transform(
-        target_ids,
-        lambda _, i: F.get(F.col(source_ids), F.least(i, F.size(source_ids) - 1)),
+    n_source, n_target = F.size(source_ids), F.size(target_ids)
+    return F.concat(
+        F.slice(F.col(source_ids), F.lit(1), n_target),
+        F.array_repeat(ar.from_end(F.col(source_ids)), n_target - n_source),
     )

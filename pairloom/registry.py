@@ -348,7 +348,7 @@ def chars_explode(spark, sf):
 @query(f"""SELECT doc_id, bool_or({ok_sql('line')}) AS any_line_ok
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def any_flags(spark, sf):
-    flags = F.transform(tx.lines(F.col("text")), tx.quality_ok)
+    flags = F.transform(tx.lines(F.col("text")), lambda line: tx.quality_ok(line))
     return table(spark, sf, "documents").select("doc_id", tx.any_of(flags).alias("any_line_ok"))
 
 
@@ -716,11 +716,15 @@ def knn_grouped_cells(spark, sf):
                             source_ids[least(p + 1, len(source_ids))] AS g, s
                      FROM shifted JOIN encoded USING (conv_id, turn) WHERE s IS NOT NULL),
            keys AS (SELECT vec_id, g, s % 97 AS a, s * 2 % 97 AS b, s * 3 % 97 AS c, s * 4 % 97 AS d FROM store),
-           hits AS (SELECT q.vec_id AS query_id, x.vec_id,
+           -- Of equal keys in a group only the three with the lowest ids can be among the nearest.
+           lowest AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY vec_id) <= 3),
+           asked AS (SELECT DISTINCT g, a, b, c, d FROM keys),
+           hits AS (SELECT q.*, x.vec_id,
                            CAST((q.a-x.a)*(q.a-x.a) + (q.b-x.b)*(q.b-x.b) + (q.c-x.c)*(q.c-x.c) + (q.d-x.d)*(q.d-x.d) AS DOUBLE) AS distance
-                    FROM keys q JOIN keys x ON q.g = x.g),
-           best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM hits)
-           SELECT query_id, rank, best.vec_id, value_token_id, distance FROM best JOIN store USING (vec_id) WHERE rank <= 3""")
+                    FROM asked q JOIN lowest x ON q.g = x.g),
+           best AS (SELECT *, CAST(row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY distance, vec_id) AS INTEGER) AS rank FROM hits)
+           SELECT keys.vec_id AS query_id, rank, best.vec_id, value_token_id, distance
+           FROM keys JOIN best USING (g, a, b, c, d) JOIN store ON store.vec_id = best.vec_id WHERE rank <= 3""")
 def datastore_lookup(spark, sf):
     """Each stored key searched in the group of its source token, and the tokens found."""
     store = embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)
