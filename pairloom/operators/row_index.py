@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,10 @@ class RowIndex:
             return rows.withColumn(self.name, position + F.lit(start).cast("long")).drop(_SLOT)
         # One row per range partition: bounded by the number of shuffle partitions.
         starts = rows.sparkSession.createDataFrame(
-            [(part, start) for part, start, _ in spans], "__part long, __start long"
+            pa.table(
+                {"__part": [s[0] for s in spans], "__start": [s[1] for s in spans]},
+                pa.schema([("__part", pa.int64()), ("__start", pa.int64())]),
+            )
         )
         return (
             rows.withColumn("__part", F.shiftright(_SLOT, _POSITION_BITS))
@@ -69,7 +73,11 @@ def _row_hash(df: DataFrame) -> Column:
 
 
 def index_rows(
-    df: DataFrame, *order_by: str | Column, name: str = "row_idx", unique: bool = False
+    df: DataFrame,
+    *order_by: str | Column,
+    name: str = "row_idx",
+    unique: bool = False,
+    partitions: int | None = None,
 ) -> RowIndex:
     """Number the rows of ``df`` in the given order.
 
@@ -82,6 +90,9 @@ def index_rows(
     from. So neither a hot key nor a hot group of copies ends up in one range: at most one
     input partition's share of copies stays together. That partition is the same whenever a
     task runs again.
+
+    The number of ranges is the session's number of shuffle partitions, with small ones joined,
+    unless given.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     columns = df.columns
@@ -89,7 +100,7 @@ def index_rows(
         df = df.withColumns({"__row": _row_hash(df), "__from": F.spark_partition_id()})
         keys += [F.col("__row"), F.col("__from")]
     ordered = (
-        df.repartitionByRange(*keys)
+        df.repartitionByRange(*([partitions] if partitions else []), *keys)
         .sortWithinPartitions(*keys)
         .select(*columns, F.monotonically_increasing_id().alias(_SLOT))
     )

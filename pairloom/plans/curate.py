@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import reject_reason
+from pairloom.session import spread
 from pairloom.sources.bitext import NA_TOKENS, csv_writer, read_bitext
 
 KEPT = "kept"
@@ -43,7 +44,7 @@ def curate_bitext(
 ) -> dict[str, int]:
     """Read a bitext CSV, and write kept and rejected pairs."""
     pairs = read_bitext(spark, input_path, source, target, multiline=multiline, na_tokens=NA_TOKENS)
-    return write_outcomes(pairs, output_path, source, target, **gate)
+    return write_outcomes(spread(pairs), output_path, source, target, **gate)
 
 
 def kept_path(output_path: str) -> str:

@@ -13,6 +13,7 @@ from pairloom.functions import text as tx
 from pairloom.functions import vectors as vec
 from pairloom.operators import batching, datastore, neighbours, row_index, rows, scoring, tokens
 from pairloom.plans import curate, embed, retrieve, translate
+from pairloom.session import spread
 from pairloom.scratch import scratch_path, write_scratch
 from pairloom.sources import bitext, vector_tables
 from pairloom.streaming.curate_stream import curate_stream
@@ -40,6 +41,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, which are costly to work on."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
 def pairs(spark: SparkSession, sf: str, source: str = "source", target: str = "target") -> DataFrame:
     """User turns with the assistant's turn that follows. Joining on conversation *and* turn
     spreads a very long conversation, which a window over it would not."""
@@ -52,13 +58,13 @@ def pairs(spark: SparkSession, sf: str, source: str = "source", target: str = "t
 
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line_no", "line")
     )
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return tokens.tokenize(texts(spark, sf, "documents", "doc_id", "text"), "text").drop("text")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +218,7 @@ def grouped_layout(spark, sf):
 
 @query(f"SELECT doc_id, regexp_matches(text, '{SPREAD_SQL}') AS spread FROM documents")
 def letter_spread(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.letter_spread(F.col("text")).alias("spread"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.letter_spread(F.col("text")).alias("spread"))
 
 
 @query(rf"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_matches(line, '{SPREAD_SQL}') AS spread
@@ -228,7 +234,7 @@ def letter_spread_lines(spark, sf):
            FROM documents""")
 def nonletter_ratio(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id",
         F.length(text).cast("long").alias("n_chars"),
         tx.nonletter_ratio(text).alias("over_65"),
@@ -238,17 +244,17 @@ def nonletter_ratio(spark, sf):
 
 @query(r"""SELECT page_id, CAST(length(regexp_replace(html, '\pL', '', 'g')) AS INTEGER) AS n_nonletters FROM pages""")
 def nonletter_count(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.nonletter_count(F.col("html")).alias("n_nonletters"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", tx.nonletter_count(F.col("html")).alias("n_nonletters"))
 
 
 @query(f"SELECT doc_id, {ok_sql('text')} AS quality_ok FROM documents")
 def quality_mask(spark, sf):
-    return rows.with_quality(table(spark, sf, "documents"), "text").select("doc_id", "quality_ok")
+    return rows.with_quality(texts(spark, sf, "documents", "doc_id", "text"), "text").select("doc_id", "quality_ok")
 
 
 @query(f"SELECT page_id, {ok_sql('html')} AS quality_ok FROM pages")
 def quality_mask_pages(spark, sf):
-    return rows.with_quality(table(spark, sf, "pages"), "html").select("page_id", "quality_ok")
+    return rows.with_quality(texts(spark, sf, "pages", "page_id", "html"), "html").select("page_id", "quality_ok")
 
 
 @query(f"SELECT item_id, {ok_sql('text')} AS quality_ok FROM benchmark")
@@ -263,12 +269,12 @@ def quality_filter(spark, sf):
 
 @query(f"SELECT outcome, count(*) AS n FROM (SELECT {outcome_sql('text')} AS outcome FROM documents) GROUP BY outcome")
 def reject_reasons(spark, sf):
-    return rows.count_outcomes(table(spark, sf, "documents"), "text")
+    return rows.count_outcomes(texts(spark, sf, "documents", "text"), "text")
 
 
 @query(f"SELECT outcome, count(*) AS n FROM (SELECT {outcome_sql('text', '0.30')} AS outcome FROM documents) GROUP BY ALL")
 def reject_reasons_strict(spark, sf):
-    return rows.count_outcomes(table(spark, sf, "documents"), "text", limit=0.30)
+    return rows.count_outcomes(texts(spark, sf, "documents", "text"), "text", limit=0.30)
 
 
 @query(f"""SELECT outcome, count(*) AS n FROM (
@@ -341,7 +347,7 @@ def map_subset(spark, sf):
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch")
 def chars_explode(spark, sf):
-    chars = table(spark, sf, "documents").select(F.explode(tx.characters(F.col("text"))).alias("ch"))
+    chars = texts(spark, sf, "documents", "text").select(F.explode(tx.characters(F.col("text"))).alias("ch"))
     return chars.groupBy("ch").agg(F.count("*").alias("n"))
 
 
@@ -349,7 +355,7 @@ def chars_explode(spark, sf):
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def any_flags(spark, sf):
     flags = F.transform(tx.lines(F.col("text")), lambda line: tx.quality_ok(line))
-    return table(spark, sf, "documents").select("doc_id", tx.any_of(flags).alias("any_line_ok"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.any_of(flags).alias("any_line_ok"))
 
 
 # ---------------------------------------------------------------- rows and batches

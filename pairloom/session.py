@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs in this package want from a session. A cluster's own settings for
 # memory, cores and spark.sql.shuffle.partitions stay with whoever runs it.
@@ -41,6 +41,17 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", **extra: str)
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of a few unsplittable files as many tasks as there are cores.
+
+    A multi-line CSV or a Parquet file of one row group is read by one task, which would do
+    all the work on its rows as well. A scan with enough tasks is left alone, so a large table
+    is never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, once per application.
 
