@@ -9,18 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions import arrays as ar
-from pairloom.operators.row_index import first_rows, index_rows
+from pairloom.operators.row_index import first_rows, number_rows
 
 BATCH_SIZE = 50  # fixed value: default rows per batch
 
 
 def with_batches(numbered: DataFrame, row_idx: str = "row_idx", size: int = BATCH_SIZE) -> DataFrame:
     """Add ``batch_id`` and ``pos_in_batch`` to numbered rows; the last batch may be short."""
-    number = F.col(row_idx)
     return numbered.withColumns(
         {
-            "batch_id": F.floor(number / size).cast("long"),
-            "pos_in_batch": (number % size).cast("int"),
+            "batch_id": F.expr(f"`{row_idx}` div {size}"),  # whole numbers, whatever the size
+            "pos_in_batch": (F.col(row_idx) % size).cast("int"),
         }
     )
 
@@ -29,7 +28,7 @@ def assign_batches(
     df: DataFrame, *order_by: str | Column, size: int = BATCH_SIZE, unique: bool = False
 ) -> DataFrame:
     """Number the rows in the given order and cut them into batches."""
-    return with_batches(index_rows(df, *order_by, unique=unique).table(), size=size)
+    return with_batches(number_rows(df, *order_by, unique=unique), size=size)
 
 
 def collate(batched: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions import vectors as vec
-from pairloom.operators.row_index import index_rows
+from pairloom.operators.row_index import number_rows
 from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
@@ -64,18 +64,22 @@ def require_dimension(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     return df.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def add_vectors(base: DataFrame, new: DataFrame, *order_by: str | Column, vec_id: str = "vec_id") -> DataFrame:
-    """``base`` and, with ids that go on from its highest one in the given order, ``new``."""
+def add_vectors(
+    base: DataFrame,
+    new: DataFrame,
+    *order_by: str | Column,
+    vec_id: str = "vec_id",
+    unique: bool = False,
+) -> DataFrame:
+    """``base`` and, with ids that go on from its highest one in the given order, ``new``.
+
+    Set ``unique`` if the order columns tell the new rows apart: vectors then need no sorting.
+    """
     start = base.agg(F.coalesce(F.max(vec_id) + 1, F.lit(0)).cast("long")).first()[0]
-    numbered = index_rows(new, *order_by, name=vec_id).table()
+    numbered = number_rows(new, *order_by, name=vec_id, unique=unique)
     return base.unionByName(numbered.withColumn(vec_id, F.col(vec_id) + F.lit(start)))
 
 
-def number_vectors(df: DataFrame, *order_by: str | Column, vec_id: str = "vec_id") -> DataFrame:
-    """Vectors with ids from 0 in the given order."""
-    return index_rows(df, *order_by, name=vec_id).table()
-
-
 def result_matrix(found: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """One row per query with its distances and ids as arrays of exactly ``k``.
 
@@ -112,7 +116,8 @@ def search(
     ``vectors`` is ``(vec_id, vector)`` and ``queries`` is ``(query_id, vector)``; with
     ``group``, both have that column and a query only meets vectors of its own group.
     Distances are squared and summed in double; ties go to the lower id. A query with fewer
-    than ``k`` vectors to meet gets fewer rows.
+    than ``k`` vectors to meet gets fewer rows. Ids and groups are whole numbers, and an id
+    tells its row apart.
     """
     ship_package(vectors.sparkSession)
     group_col = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
@@ -121,7 +126,7 @@ def search(
     if right.count() <= broadcast_queries:
         candidates = _scan(left, right.toArrow(), k, grouped=group is not None)
     else:
-        candidates = _cells(left, right, k, block_rows)
+        candidates = _cells(left, right, k, block_rows, grouped=group is not None)
     best = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return (
         candidates.withColumn("rank", F.row_number().over(best))
@@ -155,17 +160,27 @@ def _scan(vectors: DataFrame, block: pa.Table, k: int, grouped: bool) -> DataFra
     return vectors.mapInArrow(run, _CANDIDATES)
 
 
-def _cells(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _cells(
+    vectors: DataFrame, queries: DataFrame, k: int, block_rows: int, grouped: bool
+) -> DataFrame:
     """Candidates per cell of at most about ``block_rows`` vectors and queries."""
-    vectors, large, small_rows = _plan_groups(vectors, queries, block_rows)
+    if grouped:
+        vectors, large, small_rows = _plan_groups(vectors, queries, block_rows)
+        planned = [df.join(large, "grp", "left") for df in (vectors, queries)]
+    else:
+        small_rows = 0
+        blocks = {
+            "is_large": F.lit(True),
+            "v_block": F.lit(-(-vectors.count() // block_rows)),
+            "q_block": F.lit(-(-queries.count() // block_rows)),
+        }
+        planned = [df.withColumns(blocks) for df in (vectors, queries)]
     n_shared = max(1, -(-small_rows // block_rows))
 
     def placed(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-        split = F.coalesce(F.col(own), F.lit(1))
         return (
-            df.join(large, "grp", "left")
             # A large group that only one side has meets nothing.
-            .filter(F.coalesce(F.col(other), F.lit(1)) > 0)
+            df.filter(F.coalesce(F.col(other), F.lit(1)) > 0)
             # A large group has cells of its own; small ones share cells.
             .withColumn(
                 "cell",
@@ -173,14 +188,14 @@ def _cells(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int) -> D
                     F.pmod(F.xxhash64("grp"), F.lit(n_shared))
                 ),
             )
-            .withColumn(own, F.pmod(F.xxhash64(row_id), split).cast("int"))
+            .withColumn(own, F.pmod(F.xxhash64(row_id), F.coalesce(F.col(own), F.lit(1))).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
             .select("cell", "v_block", "q_block", "grp", row_id, "vector")
         )
 
     cell = ["cell", "v_block", "q_block"]
-    left = placed(vectors, "vec_id", "v_block", "q_block")
-    right = placed(queries, "query_id", "q_block", "v_block")
+    left = placed(planned[0], "vec_id", "v_block", "q_block")
+    right = placed(planned[1], "query_id", "q_block", "v_block")
     # Both sides may come from one table; new names tell their columns apart.
     right = right.select(*[F.col(c).alias(f"asked_{c}") for c in right.columns])
     left, right = left.groupBy(*cell), right.groupBy(*[f"asked_{c}" for c in cell])

@@ -117,6 +117,21 @@ def index_rows(
     return RowIndex(stored, tuple(spans), name)
 
 
+def number_rows(
+    df: DataFrame, *order_by: str | Column, name: str = "row_idx", unique: bool = False
+) -> DataFrame:
+    """The rows of ``df`` with their number.
+
+    An index reads its input twice, for range bounds and for the shuffle, and writes it once.
+    If column names that tell rows apart give the order, only those columns go through it, and
+    the numbers are joined back to the other columns.
+    """
+    if not unique or not all(isinstance(c, str) for c in order_by) or set(order_by) == set(df.columns):
+        return index_rows(df, *order_by, name=name, unique=unique).table()
+    numbers = index_rows(df.select(*order_by), *order_by, name=name, unique=True).table()
+    return df.join(numbers, list(order_by)).select(*df.columns, name)
+
+
 def first_rows(df: DataFrame, n: int, *order_by: str | Column) -> DataFrame:
     """The first ``n`` rows in the given order; each task passes on at most ``n``."""
     return df.orderBy(*order_by).limit(n)

@@ -65,10 +65,12 @@ def encode_pairs(
     return EncodedPairs(tokenized, vocabulary)
 
 
-def collate_pairs(encoded: EncodedPairs, *order_by: str, size: int = BATCH_SIZE) -> DataFrame:
+def collate_pairs(
+    encoded: EncodedPairs, *order_by: str, size: int = BATCH_SIZE, unique: bool = False
+) -> DataFrame:
     """Encoded pairs in batches, both sides padded to the longest of their batch."""
     pad = encoded.vocabulary.reserved_id(PAD)
-    batched = assign_batches(encoded.table, *order_by, size=size)
+    batched = assign_batches(encoded.table, *order_by, size=size, unique=unique)
     return pad_batches(batched, {"source_ids": pad, "target_ids": pad})
 
 

@@ -494,7 +494,7 @@ def _sides(df: DataFrame, suffix: str) -> DataFrame:
                       AS target_ids_padded
            FROM sized""")
 def pad_batch(spark, sf):
-    return _sides(embed.collate_pairs(encoded_pairs(spark, sf), *PAIR_KEY), "ids_padded")
+    return _sides(embed.collate_pairs(encoded_pairs(spark, sf), *PAIR_KEY, unique=True), "ids_padded")
 
 
 @query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn,
@@ -504,7 +504,7 @@ def pad_batch(spark, sf):
                       AS target_ids_attention
            FROM sized""")
 def attention_mask(spark, sf):
-    return _sides(embed.collate_pairs(encoded_pairs(spark, sf), *PAIR_KEY), "ids_attention")
+    return _sides(embed.collate_pairs(encoded_pairs(spark, sf), *PAIR_KEY, unique=True), "ids_attention")
 
 
 @query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn,
@@ -513,7 +513,7 @@ def attention_mask(spark, sf):
            FROM sized""")
 def special_tokens_mask(spark, sf):
     encoded = encoded_pairs(spark, sf)
-    collated = embed.collate_pairs(encoded, *PAIR_KEY)
+    collated = embed.collate_pairs(encoded, *PAIR_KEY, unique=True)
     mask = ar.special_tokens_mask(F.col("target_ids_padded"), encoded.vocabulary.special_ids)
     return collated.select(*PAIR_KEY, joined(mask).alias("special_mask"))
 
@@ -588,7 +588,7 @@ def flatten_vectors(spark, sf):
 @query(f"WITH {STATES_SQL} SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token_id, {STATE_COLUMNS_SQL} FROM tgt_states")
 def token_vectors(spark, sf):
     encoded = encoded_pairs(spark, sf)
-    padded = embed.collate_pairs(encoded, *PAIR_KEY)
+    padded = embed.collate_pairs(encoded, *PAIR_KEY, unique=True)
     scored = scoring.score_pairs(padded, "source_ids", "target_ids_padded", stand_ins.make_pair_model)
     flat = scoring.flatten_states(scored, PAIR_KEY, "target_states", "target_ids_padded", "target_ids_attention")
     return flat.select(*PAIR_KEY, "pos", "token_id", *state_columns("vector"))
