@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +22,8 @@ from pairloom.session import ship_package
 PAD, END, UNKNOWN = "<pad>", "</s>", "<unk>"
 
 # A vocabulary up to this size is sent to every worker; a larger one is joined.
-SHARED_VOCABULARY_BYTES = 64 << 20
+# 16 MB are about a million words, and a dictionary of some 150 MB in each worker.
+SHARED_VOCABULARY_BYTES = 16 << 20
 # Of a joined vocabulary the most frequent tokens, at most this many, are broadcast.
 HEAD_TOKENS = 50_000
 HEAD_TOKEN_BYTES = 256
@@ -81,6 +84,13 @@ class Vocabulary:
         return listed.column("token").combine_chunks().cast(pa.string())
 
 
+    @cached_property
+    def shared(self):
+        """A mark of this vocabulary and its tokens, broadcast once for all lookups."""
+        ship_package(self.table.sparkSession)
+        return uuid.uuid4().hex, self.table.sparkSession.sparkContext.broadcast(self.in_order())
+
+
 def build_vocabulary(
     df: DataFrame, *token_columns: str, reserved: Sequence[str] = (PAD, END, UNKNOWN)
 ) -> Vocabulary:
@@ -126,7 +136,7 @@ def encode(
     overrides the choice.
     """
     if vocabulary.fits_in_workers if shared is None else shared:
-        out = df.withColumn(name, _shared_lookup(df, vocabulary, encoding=True)(F.col(tokens)))
+        out = df.withColumn(name, _shared_lookup(vocabulary, encoding=True)(F.col(tokens)))
     else:
         out = _joined_lookup(df, key, tokens, name, vocabulary, "token", "token_id")
     lead = F.array(*[F.lit(i) for i in prefix]).cast("array<int>")
@@ -144,7 +154,7 @@ def ids_to_tokens(
 ) -> DataFrame:
     """Add the token strings of an id column, reserved tokens included."""
     if vocabulary.fits_in_workers if shared is None else shared:
-        return df.withColumn(name, _shared_lookup(df, vocabulary, encoding=False)(F.col(ids)))
+        return df.withColumn(name, _shared_lookup(vocabulary, encoding=False)(F.col(ids)))
     return _joined_lookup(df, key, ids, name, vocabulary, "token_id", "token")
 
 
@@ -194,10 +204,21 @@ def unroll_prefixes(df: DataFrame, key: str | Sequence[str], ids: str) -> DataFr
     return rows.select(*keys, "n", F.slice(F.col(ids), F.lit(1), F.col("n")).alias("prefix"))
 
 
-def _shared_lookup(df: DataFrame, vocabulary: Vocabulary, encoding: bool):
+_ids: dict[str, dict[str, int]] = {}
+
+
+def _ids_by_token(mark: str, shared) -> dict[str, int]:
+    """Ids of a broadcast vocabulary, built once per Python worker process. A worker keeps one
+    vocabulary at a time."""
+    if mark not in _ids:
+        _ids.clear()
+        _ids[mark] = {token: i for i, token in enumerate(shared.value.to_pylist())}
+    return _ids[mark]
+
+
+def _shared_lookup(vocabulary: Vocabulary, encoding: bool):
     """Arrow UDF that maps whole arrays against a vocabulary sent to the workers once."""
-    ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary.in_order())
+    mark, shared = vocabulary.shared
     unknown = vocabulary.reserved_id(UNKNOWN)
 
     def map_values(lists: pa.Array, mapped: pa.Array) -> pa.Array:
@@ -210,8 +231,11 @@ def _shared_lookup(df: DataFrame, vocabulary: Vocabulary, encoding: bool):
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def lookup(tokens: pa.Array) -> pa.Array:
-            found = pc.index_in(tokens.flatten(), value_set=shared.value)
-            return map_values(tokens, pc.fill_null(found.cast(pa.int32()), unknown))
+            # Each distinct token of the batch is looked up once.
+            coded = tokens.flatten().dictionary_encode()
+            ids = _ids_by_token(mark, shared)
+            found = pa.array([ids.get(t, unknown) for t in coded.dictionary.to_pylist()], pa.int32())
+            return map_values(tokens, pc.fill_null(found.take(coded.indices), unknown))
 
     else:
 
