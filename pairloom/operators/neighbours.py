@@ -123,6 +123,8 @@ def search(
     group_col = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
     left = vectors.select(group_col.alias("grp"), F.col("vec_id").cast("long").alias("vec_id"), "vector")
     right = queries.select(group_col.alias("grp"), F.col("query_id").cast("long").alias("query_id"), "vector")
+    if group is not None:  # a row without a group meets nothing
+        left, right = left.filter(F.col("grp").isNotNull()), right.filter(F.col("grp").isNotNull())
     if right.count() <= broadcast_queries:
         candidates = _scan(left, right.toArrow(), k, grouped=group is not None)
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.operators.rows import attach
 from pairloom.scratch import write_scratch
 
 _SLOT = "__slot"  # partition in the high bits, position in it in the low 33 bits
@@ -129,7 +130,7 @@ def number_rows(
     if not unique or not all(isinstance(c, str) for c in order_by) or set(order_by) == set(df.columns):
         return index_rows(df, *order_by, name=name, unique=unique).table()
     numbers = index_rows(df.select(*order_by), *order_by, name=name, unique=True).table()
-    return df.join(numbers, list(order_by)).select(*df.columns, name)
+    return attach(df, numbers, order_by)
 
 
 def first_rows(df: DataFrame, n: int, *order_by: str | Column) -> DataFrame:

@@ -75,3 +75,11 @@ def require_values(df: DataFrame, columns: Sequence[str], accept_blank: bool = F
     name = first_missing(columns, accept_blank)
     message = F.concat(F.lit("Missing required value '"), name, F.lit("'"))
     return df.filter(F.when(name.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` with the other columns of ``extra``, which has one row per key. Null
+    keys meet null keys, so no row is lost."""
+    other = extra.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return df.join(other, same, "left").drop(*[f"__key_{k}" for k in keys])

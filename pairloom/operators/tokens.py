@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pairloom.functions import arrays as ar
 from pairloom.functions.text import word_tokens
 from pairloom.operators.row_index import index_rows
+from pairloom.operators.rows import attach
 from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
@@ -278,4 +279,4 @@ def _joined_lookup(
     gathered = mapped.groupBy(*keys).agg(
         ar.in_order(F.col("pos"), F.coalesce(F.col(to_col), default)).alias(name)
     )
-    return df.join(gathered, keys).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name)))
+    return attach(df, gathered, keys).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name)))

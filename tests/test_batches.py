@@ -43,6 +43,13 @@ def test_copies_are_spread_over_ranges(spark):
     assert tuple(positions) == (30000, 0, 29999)
 
 
+def test_numbering_by_key_keeps_other_columns_and_null_keys(spark):
+    df = spark.createDataFrame([("b", "x", 1), (None, "y", 2), ("a", "z", 3), ("a", None, 4)], "k string, l string, v int")
+    rows = row_index.number_rows(df, "k", "l", unique=True)
+    assert rows.columns == ["k", "l", "v", "row_idx"]
+    assert {r["v"]: r["row_idx"] for r in rows.collect()} == {2: 0, 4: 1, 3: 2, 1: 3}
+
+
 def test_empty_table(spark):
     index = row_index.index_rows(spark.range(0), "id")
     assert index.total == 0 and index.table().count() == 0 and index.at(0).count() == 0

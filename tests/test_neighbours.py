@@ -124,6 +124,14 @@ def test_a_vector_that_is_not_finite_is_no_neighbour(spark, form):
     assert hits(neighbours.search(df, frame(spark, [[0.0]], id_name="query_id"), 4, **FORMS[form])) == {0: [(0, 1.0), (3, 4.0)]}
 
 
+@each_form
+def test_a_row_without_a_group_meets_nothing(spark, form):
+    df = frame(spark, [[1.0], [2.0], [3.0]], groups=[1, 1, 2])
+    df = df.withColumn("grp_id", F.when(F.col("vec_id") > 0, F.col("grp_id")))
+    found = neighbours.search(df, df.withColumnRenamed("vec_id", "query_id"), 3, group="grp_id", **FORMS[form])
+    assert hits(found) == {1: [(1, 0.0)], 2: [(2, 0.0)]}
+
+
 @each_form
 def test_mixed_dimensions_fail(spark, form):
     df = frame(spark, [[1.0, 2.0], [1.0]])

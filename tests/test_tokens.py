@@ -47,6 +47,12 @@ def test_prefix_suffix_and_decode(docs, vocabulary):
     assert by_id(decoded, "text") == {1: "b a b c", 2: "a b b Ü", 3: "", 4: None}
 
 
+def test_a_null_key_keeps_its_row(spark, vocabulary):
+    df = spark.createDataFrame([(None, ["a"]), (1, ["b"])], "id int, tokens array<string>")
+    for shared in (True, False):
+        assert by_id(tokens.encode(df, "id", "tokens", vocabulary, shared=shared), "ids") == {None: [4], 1: [3]}
+
+
 def test_id_out_of_range_is_unknown(spark, vocabulary):
     df = spark.createDataFrame([(1, [-1, 99, 3])], "id int, ids array<int>")
     for shared in (True, False):
