@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import l2_normalize
 from pairloom.operators.neighbours import NEIGHBOURS, require_dimension, search
 from pairloom.operators.row_index import first_rows
+from pairloom.sources.vector_tables import read_groups_of
 
 
 def normalized(df: DataFrame, vector: str = "vector") -> DataFrame:
@@ -37,3 +38,21 @@ def search_first(vectors: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
     index = normalized(vectors)
     queries = first_rows(vectors, n, "vec_id").withColumnRenamed("vec_id", "query_id")
     return search(index, normalized(queries), k)
+
+
+def search_store(
+    path: str,
+    queries: DataFrame,
+    group: str,
+    n_buckets: int,
+    k: int = NEIGHBOURS,
+    vector: str = "vector",
+    **limits,
+) -> DataFrame:
+    """Search a store written by group: only the buckets of the queries' groups are read.
+
+    The store has ``vec_id``, the group and the vector column; ``queries`` has ``query_id``, the
+    group and ``vector``. Vectors are taken as they are on both sides.
+    """
+    stored = read_groups_of(queries.sparkSession, path, group, n_buckets, queries)
+    return search(stored.withColumnRenamed(vector, "vector"), queries, k, group, **limits)

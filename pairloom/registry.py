@@ -714,6 +714,15 @@ def knn_grouped_cells(spark, sf):
     return _rounded(found)
 
 
+@query(_knn_sql("q.label = x.label"))
+def knn_stored(spark, sf):
+    path = scratch_path(spark, "grouped")
+    unit = retrieve.normalized(vectors(spark, sf))
+    vector_tables.write_grouped(unit, path, "label", 4)
+    queries = unit.withColumnRenamed("vec_id", "query_id")
+    return _rounded(retrieve.search_store(path, queries, "label", 4))
+
+
 @query(f"""WITH {STATES_SQL},
            kept AS (SELECT conv_id, turn, p, s, id FROM ids JOIN (SELECT conv_id, turn, pos AS p, s FROM tgt_states)
                     USING (conv_id, turn, p) WHERE side = 'target' AND id > 4),

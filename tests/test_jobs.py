@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import glob
+import re
 
 from pyspark.sql import functions as F
 
 from pairloom import stand_ins
 from pairloom.operators import datastore
-from pairloom.plans import curate, embed
+from pairloom.plans import curate, embed, retrieve
 from pairloom.scratch import drop_scratch, scratch_path, write_scratch
 from pairloom.sources import bitext, vector_tables
 from pairloom.streaming.curate_stream import curate_stream
@@ -71,6 +72,21 @@ def test_group_lookup_prunes_buckets_and_pushes_the_group(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan and "In(g, [7,9])" in plan
 
 
+def test_stored_search_reads_the_buckets_of_its_queries(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.range(400).select(
+        F.col("id").alias("vec_id"), (F.col("id") % 20).alias("g"), F.array(F.col("id").cast("float")).alias("vector")
+    )
+    vector_tables.write_grouped(df, path, "g", 8)
+    queries = df.filter("g in (3, 4)").withColumnRenamed("vec_id", "query_id")
+    read = vector_tables.read_groups_of(spark, path, "g", 8, queries)
+    assert read.count() == 40
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#", read._jdf.queryExecution().executedPlan().toString())
+    found = retrieve.search_store(path, queries, "g", 8, k=2).collect()
+    assert len(found) == 80 and all((r["vec_id"] == r["query_id"]) == (r["rank"] == 1) for r in found)
+    assert {abs(r["vec_id"] - r["query_id"]) for r in found if r["rank"] == 2} == {20}
+
+
 def test_a_hot_group_is_written_by_several_tasks(spark, tmp_path):
     path = str(tmp_path / "hot")
     df = spark.range(0, 40000, 1, 8).select("id", F.lit(1).alias("g"), F.array_repeat(F.rand(1), 16).alias("v"))
