@@ -73,6 +73,18 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*hashable)
 
 
+def _range_count(df: DataFrame) -> int:
+    """Number of ranges: one per MB of the planner's size estimate, up to the session's number of
+    shuffle partitions.
+
+    A fixed number keeps adaptive execution from joining ranges by their compressed size, which
+    would put a mass of copies, being small when compressed, in a few tasks again.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, estimate >> 20))
+
+
 def index_rows(
     df: DataFrame,
     *order_by: str | Column,
@@ -92,8 +104,7 @@ def index_rows(
     input partition's share of copies stays together. That partition is the same whenever a
     task runs again.
 
-    The number of ranges is the session's number of shuffle partitions, with small ones joined,
-    unless given.
+    Large tables get as many ranges as the session has shuffle partitions, unless given.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     columns = df.columns
@@ -101,7 +112,7 @@ def index_rows(
         df = df.withColumns({"__row": _row_hash(df), "__from": F.spark_partition_id()})
         keys += [F.col("__row"), F.col("__from")]
     ordered = (
-        df.repartitionByRange(*([partitions] if partitions else []), *keys)
+        df.repartitionByRange(partitions or _range_count(df), *keys)
         .sortWithinPartitions(*keys)
         .select(*columns, F.monotonically_increasing_id().alias(_SLOT))
     )
