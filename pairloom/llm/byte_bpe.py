@@ -176,7 +176,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Piece to its place in flat lists of ids and token lengths; cleared when it grows large."""
 
-    MOST_PIECES, LONGEST = 400_000, 512
+    MOST_PIECES, LONGEST = 200_000, 512
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.session import spread
 
-BATCH_CHARS = 1 << 21  # texts are worked on in chunks of about this many characters
+BATCH_CHARS = 1 << 20  # texts are worked on in chunks of about this many characters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

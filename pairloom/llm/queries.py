@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import byte_bpe
+from pairloom.llm import byte_bpe, chat_format, decontaminate, simhash_dedup
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.component_digests(table(spark, sf_dir, "documents"))
+
+
+@query(chat_format.oracle_sql())
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.format_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
+
+
+@query(decontaminate.oracle_sql())
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
