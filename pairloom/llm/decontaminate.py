@@ -27,34 +27,40 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def let(value: Column, make) -> Column:
+    """``make(value)`` with the value worked out once, however often ``make`` uses it.
+
+    A named column is no such promise: the optimizer may write its expression into every use,
+    and inside a lambda that is once per element.
+    """
+    return F.transform(F.array(value), make)[0]
+
+
 def _windows(items: Column, width: int, make) -> Column:
-    """``make`` of each window's start; fewer elements than ``width`` are one window, none gives none."""
-    last = F.greatest(F.size(items) - width, F.lit(0))
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), make)).otherwise(F.array())
+    """``make(array, start)`` of each window; fewer elements than ``width`` are one window, none gives none."""
 
+    def windows(array: Column) -> Column:
+        last = F.greatest(F.size(array) - width, F.lit(0))
+        return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: make(array, i))).otherwise(F.array())
 
-def shingle_hashes(items: Column, width: int) -> Column:
-    """Hash of each window over an array of word hashes."""
-    return _windows(items, width, lambda i: F.xxhash64(*(F.get(items, i + j) for j in range(width))))
+    return let(items, windows)
 
 
-def shingles(items: Column, width: int) -> Column:
-    """Text of each window over an array of words, without repeats."""
-    return F.array_distinct(_windows(items, width, lambda i: F.array_join(F.slice(items, i + 1, width), " ")))
+def shingle_hashes(text_words: Column, width: int) -> Column:
+    """Hash of each window of words, by way of word hashes."""
+    hashed = F.transform(text_words, lambda w: F.xxhash64(w))
+    return _windows(hashed, width, lambda a, i: F.xxhash64(*(F.get(a, i + j) for j in range(width))))
 
 
-def _hashed(df: DataFrame, width: int) -> DataFrame:
-    """``hashes`` of the column ``words``, by way of word hashes."""
-    return df.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn(
-        "hashes", shingle_hashes(F.col("word_hashes"), width)
-    )
+def shingles(text_words: Column, width: int) -> Column:
+    """Text of each window of words, without repeats."""
+    return F.array_distinct(_windows(text_words, width, lambda a, i: F.array_join(F.slice(a, i + 1, width), " ")))
 
 
 def sketches(items: DataFrame, width: int, containment: float) -> DataFrame:
     """``(item_key, size_class, hash)``: the sketch of each item; items without a word have none."""
-    sized = _hashed(items.select("item_key", words(F.col("item_text")).alias("words")), width).select(
-        "item_key", F.array_sort(F.array_distinct("hashes")).alias("hashes")
-    )
+    hashes = F.array_sort(F.array_distinct(shingle_hashes(words(F.col("item_text")), width)))
+    sized = items.select("item_key", hashes.alias("hashes"))
     size_class = F.ceil(F.log2(F.size("hashes"))).cast("int")
     largest = F.pow(F.lit(2), F.col("size_class"))
     length = largest - F.ceil(F.lit(containment) * largest - 1e-9).cast("int") + 1
@@ -92,9 +98,7 @@ def contained_items(
     index = write_scratch(sketches(items, width, containment).select("item_key", "hash").distinct(), "sketches")
     small = _small(index)
     heads = index.select("hash").distinct()
-    seen = _hashed(docs.select("doc_key", words(F.col("doc_text")).alias("words")), width).select(
-        "doc_key", F.explode("hashes").alias("hash")
-    )
+    seen = docs.select("doc_key", F.explode(shingle_hashes(words(F.col("doc_text")), width)).alias("hash"))
     # Only hits go on, once per document and hash; then they meet the items of that hash.
     hits = seen.join(F.broadcast(heads) if small else heads, "hash").distinct()
     pairs = write_scratch(hits.join(F.broadcast(index) if small else index, "hash").select("doc_key", "item_key").distinct(), "candidates")
