@@ -24,7 +24,7 @@ def texts(df: DataFrame, *columns: str) -> DataFrame:
 
 def fold(key: Column | str, folds: int) -> Column:
     """Remainder of the CRC of a key's decimal form; null keys count as the empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")) % folds
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % folds
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
