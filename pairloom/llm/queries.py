@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import byte_bpe, chat_format, decontaminate, language_id, simhash_dedup, suffix_dedup, toxicity
+from pairloom.llm import byte_bpe, chat_format, decontaminate, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query(chat_format.oracle_sql())
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
