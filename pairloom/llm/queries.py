@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import byte_bpe, chat_format, decontaminate, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity
+from pairloom.llm import byte_bpe, chat_format, decontaminate, html_text, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+@query()
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query(chat_format.oracle_sql())
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"

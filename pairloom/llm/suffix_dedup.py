@@ -40,7 +40,7 @@ from pairloom.session import ship_package
 
 GRAM = 28  # bytes that an anchor's hash covers
 CROWDED = 2_000  # contexts of one hash from which on they are cut to windows
-SHARD_BYTES = 1 << 20  # text of one index, about; whole hashes are kept together
+SHARD_BYTES = 1 << 17  # text of one index, about; whole hashes are kept together. Its arrays fit a core's cache
 
 # ---------------------------------------------------------------- anchors
 
@@ -129,12 +129,17 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         out[: max(0, n - by)] = x[by:]
         return out
 
-    rank, have = codes + 1, 1
-    while True:
-        order, rank = ranked(rank * (int(rank.max()) + 1) + shifted(rank, have))
+    # As many symbols as a number holds give the first ranks.
+    bits, have = int(codes.max() + 1).bit_length(), 1
+    first = codes + 1
+    while 2 * have * bits < 63:
+        first = (first << (have * bits)) + shifted(first, have)
+        have *= 2
+    order, rank = ranked(first)
+    while have < depth and rank[order[-1]] < n:
+        order, rank = ranked(rank * (n + 1) + shifted(rank, have))
         have *= 2
-        if have >= depth or rank[order[-1]] == n:
-            return order
+    return order
 
 
 def _match(codes: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
