@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import byte_bpe, chat_format, decontaminate, html_text, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity
+from pairloom.llm import byte_bpe, chat_format, decontaminate, html_text, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity, url_filter
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
 
 
+@query(url_filter.oracle_sql())
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(url_filter.captures_of(pages), url_filter.entries_of(pages))
+    return judged.withColumn("fetched", judged["fetched"].cast("string"))
+
+
 @query(decontaminate.oracle_sql())
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
