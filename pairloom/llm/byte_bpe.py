@@ -72,7 +72,7 @@ _BLOCK = 256
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def code_classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or BLANK of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
     for code in range(0x110000):
@@ -87,7 +87,7 @@ def _classes() -> np.ndarray:
 
 def symbols(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Symbols of code points; ``breaks`` are the positions between texts."""
-    kinds = _classes()[codes]
+    kinds = code_classes()[codes]
     kinds[breaks] = BREAK
     out = kinds.copy()
     following = np.append(kinds[1:], BREAK)

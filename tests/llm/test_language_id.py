@@ -13,18 +13,23 @@ from pairloom.llm import language_id as lid
 SF_DIR = "/root/testdata/sf0.01"
 
 
-def plain_prediction(text, profiles):
-    counts = Counter()
+def plain_grams(text):
+    """Numbers of the n-grams, word by word: 21 bits per letter, 1 for a word's ends."""
+    out = Counter()
     for word in regex.findall(r"\p{L}+", (text or "").lower()):
-        marked = "_" + word + "_"
+        marked = [1, *map(ord, word), 1]
         for n in (1, 2, 3):
-            counts.update(g for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_")
+            for i in range(len(marked) - n + 1):
+                if marked[i : i + n] != [1]:
+                    out[sum(c << 21 * (n - 1 - j) for j, c in enumerate(marked[i : i + n]))] += 1
+    return out
+
+
+def plain_prediction(text, profiles):
+    counts = plain_grams(text)
     if not counts or not profiles:
         return "und", 0.0
-    from hashlib import blake2b
-
-    key = lambda g: int.from_bytes(blake2b(g.encode(), digest_size=8).digest(), "big")
-    top = sorted(counts, key=lambda g: (-counts[g], key(g)))[:300]
+    top = sorted(counts, key=lambda g: (-counts[g], g))[:300]
     apart = {}
     for language, grams in profiles.items():
         place = {g: i for i, g in enumerate(grams)}
@@ -42,8 +47,7 @@ def test_profiles_and_predictions(docs):
     profiles = lid.train_profiles(docs.filter("doc_id < 200"))
     counts: dict = {}
     for row in docs.filter("doc_id < 200").collect():
-        for word in regex.findall(r"\p{L}+", row["text"].lower()):
-            counts.setdefault(row["lang"], Counter()).update(lid.grams_of(word))
+        counts.setdefault(row["lang"], Counter()).update(plain_grams(row["text"]))
     assert profiles == {k: sorted(c, key=lambda g: (-c[g], g))[:300] for k, c in counts.items()}
     some = docs.filter("doc_id BETWEEN 300 AND 360")
     found = {r["doc_id"]: (r["lang_pred"], pytest.approx(r["score"])) for r in lid.predict_languages(some, profiles).collect()}
