@@ -8,6 +8,10 @@ join on segment and value meets every pair, and the whole fingerprints are then
 A segment value shared by very many fingerprints would meet all their pairs. Fingerprints with
 such a value instead look up, by an equality join on whole fingerprints, each fingerprint that
 differs from them by few enough bits. Nothing is dropped in either form.
+
+For near copies that differ in more than a few bits (``near_copies``) fingerprints are longer, and
+segments (bands) are indexed the same way; with many bands one is likely to differ by at most one
+bit. There, members of a bucket are linked by a spanning forest of their close pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import texts
@@ -30,27 +34,37 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str, width: int) -> int:
-    """64-bit SimHash over ``width``-word shingles, repeats included, as an unsigned number.
+def shingle_hashes(text: str, width: int) -> bytes:
+    """XXH64 of each ``width``-word shingle, repeats included, 8 bytes each, highest first.
 
     Words are runs without ASCII white space, after lower-casing A-Z. Fewer words than ``width``
-    are one shingle; no word gives zero.
+    are one shingle; no word gives none.
     """
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return b""
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     joined = memoryview(b" ".join(words))
     n = max(1, len(words) - width + 1)
     first, last = starts[:n].tolist(), ends[min(width, len(words)) - 1 :][:n].tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[i:j], SEED) for i, j in zip(first, last)])
+    return b"".join([digest(joined[i:j], SEED) for i, j in zip(first, last)])
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, highest bit first."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 19):  # blocks, so that a long text needs no large array
-        rows = np.frombuffer(hashes[at : at + (1 << 19)], np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 1 << 16):  # blocks, so that a long text needs no large array
+        rows = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return counts
+
+
+def fingerprint(text: str, width: int) -> int:
+    """64-bit SimHash over a text's shingles, as an unsigned number; zero without a word."""
+    hashes = np.frombuffer(shingle_hashes(text, width), ">u8")
+    return int.from_bytes(np.packbits(_bit_counts(hashes) * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,3 +163,133 @@ def component_digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# ---------------------------------------------------------------- near copies by long fingerprints
+
+BANDS, BAND_BITS = 21, 24
+LONG_BITS = BANDS * BAND_BITS  # kept in eight 64-bit words, the last byte unused
+BUCKET = 2_048  # members of a bucket that are compared in one go; larger buckets are compared in pairs of parts
+_SALTS = np.random.default_rng(7).integers(0, 1 << 64, 8, np.uint64)
+
+
+def long_fingerprint(text: str, width: int) -> bytes:
+    """SimHash of ``LONG_BITS`` bits in 64 bytes; all zero without a word."""
+    hashes = np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64)
+    words = []
+    for salt in _SALTS:
+        mixed = (hashes ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        words.append(np.packbits(_bit_counts(mixed ^ (mixed >> np.uint64(29))) * 2 > len(hashes)).tobytes())
+    return b"".join(words)[: LONG_BITS // 8] + b"\0"
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which two texts whose shingle sets have this Jaccard similarity differ, and one standard error more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(LONG_BITS * share + np.sqrt(LONG_BITS * share * (1 - share)))
+
+
+def forest(prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever close pairs connect; prints are rows of eight numbers."""
+    n = len(prints)
+    close = np.empty((n, n), bool)
+    for at in range(0, n, 128):
+        close[at : at + 128] = np.bitwise_count(prints[at : at + 128, None] ^ prints[None]).sum(axis=2, dtype=np.int32) <= limit
+    edges, left = [], np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(close[i] & left)
+            left[found] = False
+            todo += found.tolist()
+            edges += [(i, j) for j in found.tolist()]
+    return edges
+
+
+def _link_buckets(limit: int):
+    """Rows come sorted by bucket; each bucket is at most two parts of about ``BUCKET`` members."""
+
+    def close(bucket: dict[int, bytes]) -> list[tuple[int, int]]:
+        nodes = list(bucket)
+        if len(nodes) < 2:
+            return []
+        return [(nodes[i], nodes[j]) for i, j in forest(np.frombuffer(b"".join(bucket.values()), np.uint64).reshape(-1, 8), limit)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, last, edges = {}, None, []
+        for batch in batches:
+            for *key, node, found in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "print"))):
+                if key != last:
+                    edges += close(bucket)
+                    bucket, last = {}, key
+                bucket[node] = found
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+            edges = []
+        edges = close(bucket)
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: its key, ``print`` and ``component_id``, the smallest key among its near copies.
+
+    Near copies are texts whose long fingerprints differ by no more than texts of the given
+    Jaccard similarity do, give or take one standard error (0.02 of similarity), and which share
+    a band but for one bit: nine in ten pairs at similarity 0.8, and 99 in 100 from 0.88 on. Links
+    are followed. Texts without a word are copies of each other. Repeated rows come back
+    repeated; a null key never becomes a component's id unless the component has no other.
+    """
+    ship_package(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [long_fingerprint(x.as_py() or "", width) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(values, pa.binary())], [key, "print"])
+
+    prints = write_scratch(texts(docs, key, "text").mapInArrow(run, f"`{key}` {kind}, print binary"), "prints")
+    first = F.min(key)
+    nodes = prints.groupBy("print").agg(first.alias("first_key"))
+    nodes = write_scratch(nodes.withColumn("node", F.xxhash64("print")), "nodes")
+    hexed = F.hex("print")
+    bands = F.array(*(F.conv(F.substring(hexed, 1 + i * BAND_BITS // 4, BAND_BITS // 4), 16, 10).cast("long") + F.lit(i << BAND_BITS) for i in range(BANDS)))
+    stored = nodes.select("node", F.explode(bands).alias("key"))
+    # Every band as it is, and with each of its set bits deleted in turn.
+    deleted = F.array(*(F.when(F.col("key").bitwiseAND(F.lit(1 << i)) != 0, F.col("key").bitwiseAND(F.lit(~(1 << i)))) for i in range(BAND_BITS)))
+    indexed = stored.select("node", "key", F.explode(F.concat(F.array("key"), F.filter(deleted, lambda x: x.isNotNull()))).alias("bucket")).select("node", "bucket", (F.col("bucket") == F.col("key")).alias("whole"))
+    members = Window.partitionBy("bucket")
+    # A bucket with one member, or with deletions only, links nothing.
+    shared = (
+        indexed.repartition("bucket")
+        .withColumns({"n": F.count("*").over(members), "wholes": F.count_if(F.col("whole")).over(members)})
+        .filter("n > 1 AND wholes > 0")
+    )
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    met = write_scratch(
+        shared.select("node", F.col("bucket").alias("key"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("node", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")),
+        "met",
+    )
+    dealt = met.join(nodes.select("node", "print"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    edges = dealt.select("key", "low", "high", "node", "print").mapInArrow(_link_buckets(most_bits(similarity)), "a long, b long")
+    found = write_scratch(components(edges), "members")
+    rooted = nodes.join(found, "node", "left").select("print", "first_key", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_key").alias("component_id"))
+    named = rooted.select("print", "root").join(least, "root").select("print", "component_id")
+    return prints.join(named, "print")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of smallest key, once; all columns stay.
+
+    Rows with a null key are kept if their group has no other; equal ones once.
+    """
+    groups = near_copies(docs.select(key, "text"), key=key, **options)
+    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key, "text"])

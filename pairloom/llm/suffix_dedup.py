@@ -357,10 +357,13 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("spans"))
 
 
-def _cut_out(text_column: str):
+def _cut_out(as_text: bool):
+    kind = pa.string() if as_text else pa.binary()
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, values in chunks(batch, text_column):
+            for rows, values in chunks(batch, "text"):
                 kept, removed = [], []
                 for text, spans in zip(values, rows.column("spans").to_pylist()):
                     data, at, out = text.encode(), 0, []
@@ -368,47 +371,51 @@ def _cut_out(text_column: str):
                     for begin, end in joined:
                         out.append(data[at:begin])
                         at = end
-                    out.append(data[at:])
-                    kept.append(b"".join(out))
+                    left = b"".join([*out, data[at:]])
+                    kept.append(left.decode(errors="ignore") if as_text else left)
                     removed.append([{"begin": b, "end": e} for b, e in joined])
-                span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc"), rows.column("tie"), rows.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(span))],
-                    ["doc", "tie", "n_bytes", "kept", "removed"],
+                    [rows.column("rest"), rows.column("n_bytes"), pa.array(kept, kind), pa.array(removed, span)], ["rest", "n_bytes", "kept", "removed"]
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: key, ``n_bytes``, ``kept`` (binary, what is left) and ``removed`` (byte ranges).
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """``docs`` without its text, with ``n_bytes``, ``kept`` (what is left) and ``removed`` (byte ranges).
 
-    The key must be a whole number. A null text is empty; a text shorter than ``length`` loses
-    nothing. Rows that share key and text are one document and come back alike, once per row; of
-    rows that share only the key, the order is by a hash of the text. A null key comes last.
-    Other columns are ignored.
+    ``kept`` is binary, since a cut may fall inside a character; ``as_text`` makes it a string
+    without the parts of such characters. The key must be a whole number. A null text is empty; a
+    text shorter than ``length`` loses nothing. Rows that share key and text are one document and
+    come back alike, once per row; of rows that share only the key, the order is by a hash of the
+    text. A null key comes last. Columns named ``n_bytes``, ``kept`` or ``removed`` are replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    last = (1 << 63) - 1
-    rows = texts(docs, F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c not in ("text", "n_bytes", "kept", "removed")]
+    rows = texts(
+        docs,
+        F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"),
+    )
     # The text's hash only matters for keys that are not unique.
-    shared = rows.groupBy("doc").count().filter("count > 1").select("doc", F.lit(True).alias("shared"))
-    shared = write_scratch(shared, "shared")
-    if shared.isEmpty():
-        rows = rows.withColumn("tie", F.lit(0).cast("long"))
-    else:
-        rows = rows.join(shared, "doc", "left").withColumn("tie", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)).drop("shared")
-    rows = rows.select("doc", "tie", "text")
-    spans = _repeated_spans(rows, length)
-    out = rows.join(spans, ["doc", "tie"], "left").select("doc", "tie", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
-    cut = out.mapInArrow(_cut_out("text"), "doc long, tie long, n_bytes long, kept binary, removed array<struct<begin: int, end: int>>")
-    return cut.select(F.when(F.col("doc") != last, F.col("doc")).alias(key), "n_bytes", "kept", "removed")
+    shared = write_scratch(rows.groupBy("doc").count().filter("count > 1").select("doc", F.lit(True).alias("shared")), "shared")
+    tie = F.lit(0).cast("long")
+    if not shared.isEmpty():
+        rows = rows.join(shared, "doc", "left")
+        tie = F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)
+    rows = rows.select("doc", tie.alias("tie"), "text", "rest")
+    spans = _repeated_spans(rows.select("doc", "tie", "text"), length)
+    out = rows.join(spans, ["doc", "tie"], "left").select("rest", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
+    kind = out.schema["rest"].dataType.simpleString()
+    schema = f"rest {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<begin: int, end: int>>"
+    return out.mapInArrow(_cut_out(as_text), schema).select("rest.*", "n_bytes", "kept", "removed")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, digest of what is left."""
-    return remove_repeats(docs).select(
+    return remove_repeats(docs.select("doc_id", "text")).select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def test_links_are_all_close_pairs(spark, drifting, distance, hot):
         for b in drifting[:i]
         if (a ^ b).bit_count() <= distance
     }
-    assert found == wanted and len(wanted) > 300
+    assert found == wanted and len(wanted) > 150
 
 
 def test_components_of_chains_and_stars(spark):
@@ -97,3 +98,47 @@ def test_texts(spark):
     assert sorted((str(r[0]), r[1], r[2]) for r in found) == wanted
     assert sim.component_digests(docs.limit(0)).collect() == []
     assert docs.filter("doc_id = 100").select(F.length("text")).first()[0] is None
+
+
+def test_forest_connects_close_pairs():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 64, (8, 8), np.uint64)
+    prints = base[rng.integers(0, 8, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 8), np.uint64))
+    edges = sim.forest(prints, 12)
+    root = list(range(300))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        assert int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= 12
+        root[find(a)] = find(b)
+    ints = [int.from_bytes(p.tobytes(), "little") for p in prints]
+    wanted = brute_components(ints, 12)
+    assert len({(find(i), w) for i, w in enumerate(wanted)}) == len(set(wanted)) == 300 - len(edges)
+
+
+@pytest.mark.parametrize("bucket", [2_048, 3])
+def test_near_copies(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sim, "BUCKET", bucket)
+    dice = random.Random(6)
+    rows, group = [], {}
+    for g in range(40):
+        base = ["w%d" % dice.randrange(3000) for _ in range(200)]
+        for c in range(dice.choice((1, 1, 2, 6))):
+            words = list(base)
+            for _ in range(dice.randrange(3) if c else 0):
+                words[dice.randrange(len(words))] = "edit%d" % dice.randrange(99)
+            key = len(rows) * 7 % 1000
+            rows.append((key, " ".join(words), "x"))
+            group[key] = g
+    found = {r["doc_id"]: r["component_id"] for r in sim.near_copies(spark.createDataFrame(rows, "doc_id long, text string, print string")).collect()}
+    least = {g: min(k for k in group if group[k] == g) for g in group.values()}
+    assert found == {k: least[g] for k, g in group.items()}
+    odd = [(2000, None, "a"), (2001, "", "b"), (None, "only here once", "c"), (None, "only here once", "c"), rows[0], (-1, rows[0][1], "d")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, print string")
+    kept = sorted(str(r["doc_id"]) for r in sim.one_of_each(docs).collect())
+    assert kept == sorted([str(k) for k in set(least.values()) - {least[group[rows[0][0]]]}] + ["2000", "None", "-1"])
+    assert sim.one_of_each(docs.limit(0)).collect() == [] and sim.one_of_each(docs).columns == docs.columns
