@@ -53,7 +53,8 @@ def in_order(pos: Column, value: Column) -> Column:
 
 
 def shifted_entries(states: Column, ids: Column) -> Column:
-    """Array of ``(pos, key, value)``: the state before a token, and that token.
+    """Array of ``(pos, key, value, key token)``: the state before a token, that token, and the one
+    before it, whose state it is.
 
     States are those after reading each token, so the key of the token at ``pos`` (0-based)
     is the state at ``pos - 1``; the first token has none. One row holds the whole sequence,
@@ -61,9 +62,11 @@ def shifted_entries(states: Column, ids: Column) -> Column:
     """
     n = F.greatest(F.size(ids) - 1, F.lit(0))
     entries = F.arrays_zip(
-        F.slice(states, F.lit(1), n).alias("key_vector"), F.slice(ids, F.lit(2), n).alias("value_token_id")
+        F.slice(states, F.lit(1), n).alias("key_vector"),
+        F.slice(ids, F.lit(2), n).alias("value_token_id"),
+        F.slice(ids, F.lit(1), n).alias("key_token_id"),
     )
     return F.transform(
         entries,
-        lambda entry, i: F.struct((i + 1).alias("pos"), entry["key_vector"], entry["value_token_id"]),
+        lambda entry, i: F.struct((i + 1).alias("pos"), entry["key_vector"], entry["value_token_id"], entry["key_token_id"]),
     )

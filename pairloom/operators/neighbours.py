@@ -33,10 +33,12 @@ NEIGHBOURS = 3  # fixed value: default k
 MISSING_ID = -1
 MISSING_DISTANCE = 3.4028234663852886e38
 
-# 20,000 queries of 1024 float32 are 80 MB on the driver and in each worker.
+# Queries are broadcast up to this many, and up to this many bytes.
 BROADCAST_QUERIES = 20_000
-# A cell of 16,384 vectors of 1024 float32 is 64 MB.
+BROADCAST_BYTES = 80 << 20
+# A cell holds up to this many vectors, and up to this many bytes.
 BLOCK_ROWS = 16_384
+BLOCK_BYTES = 64 << 20
 # Up to this many groups larger than a block, their list is broadcast.
 BROADCAST_GROUPS = 200_000
 
@@ -117,15 +119,21 @@ def search(
     ``group``, both have that column and a query only meets vectors of its own group.
     Distances are squared and summed in double; ties go to the lower id. A query with fewer
     than ``k`` vectors to meet gets fewer rows. Ids and groups are whole numbers, and an id
-    tells its row apart.
+    tells its row apart. Vectors of other element types than float are taken as doubles. A vector
+    with a component that is not finite is nobody's neighbour; one whose squared length is beyond
+    a double fails the job. Queries are written once, so they may come from a model.
     """
     ship_package(vectors.sparkSession)
     group_col = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
-    left = vectors.select(group_col.alias("grp"), F.col("vec_id").cast("long").alias("vec_id"), "vector")
-    right = queries.select(group_col.alias("grp"), F.col("query_id").cast("long").alias("query_id"), "vector")
+    left = vectors.select(group_col.alias("grp"), F.col("vec_id").cast("long").alias("vec_id"), _floats(vectors))
+    right = queries.select(group_col.alias("grp"), F.col("query_id").cast("long").alias("query_id"), _floats(queries))
     if group is not None:  # a row without a group meets nothing
         left, right = left.filter(F.col("grp").isNotNull()), right.filter(F.col("grp").isNotNull())
-    if right.count() <= broadcast_queries:
+    right = write_scratch(right, "queries")
+    n_queries, dimension = right.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    width = max(1, dimension) * (8 if "double" in right.schema["vector"].dataType.simpleString() else 4)
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // width))
+    if n_queries <= broadcast_queries and n_queries * width <= BROADCAST_BYTES:
         candidates = _scan(left, right.toArrow(), k, grouped=group is not None)
     else:
         candidates = _cells(left, right, k, block_rows, grouped=group is not None)
@@ -137,6 +145,13 @@ def search(
     )
 
 
+def _floats(df: DataFrame) -> Column:
+    """The vector column as it is if its elements are floats or doubles, else in doubles."""
+    kind = df.schema["vector"].dataType
+    known = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+    return F.col("vector") if known else F.col("vector").cast("array<double>").alias("vector")
+
+
 def _scan(vectors: DataFrame, block: pa.Table, k: int, grouped: bool) -> DataFrame:
     """Candidates per scan task, with all queries broadcast. Vectors of groups that no query
     asks for are dropped before they reach Python."""
@@ -313,8 +328,10 @@ class _Best:
         """Let each query see the vectors of its group."""
         if len(self.ids) and self.matrix.shape[1] != matrix.shape[1]:
             raise ValueError(f"queries have dimension {self.matrix.shape[1]}, vectors {matrix.shape[1]}")
-        # A vector without a finite length has no distance to anything.
-        finite = np.isfinite(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
+        # A vector with a component that is not finite has no distance to anything.
+        finite = np.isfinite(matrix).all(axis=1)
+        if not np.isfinite(np.einsum("ij,ij->i", matrix[finite], matrix[finite], dtype=np.float64)).all():
+            raise ValueError("a vector is too long for its squared length to be a number")
         groups, ids, matrix = groups[finite], ids[finite], matrix[finite]
         order = _without_spare_copies(groups, ids, matrix, self.k)
         groups, ids, matrix = groups[order], ids[order], matrix[order]
@@ -334,7 +351,8 @@ class _Best:
         queries = self.matrix[rows]
         q_norm = np.einsum("ij,ij->i", queries, queries, dtype=np.float64)
         v_norm = np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)
-        kind = queries.dtype if max(q_norm.max(), v_norm.max()) < 1e30 else np.float64
+        # Outside these bounds products of float32 overflow, or lose digits to underflow.
+        kind = queries.dtype if 1e-20 < max(q_norm.max(), v_norm.max()) < 1e30 else np.float64
         rough = (-2 * queries.astype(kind, copy=False)) @ matrix.astype(kind, copy=False).T
         rough = rough + v_norm.astype(kind)
         rough += q_norm.astype(kind)[:, None]

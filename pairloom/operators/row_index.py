@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pairloom.scratch import write_scratch
 
 _SLOT = "__slot"  # partition in the high bits, position in it in the low 33 bits
 _POSITION_BITS = 33
+RANGE_BYTES = 128 << 20  # of the planner's estimate, per range
+MAX_RANGES = 1 << 20  # what a row count per range may take on the driver; ranges grow only beyond 128 TB
 
 
 @dataclass(frozen=True)
@@ -75,21 +78,21 @@ def _row_hash(df: DataFrame) -> Column:
 
 def _range_count(df: DataFrame) -> int:
     """Number of ranges: one per MB of the planner's size estimate, up to the session's number of
-    shuffle partitions.
+    shuffle partitions; beyond that, as many as keep a range at ``RANGE_BYTES``.
 
     A fixed number keeps adaptive execution from joining ranges by their compressed size, which
     would put a mass of copies, being small when compressed, in a few tasks again.
     """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, estimate >> 20))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, estimate >> 20), min(-(-estimate // RANGE_BYTES), MAX_RANGES))
 
 
 def index_rows(
     df: DataFrame,
     *order_by: str | Column,
     name: str = "row_idx",
-    unique: bool = False,
+    unique: bool | Sequence[str] = False,
     partitions: int | None = None,
 ) -> RowIndex:
     """Number the rows of ``df`` in the given order.
@@ -98,13 +101,14 @@ def index_rows(
     and position in it; row counts per partition give the starting numbers. The table must be
     written because range bounds come from a sample and would differ between two passes.
 
-    Set ``unique`` if the order columns already tell rows apart. Otherwise equal keys are
-    ordered by a hash of the whole row, and whole copies by the input partition they come
+    Set ``unique`` if the order columns, which must be names then, already tell rows apart, or to
+    the names of columns that do. This is checked, and the index fails if two rows share them.
+    Otherwise equal keys are ordered by a hash of the whole row, and whole copies by the input partition they come
     from. So neither a hot key nor a hot group of copies ends up in one range: at most one
     input partition's share of copies stays together. That partition is the same whenever a
     task runs again.
 
-    Large tables get as many ranges as the session has shuffle partitions, unless given.
+    The number of ranges follows the table's size, unless given.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     columns = df.columns
@@ -117,6 +121,8 @@ def index_rows(
         .select(*columns, F.monotonically_increasing_id().alias(_SLOT))
     )
     stored = write_scratch(ordered, "rows")
+    if unique:
+        _require_unique(stored, list(order_by) if unique is True else list(unique))
     counts = (
         stored.groupBy(F.shiftright(_SLOT, _POSITION_BITS).alias("part"))
         .agg(F.count("*").alias("rows"))
@@ -129,6 +135,19 @@ def index_rows(
     return RowIndex(stored, tuple(spans), name)
 
 
+def _require_unique(df: DataFrame, names: list) -> None:
+    """Fails if two rows share the named columns. Only hashes are shuffled; the rows of hashes that
+    come twice, which are none or few, are compared by value."""
+    if not all(isinstance(n, str) for n in names):
+        raise ValueError("name the columns that tell rows apart")
+    digest = F.xxhash64(*names).alias("__digest")
+    twice = df.select(digest).groupBy("__digest").count().filter("count > 1").select("__digest")
+    if not twice.isEmpty():
+        same = df.select(*names, digest).join(twice, "__digest", "left_semi").groupBy(*names).count().filter("count > 1").first()
+        if same is not None:
+            raise ValueError(f"{names} do not tell rows apart: {same.asDict()}")
+
+
 def number_rows(
     df: DataFrame, *order_by: str | Column, name: str = "row_idx", unique: bool = False
 ) -> DataFrame:

@@ -70,9 +70,14 @@ class Vocabulary:
         return self.reserved.index(token)
 
     @property
-    def special_ids(self) -> list[int]:
+    def reserved_ids(self) -> list[int]:
         return list(range(len(self.reserved)))
 
+    @property
+    def special_ids(self) -> list[int]:
+        """Ids that stand for no token of a text. An unknown token is one of the text's own."""
+        return [i for i, token in enumerate(self.reserved) if token != UNKNOWN]
+
     @property
     def fits_in_workers(self) -> bool:
         return self.n_bytes <= SHARED_VOCABULARY_BYTES
@@ -108,7 +113,7 @@ def build_vocabulary(
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    ranked = index_rows(counts, F.col("n").desc(), "token", unique=True).table()
+    ranked = index_rows(counts, F.col("n").desc(), "token", unique=["token"]).table()
     head = df.sparkSession.createDataFrame(
         [(i, token, 0) for i, token in enumerate(reserved)], "token_id int, token string, n long"
     )
@@ -122,7 +127,6 @@ def build_vocabulary(
 
 def encode(
     df: DataFrame,
-    key: str | Sequence[str],
     tokens: str,
     vocabulary: Vocabulary,
     name: str = "ids",
@@ -132,14 +136,13 @@ def encode(
 ) -> DataFrame:
     """Add the ids of a token column, between fixed prefix and suffix ids.
 
-    ``key`` names the columns that tell rows apart. A vocabulary within the size limit is
-    looked up in place, batch by batch, with no shuffle; a larger one is joined. ``shared``
-    overrides the choice.
+    A vocabulary within the size limit is looked up in place, batch by batch, with no shuffle; a
+    larger one is joined, with the same result. ``shared`` overrides the choice.
     """
     if vocabulary.fits_in_workers if shared is None else shared:
         out = df.withColumn(name, _shared_lookup(vocabulary, encoding=True)(F.col(tokens)))
     else:
-        out = _joined_lookup(df, key, tokens, name, vocabulary, "token", "token_id")
+        out = _joined_lookup(df, tokens, name, vocabulary, "token", "token_id")
     lead = F.array(*[F.lit(i) for i in prefix]).cast("array<int>")
     tail = F.array(*[F.lit(i) for i in suffix]).cast("array<int>")
     return out.withColumn(name, F.concat(lead, F.col(name), tail)) if prefix or suffix else out
@@ -147,7 +150,6 @@ def encode(
 
 def ids_to_tokens(
     df: DataFrame,
-    key: str | Sequence[str],
     ids: str,
     vocabulary: Vocabulary,
     name: str = "tokens",
@@ -156,12 +158,11 @@ def ids_to_tokens(
     """Add the token strings of an id column, reserved tokens included."""
     if vocabulary.fits_in_workers if shared is None else shared:
         return df.withColumn(name, _shared_lookup(vocabulary, encoding=False)(F.col(ids)))
-    return _joined_lookup(df, key, ids, name, vocabulary, "token_id", "token")
+    return _joined_lookup(df, ids, name, vocabulary, "token_id", "token")
 
 
 def batch_decode(
     df: DataFrame,
-    key: str | Sequence[str],
     ids: str,
     vocabulary: Vocabulary,
     name: str = "text",
@@ -170,9 +171,9 @@ def batch_decode(
 ) -> DataFrame:
     """Add the text of an id column, reserved tokens left out."""
     kept = df.withColumn(
-        "__kept", F.filter(ids, lambda x: ~x.isin(*vocabulary.special_ids))
+        "__kept", F.filter(ids, lambda x: ~x.isin(*vocabulary.reserved_ids))
     )
-    decoded = ids_to_tokens(kept, key, "__kept", vocabulary, "__tokens", shared)
+    decoded = ids_to_tokens(kept, "__kept", vocabulary, "__tokens", shared)
     return decoded.withColumn(name, F.array_join("__tokens", separator)).drop("__kept", "__tokens")
 
 
@@ -198,11 +199,13 @@ def lang_prefix(
 
 
 def unroll_prefixes(df: DataFrame, key: str | Sequence[str], ids: str) -> DataFrame:
-    """One row ``(key, n, prefix)`` per prefix of the ids, shortest first. Quadratic output: for
-    looking at, not a step of scoring, which has the states of all prefixes from one call."""
+    """One row ``(key, n, last_id)`` per prefix of the ids: its length, and the id it ends with.
+
+    Prefixes are not written out, which would take the square of a text's length; the ids of the
+    rows up to ``n`` are the prefix.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df.filter(F.size(ids) > 0).select(*keys, ids, F.explode(F.sequence(F.lit(1), F.size(ids))).alias("n"))
-    return rows.select(*keys, "n", F.slice(F.col(ids), F.lit(1), F.col("n")).alias("prefix"))
+    return df.select(*keys, F.posexplode(ids).alias("n", "last_id")).withColumn("n", F.col("n") + 1)
 
 
 _ids: dict[str, dict[str, int]] = {}
@@ -252,7 +255,6 @@ def _shared_lookup(vocabulary: Vocabulary, encoding: bool):
 
 def _joined_lookup(
     df: DataFrame,
-    key: str | Sequence[str],
     column: str,
     name: str,
     vocabulary: Vocabulary,
@@ -263,9 +265,11 @@ def _joined_lookup(
 
     Frequent tokens are the hot join keys, and they have the lowest ids. So the head of the
     vocabulary, of bounded size, is broadcast, and only what it does not resolve is shuffled
-    to the rest.
+    to the rest. Rows are written once, with a number of their own to come together by; so
+    their tokens are worked out once, and rows of equal keys stay apart.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = ["__row"]
+    df = write_scratch(df.withColumn("__row", F.monotonically_increasing_id()), "looked-up")
     entries = df.select(*keys, F.posexplode_outer(column).alias("pos", from_col))
     in_head = (F.col("token_id") < HEAD_TOKENS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
     head = vocabulary.table.filter(in_head).select(from_col, to_col)
@@ -279,4 +283,5 @@ def _joined_lookup(
     gathered = mapped.groupBy(*keys).agg(
         ar.in_order(F.col("pos"), F.coalesce(F.col(to_col), default)).alias(name)
     )
-    return attach(df, gathered, keys).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name)))
+    found = attach(df, gathered, keys).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name)))
+    return found.drop("__row")

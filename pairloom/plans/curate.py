@@ -19,7 +19,7 @@ def with_outcome(df: DataFrame, source: str, target: str, **gate) -> DataFrame:
     return df.withColumn("outcome", F.coalesce(reason, F.lit(KEPT)))
 
 
-def write_outcomes(pairs: DataFrame, path: str, source: str, target: str, **gate) -> dict[str, int]:
+def write_outcomes(pairs: DataFrame, path: str, source: str, target: str, header: bool = True, **gate) -> dict[str, int]:
     """Write pairs to one folder per outcome, and return the rows of each.
 
     One narrow stage: pairs are read and scored once, each task writes one file per outcome it
@@ -29,7 +29,7 @@ def write_outcomes(pairs: DataFrame, path: str, source: str, target: str, **gate
     scored = with_outcome(pairs.select(source, target), source, target, **gate).observe(
         counts, *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     )
-    csv_writer(scored).partitionBy("outcome").csv(path)
+    csv_writer(scored, header).partitionBy("outcome").csv(path)
     return {outcome: counts.get[outcome] for outcome in OUTCOMES}
 
 
@@ -40,11 +40,12 @@ def curate_bitext(
     source: str = "english",
     target: str = "german",
     multiline: bool = True,
+    header: bool = True,
     **gate,
 ) -> dict[str, int]:
-    """Read a bitext CSV, and write kept and rejected pairs."""
+    """Read a bitext CSV, and write kept and rejected pairs, with or without a header."""
     pairs = read_bitext(spark, input_path, source, target, multiline=multiline, na_tokens=NA_TOKENS)
-    return write_outcomes(spread(pairs), output_path, source, target, **gate)
+    return write_outcomes(spread(pairs), output_path, source, target, header, **gate)
 
 
 def kept_path(output_path: str) -> str:

@@ -38,7 +38,6 @@ class EncodedPairs:
 
 def encode_pairs(
     pairs: DataFrame,
-    key: str | Sequence[str],
     source: str = "source",
     target: str = "target",
     source_lang: str = "<src>",
@@ -59,7 +58,7 @@ def encode_pairs(
     end = [vocabulary.reserved_id(END)]
     for side, lang in (("source", source_lang), ("target", target_lang)):
         tokenized = encode(
-            tokenized, key, f"{side}_tokens", vocabulary, f"{side}_ids",
+            tokenized, f"{side}_tokens", vocabulary, f"{side}_ids",
             prefix=[vocabulary.reserved_id(lang)], suffix=end, shared=shared,
         )
     return EncodedPairs(tokenized, vocabulary)
@@ -80,15 +79,17 @@ def embed_pairs(
     make_model: Callable[[], PairModel],
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """One vector per source and target id, and the token strings, next to their pair.
+    """One vector per source and target id, and the token strings, next to their pair's key.
 
     Scoring needs no numbering: a pair's vectors do not depend on its batch. So this is one
-    narrow stage after encoding.
+    narrow stage after encoding. Only the key and the ids go to the model's workers; token strings
+    come from the ids afterwards.
     """
-    rows = encoded.table
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = score_pairs(encoded.table.select(*keys, "source_ids", "target_ids"), "source_ids", "target_ids", make_model, batch_size)
     for side in ("source", "target"):
-        rows = ids_to_tokens(rows, key, f"{side}_ids", encoded.vocabulary, f"{side}_tokens")
-    return score_pairs(rows, "source_ids", "target_ids", make_model, batch_size)
+        rows = ids_to_tokens(rows, f"{side}_ids", encoded.vocabulary, f"{side}_tokens")
+    return rows
 
 
 def build_datastore(
@@ -107,17 +108,17 @@ def build_datastore(
     store is written by group and read back; else it is kept as a scratch table, as scoring
     must not run again for each use.
     """
-    scored = score_pairs(encoded.table, "source_ids", "target_ids", make_model, batch_size)
+    keys = [key] if isinstance(key, str) else list(key)
+    needed = [*keys, "source_ids", "target_ids"]  # texts stay out of the model's workers
+    scored = score_pairs(encoded.table.select(*needed, *([group_ids] if group_ids else [])), "source_ids", "target_ids", make_model, batch_size)
     if group_ids is None:
         group_ids = "__group_ids"
         scored = scored.withColumn(group_ids, same_position_groups("source_ids", "target_ids"))
-    entries = datastore_entries(
-        scored, [key] if isinstance(key, str) else key, group_ids, "target_ids", "target_states", encoded.vocabulary.special_ids
-    )
+    entries = datastore_entries(scored, keys, group_ids, "target_ids", "target_states", encoded.vocabulary.special_ids)
     if path is None:
         return write_scratch(entries, "datastore")
     write_grouped(entries, path, "group_token_id", n_buckets)
-    return entries.sparkSession.read.parquet(path).drop("bucket")
+    return entries.sparkSession.read.parquet(path).drop("n_buckets", "bucket")
 
 
 def same_position_groups(source_ids: str, target_ids: str):

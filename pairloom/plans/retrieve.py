@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import l2_normalize
 from pairloom.operators.neighbours import NEIGHBOURS, require_dimension, search
 from pairloom.operators.row_index import first_rows
-from pairloom.sources.vector_tables import read_groups_of
+from pairloom.sources.vector_tables import read_buckets_of
 
 
 def normalized(df: DataFrame, vector: str = "vector") -> DataFrame:
@@ -19,18 +19,23 @@ def normalized(df: DataFrame, vector: str = "vector") -> DataFrame:
 def search_table(
     vectors: DataFrame,
     dimension: int,
-    queries: DataFrame | None = None,
+    queries: DataFrame,
     k: int = NEIGHBOURS,
     group: str | None = None,
     **limits,
 ) -> DataFrame:
-    """Search ``(vec_id, vector)`` after scaling; a vector of another dimension fails the job.
+    """Search ``(vec_id, vector)`` after scaling; a vector of another dimension fails the job."""
+    index, asked = (normalized(require_dimension(df, "vector", dimension)) for df in (vectors, queries))
+    return search(index, asked, k, group, **limits)
+
 
-    Without queries, every vector is a query, and finds itself first.
+def search_all(vectors: DataFrame, dimension: int, k: int = NEIGHBOURS, group: str | None = None, **limits) -> DataFrame:
+    """Search a table with each of its vectors, which finds itself first.
+
+    Without groups this compares all with all: work grows with the square of the table. With
+    groups it grows with the squares of their sizes.
     """
-    index = normalized(require_dimension(vectors, "vector", dimension))
-    asked = index.withColumnRenamed("vec_id", "query_id") if queries is None else normalized(queries)
-    return search(index, asked, k, group, **limits)
+    return search_table(vectors, dimension, vectors.withColumnRenamed("vec_id", "query_id"), k, group, **limits)
 
 
 def search_first(vectors: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
@@ -44,7 +49,6 @@ def search_store(
     path: str,
     queries: DataFrame,
     group: str,
-    n_buckets: int,
     k: int = NEIGHBOURS,
     vector: str = "vector",
     **limits,
@@ -54,5 +58,6 @@ def search_store(
     The store has ``vec_id``, the group and the vector column; ``queries`` has ``query_id``, the
     group and ``vector``. Vectors are taken as they are on both sides.
     """
-    stored = read_groups_of(queries.sparkSession, path, group, n_buckets, queries)
+    # The search itself drops vectors of groups that no query asks for.
+    stored = read_buckets_of(queries.sparkSession, path, group, queries)
     return search(stored.withColumnRenamed(vector, "vector"), queries, k, group, **limits)

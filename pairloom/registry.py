@@ -75,7 +75,7 @@ PAIR_KEY = ["conv_id", "turn"]
 
 
 def encoded_pairs(spark: SparkSession, sf: str) -> embed.EncodedPairs:
-    return embed.encode_pairs(pairs(spark, sf), PAIR_KEY)
+    return embed.encode_pairs(pairs(spark, sf))
 
 
 def joined(values: Column | str) -> Column:
@@ -108,14 +108,17 @@ def outcome_sql(column: str, limit: str = "0.65", passed: str = "ok") -> str:
 
 # Ids of both sides of the pairs: reserved 0-4 (pad, end, unknown, source, target language), then
 # words by frequency.
-ENCODED_SQL = f"""
+def encoded_sql(vocabulary: str = "TRUE") -> str:
+    """With a condition, the vocabulary comes from the pairs that meet it, and other words are unknown (2)."""
+    return f"""
 {PAIRS_SQL},
 words AS (SELECT conv_id, turn, 'source' AS side, regexp_extract_all(source, '\\pL+') AS w FROM pairs
           UNION ALL SELECT conv_id, turn, 'target', regexp_extract_all(target, '\\pL+') FROM pairs),
 toks AS (SELECT conv_id, turn, side, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM words),
 vocab AS (SELECT token, CAST(4 + row_number() OVER (ORDER BY count(*) DESC, token) AS INTEGER) AS id
-          FROM toks GROUP BY token),
-ids AS (SELECT conv_id, turn, side, p, id, token FROM toks JOIN vocab USING (token)
+          FROM toks WHERE {vocabulary} GROUP BY token),
+ids AS (SELECT conv_id, turn, side, p, coalesce(id, 2) AS id, CASE WHEN id IS NULL THEN '<unk>' ELSE token END AS token
+        FROM toks LEFT JOIN vocab USING (token)
         UNION ALL SELECT conv_id, turn, side, 0, CASE side WHEN 'source' THEN 3 ELSE 4 END,
                          CASE side WHEN 'source' THEN '<src>' ELSE '<tgt>' END FROM words
         UNION ALL SELECT conv_id, turn, side, len(w) + 1, 1, '</s>' FROM words),
@@ -130,15 +133,22 @@ sized AS (SELECT *, max(len(source_ids)) OVER (PARTITION BY batch_id) AS ls,
                     max(len(target_ids)) OVER (PARTITION BY batch_id) AS lt FROM batched)
 """
 
-# States of the stand-in model.
-STATES_SQL = f"""
-{ENCODED_SQL},
+ENCODED_SQL = encoded_sql()
+
+
+def states_sql(encoded: str = ENCODED_SQL) -> str:
+    """States of the stand-in model."""
+    return f"""
+{encoded},
 src_states AS (SELECT conv_id, turn, p AS pos, id AS token_id, id + 7 * p AS s FROM ids WHERE side = 'source'),
 src_sums AS (SELECT conv_id, turn, sum(id) AS total FROM ids WHERE side = 'source' GROUP BY ALL),
 tgt_states AS (SELECT conv_id, turn, p AS pos, id AS token_id,
                       CAST(total + sum(id) OVER (PARTITION BY conv_id, turn ORDER BY p) AS BIGINT) AS s
                FROM ids JOIN src_sums USING (conv_id, turn) WHERE side = 'target')
 """
+
+
+STATES_SQL = states_sql()
 STATE_COLUMNS_SQL = ", ".join(f"CAST(s * {j + 1} % 97 AS DOUBLE) AS v{j}" for j in range(stand_ins.DIMENSION))
 
 
@@ -199,18 +209,48 @@ def inline_pairs(spark, sf):
     return pairs(spark, sf).select("source", "target").unionByName(literal)
 
 
-@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+ELEMENTS_SQL = """SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS pos, CAST(x AS DOUBLE) AS x
+                  FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"""
+
+
+def elements(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "label", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query(ELEMENTS_SQL)
 def sharded_sink(spark, sf):
     path = scratch_path(spark, "shards")
     vector_tables.write_shards(vectors(spark, sf), path, 10, "vec_id")
-    return spark.read.parquet(path).select("vec_id", "label", F.size("vector").alias("dim"))
+    return elements(spark.read.parquet(path))
 
 
-@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+@query(ELEMENTS_SQL)
 def grouped_layout(spark, sf):
     path = scratch_path(spark, "grouped")
     vector_tables.write_grouped(vectors(spark, sf), path, "label", 4)
-    return spark.read.parquet(path).select("vec_id", "label", F.size("vector").alias("dim"))
+    return elements(spark.read.parquet(path))
+
+
+def _ordered_csv(spark: SparkSession, sf: str) -> str:
+    """Pairs written in order, over several files."""
+    path = scratch_path(spark, "csv")
+    ordered = pairs(spark, sf, "english", "german").repartitionByRange(4, *PAIR_KEY).sortWithinPartitions(*PAIR_KEY)
+    bitext.write_bitext(ordered, path, ["english", "german"])
+    return path
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx, source AS english, target AS german
+           FROM pairs QUALIFY row_idx BETWEEN 5 AND 24""")
+def csv_row_at(spark, sf):
+    """Rows of a CSV by their place in its files."""
+    return bitext.numbered(bitext.read_bitext(spark, _ordered_csv(spark, sf), position=True)).between(5, 25).drop(*bitext.POSITION)
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1) // 50 AS batch_id,
+                  CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) % 50 AS INTEGER) AS pos_in_batch, source AS english FROM pairs""")
+def csv_batches(spark, sf):
+    rows = bitext.read_text_column(spark, _ordered_csv(spark, sf), "english", position=True)
+    return batching.assign_batches(rows, *bitext.POSITION, unique=True).drop("row_idx", *bitext.POSITION)
 
 
 # ---------------------------------------------------------------- projections and filters
@@ -337,12 +377,18 @@ def required_values(spark, sf):
     return docs.select("doc_id", rows.first_missing(["lang", "source"]).alias("first_missing"))
 
 
-@query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, 1 AS n_keys FROM events""")
+@query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k,
+                  CASE WHEN event_type = 'click' THEN CAST(user_id AS VARCHAR) END AS click,
+                  1 + CAST(event_type = 'click' AS INTEGER) AS n_keys FROM events""")
 def map_subset(spark, sf):
-    kept = tx.map_subset(F.from_json("props", "map<string,string>"), ["k", "other"])
-    return table(spark, sf, "events").select(
-        "event_id", F.try_element_at(kept, F.lit("k")).alias("k"), F.size(kept).alias("n_keys")
+    """Of maps with a key named by the event's type, one of the event and one that is always there."""
+    user = F.col("user_id").cast("string")
+    given = F.map_concat(
+        F.from_json("props", "map<string,string>"), F.create_map("event_type", user), F.create_map(F.lit("spare"), user)
     )
+    kept = tx.map_subset(given, ["k", "click", "absent"])
+    picked = [F.try_element_at(kept, F.lit(key)).alias(key) for key in ("k", "click")]
+    return table(spark, sf, "events").select("event_id", *picked, F.size(kept).alias("n_keys"))
 
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ch")
@@ -361,17 +407,20 @@ def any_flags(spark, sf):
 # ---------------------------------------------------------------- rows and batches
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx FROM orders")
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
+                 row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx FROM orders""")
 def row_index_orders(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return row_index.index_rows(orders, "o_orderdate", "o_orderkey", unique=True).table().drop("o_orderdate")
+    """Narrow keys are numbered, and the numbers joined back to the other columns."""
+    payload = ["o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    orders = table(spark, sf, "orders").select(*payload)
+    return row_index.number_rows(orders, "o_orderdate", "o_orderkey", unique=True).drop("o_orderdate")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                 row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_idx
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
+                 row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS row_idx
           FROM lineitem""")
 def row_index_lineitem(spark, sf):
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
     return row_index.index_rows(table(spark, sf, "lineitem").select(*keys), *keys).table()
 
 
@@ -389,9 +438,9 @@ def first_n(spark, sf):
 
 
 @query("""SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch_id,
-                 CAST((row_number() OVER (ORDER BY doc_id) - 1) % 50 AS INTEGER) AS pos_in_batch FROM documents""")
+                 CAST((row_number() OVER (ORDER BY doc_id) - 1) % 50 AS INTEGER) AS pos_in_batch, text, source FROM documents""")
 def assign_batches(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     return batching.assign_batches(docs, "doc_id", unique=True).drop("row_idx")
 
 
@@ -430,11 +479,9 @@ def gather_positions(spark, sf):
     return gathered.select("doc_id", F.size("token").alias("n"), joined("token").alias("gathered"))
 
 
-@query("""SELECT label, min(vec_id) AS vec_id, CAST(min_by(embedding[1], vec_id) AS DOUBLE) AS x0
-          FROM embeddings GROUP BY label""")
+@query(f"SELECT * FROM ({ELEMENTS_SQL}) WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)")
 def first_per_group(spark, sf):
-    first = batching.first_per_group(vectors(spark, sf), "label", F.col("vec_id"), "vec_id", "vector")
-    return first.select("label", "vec_id", ar.at(F.col("vector"), 0).cast("double").alias("x0"))
+    return elements(batching.first_per_group(vectors(spark, sf), "label", F.col("vec_id"), "vec_id", "vector"))
 
 
 # ---------------------------------------------------------------- tokens
@@ -473,14 +520,14 @@ SELECT d.doc_id, coalesce(ids, '') AS ids FROM documents d LEFT JOIN enc USING (
 def encode_ids(spark, sf):
     docs = doc_tokens(spark, sf)
     found = tokens.build_vocabulary(docs, "tokens")
-    return tokens.encode(docs, "doc_id", "tokens", found).select("doc_id", joined("ids").alias("ids"))
+    return tokens.encode(docs, "tokens", found).select("doc_id", joined("ids").alias("ids"))
 
 
 @query(_DOC_IDS_SQL)
 def encode_ids_joined(spark, sf):
     docs = doc_tokens(spark, sf)
     found = tokens.build_vocabulary(docs, "tokens")
-    return tokens.encode(docs, "doc_id", "tokens", found, shared=False).select("doc_id", joined("ids").alias("ids"))
+    return tokens.encode(docs, "tokens", found, shared=False).select("doc_id", joined("ids").alias("ids"))
 
 
 def _sides(df: DataFrame, suffix: str) -> DataFrame:
@@ -524,40 +571,38 @@ def ids_to_tokens(spark, sf):
     encoded = encoded_pairs(spark, sf)
     back = encoded.table
     for side in ("source", "target"):
-        back = tokens.ids_to_tokens(back, PAIR_KEY, f"{side}_ids", encoded.vocabulary, f"{side}_back")
+        back = tokens.ids_to_tokens(back, f"{side}_ids", encoded.vocabulary, f"{side}_back")
     return _sides(back, "back")
 
 
 @query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn, array_to_string(target_toks, ' ') AS target_back FROM encoded""")
 def ids_to_tokens_joined(spark, sf):
     encoded = encoded_pairs(spark, sf)
-    back = tokens.ids_to_tokens(encoded.table, PAIR_KEY, "target_ids", encoded.vocabulary, "target_back", shared=False)
+    back = tokens.ids_to_tokens(encoded.table, "target_ids", encoded.vocabulary, "target_back", shared=False)
     return back.select(*PAIR_KEY, joined("target_back").alias("target_back"))
 
 
 @query(rf"""WITH {PAIRS_SQL} SELECT conv_id, turn, array_to_string(regexp_extract_all(target, '\pL+'), ' ') AS text FROM pairs""")
 def batch_decode(spark, sf):
     encoded = encoded_pairs(spark, sf)
-    decoded = tokens.batch_decode(encoded.table, PAIR_KEY, "target_ids", encoded.vocabulary)
+    decoded = tokens.batch_decode(encoded.table, "target_ids", encoded.vocabulary)
     return decoded.select(*PAIR_KEY, "text")
 
 
-@query("""WITH codes AS (SELECT lang, 99 + row_number() OVER (ORDER BY lang) AS id FROM (SELECT DISTINCT lang FROM documents))
-          SELECT doc_id, id || ' ' || length(text) AS ids FROM documents JOIN codes USING (lang)""")
+@query(f"""WITH codes AS (SELECT lang, 9999999 + row_number() OVER (ORDER BY lang) AS code FROM (SELECT DISTINCT lang FROM documents)),
+           encoded AS ({_DOC_IDS_SQL})
+           SELECT doc_id, rtrim(code || ' ' || ids) AS ids FROM documents JOIN codes USING (lang) JOIN encoded USING (doc_id)""")
 def lang_prefix(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.array(F.length("text")).alias("ids"))
+    docs = tokens.tokenize(texts(spark, sf, "documents", "doc_id", "lang", "text"), "text").drop("text")
+    docs = tokens.encode(docs, "tokens", tokens.build_vocabulary(docs, "tokens"))
     langs = row_index.index_rows(docs.select("lang").distinct(), "lang", unique=True).table()
-    codes = langs.select(F.col("lang").alias("lang_code"), (F.col("row_idx") + 100).cast("int").alias("token_id"))
+    codes = langs.select(F.col("lang").alias("lang_code"), (F.col("row_idx") + 10_000_000).cast("int").alias("token_id"))
     return tokens.lang_prefix(docs, "lang", "ids", codes).select("doc_id", joined("ids").alias("ids"))
 
 
-@query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn, CAST(p + 1 AS INTEGER) AS n, id AS last_id,
-                  CAST(sum(id) OVER (PARTITION BY conv_id, turn ORDER BY p) AS BIGINT) AS id_sum
-           FROM ids WHERE side = 'target'""")
+@query(f"WITH {ENCODED_SQL} SELECT conv_id, turn, CAST(p + 1 AS INTEGER) AS n, id AS last_id FROM ids WHERE side = 'target'")
 def prefix_unroll(spark, sf):
-    unrolled = tokens.unroll_prefixes(encoded_pairs(spark, sf).table, PAIR_KEY, "target_ids")
-    total = F.aggregate("prefix", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return unrolled.select(*PAIR_KEY, "n", ar.from_end(F.col("prefix")).alias("last_id"), total.alias("id_sum"))
+    return tokens.unroll_prefixes(encoded_pairs(spark, sf).table, PAIR_KEY, "target_ids")
 
 
 @query(r"""SELECT doc_id, w[len(w)] AS last_token, w[3] AS third_token
@@ -589,11 +634,31 @@ def flatten_vectors(spark, sf):
 def token_vectors(spark, sf):
     encoded = encoded_pairs(spark, sf)
     padded = embed.collate_pairs(encoded, *PAIR_KEY, unique=True)
-    scored = scoring.score_pairs(padded, "source_ids", "target_ids_padded", stand_ins.make_pair_model)
+    needed = padded.select(*PAIR_KEY, "source_ids_padded", "source_ids_attention", "target_ids_padded", "target_ids_attention")
+    scored = scoring.score_pairs(
+        needed, "source_ids_padded", "target_ids_padded", stand_ins.make_pair_model, source_mask="source_ids_attention"
+    )
     flat = scoring.flatten_states(scored, PAIR_KEY, "target_states", "target_ids_padded", "target_ids_attention")
     return flat.select(*PAIR_KEY, "pos", "token_id", *state_columns("vector"))
 
 
+@query(f"""WITH {STATES_SQL},
+           told AS (SELECT conv_id, turn, side, string_agg(token, ' ' ORDER BY p) AS tokens FROM ids GROUP BY ALL),
+           every AS (SELECT 'source' AS side, * FROM src_states UNION ALL SELECT 'target', * FROM tgt_states)
+           SELECT conv_id, turn, side, tokens, CAST(pos AS INTEGER) AS pos, token_id, {STATE_COLUMNS_SQL}
+           FROM every JOIN told USING (conv_id, turn, side)""")
+def embed_pairs_job(spark, sf):
+    """Token strings of both sides next to the states of both sides."""
+    done = embed.embed_pairs(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)
+    sides = [
+        scoring.flatten_states(
+            done.withColumns({"side": F.lit(side), "tokens": joined(f"{side}_tokens")}), [*PAIR_KEY, "side", "tokens"], f"{side}_states", f"{side}_ids"
+        )
+        for side in ("source", "target")
+    ]
+    return sides[0].unionByName(sides[1]).select(*PAIR_KEY, "side", "tokens", "pos", "token_id", *state_columns("vector"))
+
+
 @query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn,
                   coalesce(array_to_string(list_filter(target_ids, lambda x: x > 4), ' '), '') AS kept FROM encoded""")
 def compress_masked(spark, sf):
@@ -613,19 +678,38 @@ def shifted_pairs(spark, sf):
     )
 
 
-@query(f"""WITH {STATES_SQL},
-           kept AS (SELECT *, CAST(p - 1 AS INTEGER) AS pos FROM ids JOIN (SELECT conv_id, turn, pos AS p, s FROM tgt_states)
-                    USING (conv_id, turn, p) WHERE side = 'target' AND id > 4),
-           shifted AS (SELECT conv_id, turn, pos, id AS value_token_id, p,
-                              lag(s) OVER (PARTITION BY conv_id, turn ORDER BY p) AS s FROM kept),
-           grouped AS (SELECT shifted.*, source_ids[least(p + 1, len(source_ids))] AS group_token_id
-                       FROM shifted JOIN encoded USING (conv_id, turn) WHERE s IS NOT NULL)
-           SELECT group_token_id, conv_id, turn, pos, value_token_id, {STATE_COLUMNS_SQL} FROM grouped""")
-def datastore_build(spark, sf):
-    store = embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)
+def _store_sql(states: str = STATES_SQL) -> str:
+    """Each target token with the state right before it, without padding, end and language marks on either side."""
+    return f"""{states},
+           lined AS (SELECT conv_id, turn, CAST(p AS INTEGER) AS pos, id AS value_token_id, lag(s) OVER w AS s, lag(id) OVER w AS before
+                     FROM (SELECT conv_id, turn, pos AS p, token_id AS id, s FROM tgt_states)
+                     WINDOW w AS (PARTITION BY conv_id, turn ORDER BY p)),
+           store AS (SELECT lined.*, source_ids[least(pos + 1, len(source_ids))] AS group_token_id
+                     FROM lined JOIN encoded USING (conv_id, turn) WHERE value_token_id NOT IN (0, 1, 3, 4) AND before NOT IN (0, 1, 3, 4))"""
+
+
+_STORE_COLUMNS_SQL = f"SELECT group_token_id, conv_id, turn, pos, value_token_id, {STATE_COLUMNS_SQL} FROM store"
+
+
+def _store_columns(store: DataFrame) -> DataFrame:
     return store.select("group_token_id", *PAIR_KEY, "pos", "value_token_id", *state_columns("key_vector"))
 
 
+@query(f"WITH {_store_sql()} {_STORE_COLUMNS_SQL}")
+def datastore_build(spark, sf):
+    return _store_columns(embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model))
+
+
+@query(f"WITH {_store_sql(states_sql(encoded_sql('conv_id % 2 = 0')))} {_STORE_COLUMNS_SQL}")
+def datastore_build_unseen(spark, sf):
+    """All pairs, with the vocabulary of the even conversations: unknown words stay in their places."""
+    both = tokens.tokenize_pair(pairs(spark, sf).filter("conv_id % 2 = 0"), "source", "target")
+    reserved = (tokens.PAD, tokens.END, tokens.UNKNOWN, "<src>", "<tgt>")
+    known = tokens.build_vocabulary(both, "source_tokens", "target_tokens", reserved=reserved)
+    encoded = embed.encode_pairs(pairs(spark, sf), vocabulary=known)
+    return _store_columns(embed.build_datastore(encoded, PAIR_KEY, stand_ins.make_pair_model))
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -650,15 +734,13 @@ def vector_dim_check(spark, sf):
     return good.select("vec_id", F.lit(True).alias("fits")).unionByName(bad.select("vec_id", F.lit(False).alias("fits")))
 
 
-@query("""SELECT vec_id, label FROM embeddings UNION ALL
-          SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY label, vec_id), label FROM embeddings""")
+@query(f"""WITH old AS ({ELEMENTS_SQL}),
+           fresh AS (SELECT vec_id AS old_id, (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY label, vec_id) AS vec_id
+                     FROM embeddings)
+           SELECT * FROM old UNION ALL SELECT f.vec_id, label, pos, x FROM old JOIN fresh f ON f.old_id = old.vec_id""")
 def vector_ids(spark, sf):
-    base = table(spark, sf, "embeddings").select("vec_id", "label")
-    more = base.select("label", F.col("vec_id").alias("old_id"))
-    grown = neighbours.add_vectors(
-        base.withColumn("old_id", F.col("vec_id")), more, "label", "old_id"
-    )
-    return grown.select("vec_id", "label")
+    base = vectors(spark, sf).withColumn("old_id", F.col("vec_id"))
+    return elements(neighbours.add_vectors(base, base.drop("vec_id"), "label", "old_id", unique=True))
 
 
 def _knn_sql(where: str = "TRUE") -> str:
@@ -674,15 +756,23 @@ def _rounded(found: DataFrame) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(_knn_sql())
+QUERIES_SQL = "q.vec_id % 100 = 0"
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated queries of a search: vectors whose id is divisible by 100."""
+    return vectors(spark, sf).filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query(_knn_sql(QUERIES_SQL))
 def knn_exact(spark, sf):
-    return _rounded(retrieve.search_table(vectors(spark, sf), 64))
+    return _rounded(retrieve.search_table(vectors(spark, sf), 64, asked(spark, sf)))
 
 
-@query(_knn_sql())
+@query(_knn_sql(QUERIES_SQL))
 def knn_exact_cells(spark, sf):
     # Limits far below the defaults, so that many cells are used on small tables too.
-    return _rounded(retrieve.search_table(vectors(spark, sf), 64, broadcast_queries=0, block_rows=512))
+    return _rounded(retrieve.search_table(vectors(spark, sf), 64, asked(spark, sf), broadcast_queries=0, block_rows=512))
 
 
 @query(_knn_sql("q.vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3)"))
@@ -690,9 +780,9 @@ def knn_first_vectors(spark, sf):
     return _rounded(retrieve.search_first(vectors(spark, sf), 3))
 
 
-@query(_knn_sql())
+@query(_knn_sql(QUERIES_SQL))
 def knn_matrix(spark, sf):
-    found = retrieve.search_table(vectors(spark, sf), 64)
+    found = retrieve.search_table(vectors(spark, sf), 64, asked(spark, sf))
     matrix = neighbours.result_matrix(found, neighbours.NEIGHBOURS)
     flat = matrix.select("query_id", F.posexplode(F.arrays_zip("distances", "vec_ids")).alias("pos", "hit"))
     return flat.select(
@@ -705,12 +795,12 @@ def knn_matrix(spark, sf):
 
 @query(_knn_sql("q.label = x.label"))
 def knn_grouped(spark, sf):
-    return _rounded(retrieve.search_table(vectors(spark, sf), 64, group="label"))
+    return _rounded(retrieve.search_all(vectors(spark, sf), 64, group="label"))
 
 
 @query(_knn_sql("q.label = x.label"))
 def knn_grouped_cells(spark, sf):
-    found = retrieve.search_table(vectors(spark, sf), 64, group="label", broadcast_queries=0, block_rows=50)
+    found = retrieve.search_all(vectors(spark, sf), 64, group="label", broadcast_queries=0, block_rows=50)
     return _rounded(found)
 
 
@@ -720,17 +810,12 @@ def knn_stored(spark, sf):
     unit = retrieve.normalized(vectors(spark, sf))
     vector_tables.write_grouped(unit, path, "label", 4)
     queries = unit.withColumnRenamed("vec_id", "query_id")
-    return _rounded(retrieve.search_store(path, queries, "label", 4))
+    return _rounded(retrieve.search_store(path, queries, "label"))
 
 
-@query(f"""WITH {STATES_SQL},
-           kept AS (SELECT conv_id, turn, p, s, id FROM ids JOIN (SELECT conv_id, turn, pos AS p, s FROM tgt_states)
-                    USING (conv_id, turn, p) WHERE side = 'target' AND id > 4),
-           shifted AS (SELECT conv_id, turn, p, id, lag(s) OVER (PARTITION BY conv_id, turn ORDER BY p) AS s FROM kept),
-           store AS (SELECT row_number() OVER (ORDER BY conv_id, turn, p) - 1 AS vec_id, id AS value_token_id,
-                            source_ids[least(p + 1, len(source_ids))] AS g, s
-                     FROM shifted JOIN encoded USING (conv_id, turn) WHERE s IS NOT NULL),
-           keys AS (SELECT vec_id, g, s % 97 AS a, s * 2 % 97 AS b, s * 3 % 97 AS c, s * 4 % 97 AS d FROM store),
+@query(f"""WITH {_store_sql()},
+           entries AS (SELECT row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS vec_id, value_token_id, group_token_id AS g, s FROM store),
+           keys AS (SELECT vec_id, g, s % 97 AS a, s * 2 % 97 AS b, s * 3 % 97 AS c, s * 4 % 97 AS d FROM entries),
            -- Of equal keys in a group only the three with the lowest ids can be among the nearest.
            lowest AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY vec_id) <= 3),
            asked AS (SELECT DISTINCT g, a, b, c, d FROM keys),
@@ -739,7 +824,7 @@ def knn_stored(spark, sf):
                     FROM asked q JOIN lowest x ON q.g = x.g),
            best AS (SELECT *, CAST(row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY distance, vec_id) AS INTEGER) AS rank FROM hits)
            SELECT keys.vec_id AS query_id, rank, best.vec_id, value_token_id, distance
-           FROM keys JOIN best USING (g, a, b, c, d) JOIN store ON store.vec_id = best.vec_id WHERE rank <= 3""")
+           FROM keys JOIN best USING (g, a, b, c, d) JOIN entries ON entries.vec_id = best.vec_id WHERE rank <= 3""")
 def datastore_lookup(spark, sf):
     """Each stored key searched in the group of its source token, and the tokens found."""
     store = embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.operators.row_index import RowIndex, index_rows
+
 # The texts that count as missing by default when delimited text is read.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -15,6 +17,23 @@ NA_TOKENS = (
 )
 
 
+# Where a row stands in its files, as an order: file, split of the file, place in the task's read.
+POSITION = ("file_path", "block_start", "place")
+
+
+def _position() -> list:
+    return [
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("place"),
+    ]
+
+
+def numbered(rows: DataFrame, name: str = "row_idx") -> RowIndex:
+    """Rows read with their position, numbered from 0 in the order of their files; see ``RowIndex``."""
+    return index_rows(rows, *POSITION, name=name, unique=True)
+
+
 def _csv_reader(spark: SparkSession, multiline: bool):
     return (
         spark.read.option("multiLine", multiline)
@@ -33,19 +52,22 @@ def read_bitext(
     header: bool = True,
     multiline: bool = True,
     na_tokens: Sequence[str] | None = None,
+    position: bool = False,
 ) -> DataFrame:
     """Two string columns of a CSV, found by name in the header.
 
     All columns are strings, so there is no inference pass; only the header line is looked at.
     Without a header the first two fields are taken. ``multiline`` allows line breaks inside
     quoted fields, at the price of one task per file; switch it off for data without them.
+    ``position`` adds the columns ``POSITION``, which give the order of files and of rows in them.
     """
+    where = _position() if position else []
     reader = _csv_reader(spark, multiline)
     if header:
-        df = reader.option("header", True).csv(path).select(source, target)
+        df = reader.option("header", True).csv(path).select(source, target, *where)
     else:
         schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(target, T.StringType())])
-        df = reader.option("header", False).schema(schema).csv(path)
+        df = reader.option("header", False).schema(schema).csv(path).select(source, target, *where)
     return nullify_tokens(df, [source, target], na_tokens) if na_tokens is not None else df
 
 
@@ -55,9 +77,11 @@ def read_text_column(
     column: str,
     multiline: bool = True,
     na_tokens: Sequence[str] | None = None,
+    position: bool = False,
 ) -> DataFrame:
     """One string column of a CSV with header. An unknown name fails the analysis."""
-    df = _csv_reader(spark, multiline).option("header", True).csv(path).select(column)
+    where = _position() if position else []
+    df = _csv_reader(spark, multiline).option("header", True).csv(path).select(column, *where)
     return nullify_tokens(df, [column], na_tokens) if na_tokens is not None else df
 
 

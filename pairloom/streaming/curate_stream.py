@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,10 +25,17 @@ def curate_stream(
     """Start a query that curates all new files in ``input_dir``, then stops.
 
     Each pair is scored on its own, so the query keeps no state; the checkpoint, in a shared
-    folder, makes each file count once. Columns are taken by position, as a stream has a fixed
-    schema; a file with another header fails.
+    folder, makes each file count once. Columns are found by name in the header of the files that
+    are there at the start; a later file with another header fails. An empty folder is taken to
+    get files of the two columns.
     """
-    schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(target, T.StringType())])
+    columns = [source, target]
+    try:
+        columns = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(input_dir).columns or columns
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
     pairs = (
         spark.readStream.schema(schema)
         .option("header", True)
@@ -37,6 +45,7 @@ def curate_stream(
         .option("escape", '"')
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(input_dir)
+        .select(source, target)
     )
     scored = with_outcome(nullify_tokens(pairs, [source, target], NA_TOKENS), source, target, **gate)
     return (

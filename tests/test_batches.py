@@ -50,6 +50,24 @@ def test_numbering_by_key_keeps_other_columns_and_null_keys(spark):
     assert {r["v"]: r["row_idx"] for r in rows.collect()} == {2: 0, 4: 1, 3: 2, 1: 3}
 
 
+def test_a_wrong_promise_of_unique_keys_fails(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    for number in (lambda: row_index.index_rows(df, "k", unique=True), lambda: row_index.number_rows(df, "k", unique=True)):
+        with pytest.raises(ValueError, match="do not tell rows apart"):
+            number()
+    assert row_index.index_rows(df, F.col("k").desc(), unique=["k", "v"]).total == 3
+    with pytest.raises(ValueError, match="name the columns"):
+        row_index.index_rows(df, F.col("k").desc(), unique=True)
+
+
+def test_ranges_follow_the_size(spark, monkeypatch):
+    df = spark.range(0, 4_000_000)  # 32 MB by the planner's estimate
+    assert row_index._range_count(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(row_index, "RANGE_BYTES", 1 << 20)
+    assert row_index._range_count(df) == 31
+    assert row_index._range_count(spark.range(3)) == 1
+
+
 def test_empty_table(spark):
     index = row_index.index_rows(spark.range(0), "id")
     assert index.total == 0 and index.table().count() == 0 and index.at(0).count() == 0
@@ -90,7 +108,7 @@ def test_array_helpers(spark):
         ar.shifted_entries(ids, ids),
     ).first()
     assert list(got[:5]) == [[5, 6], [1, 0, 0, 1, 1], 1, 5, None]
-    assert [tuple(e) for e in got[5]] == [(1, 10, 5), (2, 5, 6), (3, 6, 2), (4, 2, 1)]
+    assert [tuple(e) for e in got[5]] == [(1, 10, 5, 10), (2, 5, 6, 5), (3, 6, 2, 6), (4, 2, 1, 2)]
     empty = spark.createDataFrame([([],), ([3],)], "ids array<int>")
     assert [r[0] for r in empty.select(ar.shifted_entries(ids, ids)).collect()] == [[], []]
 

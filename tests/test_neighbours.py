@@ -138,7 +138,32 @@ def test_mixed_dimensions_fail(spark, form):
     with pytest.raises(Exception, match="one dimension"):
         neighbours.search(df.coalesce(1), frame(spark, [[1.0, 2.0]], id_name="query_id"), 1, **FORMS[form]).collect()
     with pytest.raises(Exception, match="dimension 2"):
-        retrieve.search_table(df, 2).collect()
+        retrieve.search_all(df, 2).collect()
+
+
+@each_form
+def test_integer_tiny_and_too_long_vectors(spark, form):
+    rng = np.random.default_rng(4)
+    whole = rng.integers(-9, 9, (60, 5))
+    for kind, matrix in (("int", whole), ("float", (whole * 1e-22).astype(np.float32))):
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(matrix)], f"vec_id long, vector array<{kind}>")
+        found = hits(neighbours.search(df, df.withColumnRenamed("vec_id", "query_id"), 3, **FORMS[form]))
+        exact = ((matrix[:, None].astype(float) - matrix[None].astype(float)) ** 2).sum(axis=2)
+        for q, got in found.items():
+            assert [i for i, _ in got] == np.lexsort((np.arange(60), exact[q]))[:3].tolist()
+    long = spark.createDataFrame([(0, [1e200]), (1, [1.0])], "vec_id long, vector array<double>")
+    with pytest.raises(Exception, match="too long"):
+        neighbours.search(long, long.withColumnRenamed("vec_id", "query_id"), 1, **FORMS[form]).collect()
+
+
+def test_limits_go_by_bytes(spark, monkeypatch):
+    df = frame(spark, np.random.default_rng(5).normal(size=(40, 4)))
+    queries = df.withColumnRenamed("vec_id", "query_id")
+    wanted = hits(neighbours.search(df, queries, 3))
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 16 * 7)
+    found = neighbours.search(df, queries, 3)
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString() and hits(found) == wanted
 
 
 def test_dimension_check(spark):

@@ -26,7 +26,7 @@ def test_vocabulary(vocabulary):
     assert [tuple(r) for r in rows] == [
         (0, "<pad>", 0), (1, "</s>", 0), (2, "<unk>", 0), (3, "b", 4), (4, "a", 2), (5, "c", 1), (6, "Ü", 1),
     ]
-    assert vocabulary.size == 7 and vocabulary.special_ids == [0, 1, 2]
+    assert vocabulary.size == 7 and vocabulary.special_ids == [0, 1] and vocabulary.reserved_ids == [0, 1, 2]
 
 
 @pytest.mark.parametrize("shared", [True, False])
@@ -34,29 +34,46 @@ def test_vocabulary(vocabulary):
 def test_encode_and_back(spark, docs, vocabulary, shared, head, monkeypatch):
     monkeypatch.setattr(tokens, "HEAD_TOKENS", head)  # below it tokens are joined by shuffle
     more = docs.unionByName(spark.createDataFrame([(5, ["zzz", "a", None])], "id int, tokens array<string>"))
-    encoded = tokens.encode(more, "id", "tokens", vocabulary, shared=shared)
+    encoded = tokens.encode(more, "tokens", vocabulary, shared=shared)
     assert by_id(encoded, "ids") == {1: [3, 4, 3, 5], 2: [4, 3, 3, 6], 3: [], 4: None, 5: [2, 4, 2]}
-    back = tokens.ids_to_tokens(encoded, "id", "ids", vocabulary, "back", shared=shared)
+    back = tokens.ids_to_tokens(encoded, "ids", vocabulary, "back", shared=shared)
     assert by_id(back, "back") == {1: list("babc"), 2: list("abbÜ"), 3: [], 4: None, 5: ["<unk>", "a", "<unk>"]}
 
 
 def test_prefix_suffix_and_decode(docs, vocabulary):
-    encoded = tokens.encode(docs, "id", "tokens", vocabulary, prefix=[0], suffix=[1])
+    encoded = tokens.encode(docs, "tokens", vocabulary, prefix=[0], suffix=[1])
     assert by_id(encoded, "ids") == {1: [0, 3, 4, 3, 5, 1], 2: [0, 4, 3, 3, 6, 1], 3: [0, 1], 4: None}
-    decoded = tokens.batch_decode(encoded, "id", "ids", vocabulary)
+    decoded = tokens.batch_decode(encoded, "ids", vocabulary)
     assert by_id(decoded, "text") == {1: "b a b c", 2: "a b b Ü", 3: "", 4: None}
 
 
 def test_a_null_key_keeps_its_row(spark, vocabulary):
     df = spark.createDataFrame([(None, ["a"]), (1, ["b"])], "id int, tokens array<string>")
     for shared in (True, False):
-        assert by_id(tokens.encode(df, "id", "tokens", vocabulary, shared=shared), "ids") == {None: [4], 1: [3]}
+        assert by_id(tokens.encode(df, "tokens", vocabulary, shared=shared), "ids") == {None: [4], 1: [3]}
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_rows_of_equal_keys_stay_apart(spark, vocabulary, shared):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (1, ["c"])], "id int, tokens array<string>")
+    encoded = tokens.encode(df, "tokens", vocabulary, shared=shared)
+    assert sorted(r["ids"] for r in encoded.collect()) == [[4, 3], [5], [5]]
+    back = tokens.ids_to_tokens(encoded, "ids", vocabulary, "back", shared=shared)
+    assert all(r["back"] == r["tokens"] for r in back.collect()) and back.columns == ["id", "tokens", "ids", "back"]
+
+
+def test_joined_lookup_scans_its_input_once(spark, vocabulary, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([("a b",), ("c",)], "text string").write.parquet(path)
+    rows = tokens.tokenize(spark.read.parquet(path), "text")
+    plan = tokens.encode(rows, "tokens", vocabulary, shared=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in plan and "regexp_extract_all" not in plan
 
 
 def test_id_out_of_range_is_unknown(spark, vocabulary):
     df = spark.createDataFrame([(1, [-1, 99, 3])], "id int, ids array<int>")
     for shared in (True, False):
-        back = tokens.ids_to_tokens(df, "id", "ids", vocabulary, shared=shared)
+        back = tokens.ids_to_tokens(df, "ids", vocabulary, shared=shared)
         assert by_id(back, "tokens") == {1: ["<unk>", "<unk>", "b"]}
 
 
@@ -64,7 +81,7 @@ def test_large_vocabulary_is_not_collected(vocabulary, docs, monkeypatch):
     monkeypatch.setattr(tokens, "SHARED_VOCABULARY_BYTES", 10)
     with pytest.raises(ValueError):
         vocabulary.in_order()
-    plan = tokens.encode(docs, "id", "tokens", vocabulary)._jdf.queryExecution().executedPlan().toString()
+    plan = tokens.encode(docs, "tokens", vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "ArrowEval" not in plan
 
 
@@ -85,4 +102,4 @@ def test_lang_prefix(spark):
 def test_prefixes(spark):
     df = spark.createDataFrame([(1, [10, 5, 6]), (2, [])], "id int, ids array<int>")
     rows = tokens.unroll_prefixes(df, "id", "ids").sort("n").collect()
-    assert [r["prefix"] for r in rows] == [[10], [10, 5], [10, 5, 6]]
+    assert [tuple(r) for r in rows] == [(1, 1, 10), (1, 2, 5), (1, 3, 6)]
