@@ -39,6 +39,9 @@ ASIDE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content main post entry story body articlebody maincontent".split())
 
+# Words of containers whose articles are not the page's own.
+OTHERS_WORDS = frozenset("comment comments disqus reply replies respondents related recommended sidebar teaser".split())
+
 _MARKUP = regex.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
     regex.DOTALL,
@@ -47,7 +50,7 @@ _HINT = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PIECE = regex.compile(r"[a-z]+|[0-9]+")
 _HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.IGNORECASE)
 
-NOWHERE, INSIDE, OUTSIDE = 0, 1, -1
+NOWHERE, INSIDE, OUTSIDE, OTHERS = 0, 1, -1, -2  # OTHERS: outside, and so is any article in it
 
 
 @dataclass
@@ -65,15 +68,18 @@ class Block:
 
 def _zone(name: str, attributes: str, outer: int) -> int | None:
     """What a container says of its contents; None if nothing."""
+    said = {w for hint in _HINT.findall(attributes) for w in _PIECE.findall(" ".join(hint).lower())}
+    if outer == OTHERS or said & OTHERS_WORDS or name == "aside":
+        return OTHERS
     if name in CONTENT:
         return INSIDE
     if name in ASIDE:
         # A header inside an article is the article's own.
         return None if name == "header" and outer == INSIDE else OUTSIDE
-    said = {w for hint in _HINT.findall(attributes) for w in _PIECE.findall(" ".join(hint).lower())}
-    if said & ASIDE_WORDS:
-        return OUTSIDE
-    return INSIDE if said & CONTENT_WORDS else None
+    apart, content = said & ASIDE_WORDS, said & CONTENT_WORDS
+    if apart:
+        return None if content and apart == {"header"} else OUTSIDE
+    return INSIDE if content else None
 
 
 @dataclass

@@ -29,6 +29,15 @@ def test_page():
     ]
 
 
+def test_articles_of_others_and_headers_of_articles():
+    page = (
+        "<div class='ad'>Buy now<article><div class='article-header'><h2>Head</h2></div><p>Mine"
+        "<div id=comments><article class=c><p>Not mine, though it is a whole paragraph of words</article></div>"
+        "<p>Mine too</article><aside><article><p>A teaser</article></aside><div class='related-posts'><main>More</main></div>"
+    )
+    assert ht.main_text(page, TREE).split("\n\n") == ["Head", "Mine", "Mine too"]
+
+
 def test_tree_fits_its_table():
     assert all(ht.keep(TREE, row[:-1]) == bool(row[-1]) for row in ht.TRAINING)
 
