@@ -26,7 +26,7 @@ def test_entry(spark):
     assert rows == {"ok": 200}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
