@@ -159,12 +159,27 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) >> 1
 
 
+def _sharpest(counts: dict[str, tuple[int, int]]) -> set[str]:
+    """Features without the stems that a longer stem or a word does as well with less error.
+
+    ``counts``: in how many toxic and other texts each feature is; a stem ends with an asterisk.
+    """
+    kept = set(counts)
+    for name, (toxic, others) in counts.items():
+        for n in _STEMS:
+            shorter = name[:n] + "*"
+            if shorter != name and shorter in counts and toxic >= 0.95 * counts[shorter][0] and others < counts[shorter][1]:
+                kept.discard(shorter)
+    return kept
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = LABELLED_ROWS) -> Grammar:
     """Learn from labelled documents: at most ``rows`` of them, picked by a hash of the key.
 
     The picked keys are few enough to broadcast, so no text is shuffled for them but theirs. Near
     copies count once. A word, or a stem of 4 to 6 letters, is an insult if at least 1 % of the
-    toxic texts have it (4 at least) and it is 30 times as common in them as in the others.
+    toxic texts have it (4 at least) and it is 30 times as common in them as in the others; of a stem
+    and a longer one that serves as well, the one with fewer errors stays.
     Rows without a key, text or label are left out; without toxic and other rows nothing is learned.
     """
     spark = docs.sparkSession
@@ -206,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .filter((F.col("toxic") + 0.5) * others >= 30.0 * toxic * (F.col("others") + 0.5))
         .collect()  # at most 100 per word of a text, since each is in a hundredth of the texts
     )
-    names = {r["feature"] for r in told}
+    names = _sharpest({r["feature"]: (r["toxic"], r["others"]) for r in told})
     grammar = Grammar(frozenset(n for n in names if n[-1] != "*"), frozenset(n[:-1] for n in names if n[-1] == "*"))
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

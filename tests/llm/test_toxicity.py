@@ -35,6 +35,10 @@ def test_clauses_do_not_leak():
     assert count("lowei foolish") == [] and count("I will hurt you; fool!") == [(0, 1), (8, 1)]
 
 
+def test_sharper_stems_replace_blunt_ones():
+    assert tox._sharpest({"abcd*": (100, 3), "abcde*": (99, 0), "xyzu*": (100, 0), "xyzuv*": (60, 0), "word*": (50, 2), "words": (49, 0)}) == {"abcde*", "xyzu*", "xyzuv*", "words"}
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
