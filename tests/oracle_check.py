@@ -48,11 +48,12 @@ def compare(df, con, sql: str) -> str | None:
 
 
 if __name__ == "__main__":
+    from pairloom.scratch import drop_scratch
     from pairloom.session import local_session
     from __spark_entry__ import oracle_sql, queries
 
     sf_dir = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
-    wanted = sys.argv[2:] or list(queries())
+    wanted = sys.argv[2:] or list(oracle_sql())
     spark, con = local_session(), connect(sf_dir)
     bad = 0
     for name in wanted:
@@ -62,5 +63,6 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001 - reported, and counted as a failure
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
+        drop_scratch(spark)
         print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - began:.2f}s {problem or ''}", flush=True)
     print(f"{len(wanted) - bad} of {len(wanted)} match")
