@@ -11,7 +11,9 @@ Windows of ``length`` bytes that are equal must meet, and without moving every w
    anchors of equal hash at equal offsets. Neighbouring windows mostly share their anchor, so a
    text has about one anchor per 34 bytes, each with a *context*: all bytes of its windows.
 2. Anchors are grouped by hash. A hash that occurs once is done. Of occurrences with the same
-   whole context, all windows of all but the first start earlier as well.
+   whole context, all windows of all but the first start earlier as well. Copies within one chunk
+   of texts are told apart before the shuffle, and go their own way: a passage that fills the
+   corpus does not fill one task.
 3. First occurrences whose hash has further contexts go to index shards (by hash, so shards are
    independent). A shard's contexts form one text; its suffixes are sorted, the Burrows-Wheeler
    transform is cut into runs, and suffix-array entries are kept at run ends only, with one match
@@ -218,7 +220,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- on Spark
 
-_ANCHOR = "gram long, whole long, doc long, tie long, begin int, windows int"
+_ANCHOR = "gram long, whole long, doc long, tie long, begin int, windows int, n int"
 _CONTEXT = "gram long, doc long, tie long, begin int, context binary"
 _SPAN = "doc long, tie long, begin int, finish int"
 _SLICE = 1 << 22  # windows of a long text that are worked on at a time
@@ -248,6 +250,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
+def _counted(gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For the first occurrence of each context in a chunk: how many there are; 0 for the others.
+
+    An occurrence at the place of the first (of a repeated row) is marked -1.
+    """
+    order = np.lexsort((begin, tie, doc, whole, gram))
+    gram, whole, doc, tie, begin = (x[order] for x in (gram, whole, doc, tie, begin))
+    fresh = np.append(True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]))[: len(order)]
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(order)))
+    own = np.repeat(first, size)
+    again = (doc == doc[own]) & (tie == tie[own]) & (begin == begin[own])
+    n = np.where(again, -1, 0)
+    n[first] = size
+    out = np.empty(len(order), np.int32)
+    out[order] = n
+    return out
+
+
 def _find_anchors(length: int):
     def pieces(values: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Bytes, bounds of texts in them, and place of each in its text; a long text comes in slices
@@ -267,11 +288,14 @@ def _find_anchors(length: int):
             for rows, values in chunks(batch, "text"):
                 for data, bounds, owner, shift in pieces(values):
                     text, begin, count, gram, whole = anchors(data, bounds, length)
-                    row = pa.array(owner[text])
+                    doc, tie = (rows.column(c).to_numpy()[owner[text]] for c in ("doc", "tie"))
                     begin = begin - bounds[text] + shift[text]
+                    n = _counted(gram, whole, doc, tie, begin)
+                    # A copy of a context in the same chunk is known to be one: it need not meet its hash.
+                    gram = np.where(n == 0, _mixed(doc.view(np.uint64) * np.uint64(_BASES[0]) + begin.astype(np.uint64)).view(np.int64), gram)
+                    columns = (gram, whole, doc, tie, begin.astype(np.int32), count.astype(np.int32), n)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram), pa.array(whole), rows.column("doc").take(row), rows.column("tie").take(row), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        ["gram", "whole", "doc", "tie", "begin", "windows"],
+                        [pa.array(c[n >= 0]) for c in columns], ["gram", "whole", "doc", "tie", "begin", "windows", "n"]
                     )
 
     return run
@@ -284,7 +308,7 @@ def _cut_contexts(length: int):
         for batch in batches:
             for rows, values in chunks(batch, "text"):
                 out: list[tuple] = []
-                for text, row in zip(values, rows.drop_columns(["text"]).to_pylist()):
+                for text, row in zip(values, rows.select(["doc", "tie", "wanted"]).to_pylist()):
                     data = text.encode()
                     for a in row["wanted"]:
                         begin, end = a["begin"], a["begin"] + a["windows"] + length - 1
@@ -328,7 +352,7 @@ def _search_shards(length: int):
 
 
 def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``(doc, tie, spans)`` of texts with something to remove; ``docs`` has doc, tie and text.
+    """``(doc, tie, spans)`` of texts with something to remove; ``docs`` has doc, tie, text and maybe more.
 
     Precedence is by ``doc``, then ``tie``. ``spans`` are byte ranges that may overlap.
     """
@@ -336,13 +360,14 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     per_gram, per_context = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
     # One shuffle serves all three windows; hashes that occur once are dropped by the first.
     known = write_scratch(
-        docs.mapInArrow(_find_anchors(length), _ANCHOR)
+        docs.select("doc", "tie", "text")
+        .mapInArrow(_find_anchors(length), _ANCHOR)
         .repartition("gram")
-        .withColumn("n", F.count("*").over(per_gram))
-        .filter("n > 1")
-        .withColumn("copy", here != F.min(here).over(per_context))
+        .withColumn("total", F.sum("n").over(per_gram))
+        .filter("total > 1 OR n = 0")
+        .withColumn("copy", (F.col("n") == 0) | (here != F.min(here).over(per_context)))
         .withColumn("contexts", F.count_if(~F.col("copy")).over(per_gram))
-        .drop("n", "whole"),
+        .drop("n", "total", "whole"),
         "anchors",
     )
     copies = known.filter("copy").select("doc", "tie", "begin", (F.col("begin") + F.col("windows") - 1 + length).alias("finish"))
@@ -351,7 +376,8 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         .groupBy("doc", "tie")  # at most the anchors of one text
         .agg(F.collect_list(F.struct("gram", "begin", "windows", (F.col("contexts") > CROWDED).alias("crowded"))).alias("wanted"))
     )
-    contexts = docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "wanted", "text").mapInArrow(_cut_contexts(length), _CONTEXT)
+    # All columns of the texts come along: so this shuffle of theirs is the one that the result joins.
+    contexts = docs.join(wanted, ["doc", "tie"]).select(*docs.columns, "wanted").mapInArrow(_cut_contexts(length), _CONTEXT)
     shards = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "begin")
     spans = copies.union(shards.mapInArrow(_search_shards(length), _SPAN))
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("spans"))
@@ -406,7 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", as_t
         rows = rows.join(shared, "doc", "left")
         tie = F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)
     rows = rows.select("doc", tie.alias("tie"), "text", "rest")
-    spans = _repeated_spans(rows.select("doc", "tie", "text"), length)
+    spans = _repeated_spans(rows, length)
     out = rows.join(spans, ["doc", "tie"], "left").select("rest", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
     kind = out.schema["rest"].dataType.simpleString()
     schema = f"rest {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<begin: int, end: int>>"
