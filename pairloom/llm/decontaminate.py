@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import texts
 from pairloom.scratch import write_scratch
 
-BROADCAST_BYTES = 16 << 20  # sketches are broadcast up to here, by their measured rows; else shuffled
-_SKETCH_ROW = 32  # bytes assumed per broadcast row
+BROADCAST_BYTES = 32 << 20  # what the items' shingles may measure for their side of joins to be broadcast; else shuffled
+_ROW_BYTES = 64  # of a row besides its shingle's text
 
 
 def words(text: Column) -> Column:
@@ -71,8 +71,10 @@ def sketches(items: DataFrame, width: int, containment: float) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> bool:
-    return df.count() * _SKETCH_ROW <= BROADCAST_BYTES
+def _fits(shingle_rows: DataFrame) -> bool:
+    """Whether the items' shingles, of which sketches are a part, are small enough to broadcast."""
+    size = shingle_rows.agg(F.sum(F.octet_length("shingle") + _ROW_BYTES)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def contained_items(
@@ -95,15 +97,16 @@ def contained_items(
     """
     docs = texts(docs, F.col(key).alias("doc_key"), F.col(text).alias("doc_text")).filter(F.col("doc_key").isNotNull())
     items = items.select(F.col(item_key).alias("item_key"), F.col(item_text).alias("item_text")).filter(F.col("item_key").isNotNull())
+    wanted = items.select("item_key", F.explode(shingles(words(F.col("item_text")), width)).alias("shingle")).distinct()
+    wanted = write_scratch(wanted, "shingles")
+    small = _fits(wanted)
     index = write_scratch(sketches(items, width, containment).select("item_key", "hash").distinct(), "sketches")
-    small = _small(index)
     heads = index.select("hash").distinct()
     seen = docs.select("doc_key", F.explode(shingle_hashes(words(F.col("doc_text")), width)).alias("hash"))
     # Only hits go on, once per document and hash; then they meet the items of that hash.
     hits = seen.join(F.broadcast(heads) if small else heads, "hash").distinct()
     pairs = write_scratch(hits.join(F.broadcast(index) if small else index, "hash").select("doc_key", "item_key").distinct(), "candidates")
     # Verification: the shingles of the items that are candidates of a document, as text.
-    wanted = items.select("item_key", F.explode(shingles(words(F.col("item_text")), width)).alias("shingle")).distinct()
     sizes = wanted.groupBy("item_key").agg(F.count("*").alias("n_shingles"))
     suspects = docs.join(pairs.select("doc_key").distinct(), "doc_key")
     present = suspects.select("doc_key", F.explode(shingles(words(F.col("doc_text")), width)).alias("shingle"))
