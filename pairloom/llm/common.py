@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 
 from pairloom.session import spread
 
-BATCH_CHARS = 1 << 20  # texts are worked on in chunks of about this many characters
+BATCH_ROWS = 1_000
+_ROWS_SETTING, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_CHARS = 1 << 19  # texts are worked on in chunks of about this many characters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns an operator works on, in enough tasks for costly work."""
+def texts(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Only the columns an operator works on, in enough tasks for costly work.
+
+    Rows of texts are wide, so Arrow batches are held to ``BATCH_ROWS``, unless the session has a
+    number of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_SETTING) == _ROWS_DEFAULT:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     return spread(df.select(*columns))
 
 

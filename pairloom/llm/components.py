@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.scratch import write_scratch
+from pairloom.session import ship_package
 
+PART_EDGES = 250_000  # edges that a task joins up on its own, about
 MAX_ROUNDS = 60  # rounds grow with the logarithm of a component's length; this is only a guard
 
 
@@ -30,16 +35,38 @@ def _stars(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest node of each of its components: fewer edges than nodes."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    pairs = [(x, y) for x in list(above) if (y := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (long columns a, b); root: the component's smallest node.
 
-    Loops and repeated edges do no harm; nodes without an edge are not listed. Each round is
+    Loops and repeated edges do no harm; nodes without an edge are not listed. First each task joins
+    up a bounded share of the edges, so that a dense group goes on with few of them. Each round is
     written, which cuts the lineage; nothing but a row count and a checksum reaches the driver.
     Rounds join on node numbers; a hub's rows are split by adaptive skew handling.
     """
-    current = write_scratch(
+    spark = edges.sparkSession
+    ship_package(spark)
+    given = write_scratch(
         edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    tasks = max(spark.sparkContext.defaultParallelism, -(-given.count() // PART_EDGES))
+    current = write_scratch(given.coalesce(tasks).mapInArrow(_joined_up, "a long, b long"), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
         state = current.agg(
