@@ -174,6 +174,7 @@ def component_digests(docs: DataFrame) -> DataFrame:
 BANDS, BAND_BITS = 36, 28
 LONG_BITS = BANDS * BAND_BITS
 _WORDS = -(-LONG_BITS // 64)  # 64-bit words of a fingerprint; bits beyond LONG_BITS are zero
+ROUNDS = 3  # rounds that the bands are dealt over
 BUCKET = 2_048  # members of a bucket that are compared in one go; larger buckets are compared in pairs of parts
 _SALTS = np.random.default_rng(7).integers(0, 1 << 64, _WORDS, np.uint64)
 
@@ -249,8 +250,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     Near copies are texts whose long fingerprints differ by no more than texts of the given
     Jaccard similarity do, and 1.5 standard errors more (0.02 of similarity), and which share a
     band but for one bit: nine in ten pairs at similarity 0.8, 49 in 50 at 0.85, all but one in
-    2,000 at 0.9, by the arithmetic of independent bits. Links are followed. Texts without a word are copies of each other. Repeated rows come back
-    repeated; a null key never becomes a component's id unless the component has no other.
+    2,000 at 0.9, by the arithmetic of independent bits. Links are followed. Bands are taken in
+    rounds; what one round links the next leaves alone, and the result is that of a single round.
+
+    Texts without a word are copies of each other. Repeated rows come back repeated; a null key
+    never becomes a component's id unless the component has no other.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -264,36 +268,37 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     nodes = prints.groupBy("print").agg(F.min(key).alias("first_key"))
     nodes = write_scratch(nodes.withColumn("node", F.xxhash64("print")), "nodes")
     limit = most_bits(similarity)
-    # First the bands as they are. What they link need not be linked again, which spares a dense
-    # group most of its buckets in the second, larger pass.
     members = Window.partitionBy("bucket")
-    whole = nodes.select("node", F.explode(_bands("print")).alias("bucket"))
-    shared = whole.repartition("bucket").withColumn("n", F.count("*").over(members)).filter("n > 1")
-    found = write_scratch(components(_bucket_edges(shared, nodes, limit)), "members")
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = write_scratch(rooted.withColumn("node", _labelled("node", "root")), "nodes")
     # Every band as it is, and with each of its set bits deleted in turn.
     deleted = [F.when(F.col("key").bitwiseAND(F.lit(1 << i)) != 0, F.col("key").bitwiseAND(F.lit(~(1 << i)))) for i in range(BAND_BITS)]
     variants = F.concat(F.array("key"), F.filter(F.array(*deleted), lambda x: x.isNotNull()))
-    indexed = nodes.select("node", F.explode(_bands("print")).alias("key")).select("node", "key", F.explode(variants).alias("bucket"))
-    # A bucket with deletions only, or with members of one label only, links nothing new.
     label = F.shiftright("node", 32)
-    shared = (
-        indexed.select("node", "bucket", (F.col("bucket") == F.col("key")).alias("whole"))
-        .repartition("bucket")
-        .withColumns(
-            {
-                "n": F.count("*").over(members),
-                "wholes": F.count_if(F.col("whole")).over(members),
-                "least": F.min(label).over(members),
-                "most": F.max(label).over(members),
-            }
+    nodes = nodes.withColumn("root", F.col("node"))
+    for begin in range(0, BANDS, BANDS // ROUNDS):
+        # What the bands so far have linked need not be linked again, which spares a dense group
+        # most of its buckets in the rounds that follow. The label tells what is linked.
+        nodes = write_scratch(nodes.withColumns({"node": _labelled("node", "root"), "root": _labelled("root", "root")}), "nodes")
+        bands = F.slice(_bands("print"), begin + 1, BANDS // ROUNDS)
+        indexed = nodes.select("node", F.explode(bands).alias("key")).select("node", "key", F.explode(variants).alias("bucket"))
+        # A bucket with deletions only, or with members of one label only, links nothing new.
+        shared = (
+            indexed.select("node", "bucket", (F.col("bucket") == F.col("key")).alias("whole"))
+            .repartition("bucket")
+            .withColumns(
+                {
+                    "n": F.count("*").over(members),
+                    "wholes": F.count_if(F.col("whole")).over(members),
+                    "least": F.min(label).over(members),
+                    "most": F.max(label).over(members),
+                }
+            )
+            .filter("least < most AND wholes > 0")
         )
-        .filter("least < most AND wholes > 0")
-    )
-    known = nodes.select(F.col("node").alias("a"), _labelled("root", "root").alias("b")).filter("a != b")
-    found = write_scratch(components(known.union(_bucket_edges(shared, nodes, limit))), "members")
-    rooted = nodes.drop("root").join(found, "node", "left").select("print", "first_key", F.coalesce("root", "node").alias("root"))
+        known = nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
+        found = write_scratch(components(known.union(_bucket_edges(shared, nodes, limit))), "members")
+        # A label is its root's digest, so it changes with the root.
+        nodes = nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select("print", "first_key", "node", "root")
+    rooted = nodes.select("print", "first_key", "root")
     least = rooted.groupBy("root").agg(F.min("first_key").alias("component_id"))
     named = rooted.select("print", "root").join(least, "root").select("print", "component_id")
     return prints.join(named, "print")
