@@ -142,3 +142,19 @@ def test_near_copies(spark, monkeypatch, bucket):
     kept = sorted(str(r["doc_id"]) for r in sim.one_of_each(docs).collect())
     assert kept == sorted([str(k) for k in set(least.values()) - {least[group[rows[0][0]]]}] + ["2000", "None", "-1"])
     assert sim.one_of_each(docs.limit(0)).collect() == [] and sim.one_of_each(docs).columns == docs.columns
+
+
+def grouped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["component_id"] for r in sim.near_copies(docs).orderBy("doc_id").collect()]
+
+
+def test_a_repeated_line_does_not_join_texts(spark):
+    own = iter("own%d" % i for i in range(10**6))
+    texts = []
+    for words, line, times in ((300, 12, 20), (60, 10, 10), (200, 20, 12)):
+        shared = ["line%d" % i for i in range(line)]
+        for _ in range(3):
+            texts.append(" ".join([next(own) for _ in range(words)] + shared * times))
+    texts.append(texts[0].replace("own5 ", "changed "))
+    assert grouped(spark, texts) == [*range(9), 0]
