@@ -21,7 +21,9 @@ Windows of ``length`` bytes that are equal must meet, and without moving every w
    going left from a sampled position, the match partner goes left too and the match grows by one. Statistics of ``length`` or more link a
    window to an equal one; of each chain of links all but the first window start earlier.
 4. A hash with very many contexts would make a large shard. Its contexts are cut to single
-   windows, dealt by window content, and handled by the same indexes.
+   windows, of which only digests are kept. The first window of each digest is found with combining
+   before the shuffle; all others start earlier. Digests of very many windows are few and broadcast,
+   so that they need not meet in one task.
 
 Copies of a whole text are set aside first: of them only the first is looked at.
 """
@@ -41,7 +43,8 @@ from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
 GRAM = 28  # bytes that an anchor's hash covers
-CROWDED = 2_000  # contexts of one hash from which on they are cut to windows
+CROWDED = 2_000  # contexts of one hash from which on they are cut to windows, and windows of one digest from which on it is broadcast
+BROADCAST_ANCHORS = 200_000  # anchors of crowded hashes that are broadcast to their texts
 SHARD_BYTES = 1 << 17  # text of one index, about; whole hashes are kept together. Its arrays fit a core's cache
 
 # ---------------------------------------------------------------- anchors
@@ -222,6 +225,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
 
 _ANCHOR = "gram long, whole long, doc long, tie long, begin int, windows int, n int"
 _CONTEXT = "gram long, doc long, tie long, begin int, context binary"
+_WINDOW = "digest binary, doc long, tie long, begin int"
 _SPAN = "doc long, tie long, begin int, finish int"
 _SLICE = 1 << 22  # windows of a long text that are worked on at a time
 
@@ -302,7 +306,7 @@ def _find_anchors(length: int):
 
 
 def _cut_contexts(length: int):
-    """Contexts of one text's anchors; those of crowded hashes as single windows, dealt by content."""
+    """Contexts of one text's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,18 +316,48 @@ def _cut_contexts(length: int):
                     data = text.encode()
                     for a in row["wanted"]:
                         begin, end = a["begin"], a["begin"] + a["windows"] + length - 1
-                        if not a["crowded"]:
-                            out.append((a["gram"], row["doc"], row["tie"], begin, data[begin:end]))
-                            continue
-                        for at in range(begin, begin + a["windows"]):
-                            window = data[at : at + length]
-                            key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True)
-                            out.append((key, row["doc"], row["tie"], at, window))
+                        out.append((a["gram"], row["doc"], row["tie"], begin, data[begin:end]))
                 yield _batch(out, _CONTEXT)
 
     return run
 
 
+def _cut_windows(length: int):
+    """Digests of the single windows of one text's anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, values in chunks(batch, "text"):
+                out: list[tuple] = []
+                for text, row in zip(values, rows.select(["doc", "tie", "wanted"]).to_pylist()):
+                    data = text.encode()
+                    for a in row["wanted"]:
+                        for at in range(a["begin"], a["begin"] + a["windows"]):
+                            out.append((hashlib.blake2b(data[at : at + length], digest_size=16).digest(), row["doc"], row["tie"], at))
+                yield _batch(out, _WINDOW)
+
+    return run
+
+
+def _crowded_spans(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows of ``anchors`` that start earlier."""
+    wanted = anchors.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "windows")).alias("wanted"))
+    if anchors.count() <= BROADCAST_ANCHORS:
+        wanted = F.broadcast(wanted)
+    windows = write_scratch(docs.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).mapInArrow(_cut_windows(length), _WINDOW), "windows")
+    return again(windows).select("doc", "tie", "begin", (F.col("begin") + length).alias("finish"))
+
+
+def again(windows: DataFrame) -> DataFrame:
+    """Rows ``(digest, doc, tie, begin)`` but the first of each digest, and those at the first one's place."""
+    here = F.struct("doc", "tie", "begin")
+    firsts = write_scratch(windows.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    crowded = firsts.filter(F.col("n") > CROWDED)
+    many = windows.join(F.broadcast(crowded), "digest")
+    few = windows.join(F.broadcast(crowded), "digest", "left_anti").join(firsts.filter(F.col("n") <= CROWDED), "digest")
+    return many.union(few).filter(here != F.col("first")).select("digest", "doc", "tie", "begin")
+
+
 def _search_shards(length: int):
     """Rows come sorted by hash and precedence; whole hashes are gathered to shards and indexed."""
 
@@ -372,14 +406,17 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     )
     copies = known.filter("copy").select("doc", "tie", "begin", (F.col("begin") + F.col("windows") - 1 + length).alias("finish"))
     wanted = (
-        known.filter("NOT copy AND contexts > 1")
+        known.filter(f"NOT copy AND contexts > 1 AND contexts <= {CROWDED}")
         .groupBy("doc", "tie")  # at most the anchors of one text
-        .agg(F.collect_list(F.struct("gram", "begin", "windows", (F.col("contexts") > CROWDED).alias("crowded"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("gram", "begin", "windows")).alias("wanted"))
     )
     # All columns of the texts come along: so this shuffle of theirs is the one that the result joins.
     contexts = docs.join(wanted, ["doc", "tie"]).select(*docs.columns, "wanted").mapInArrow(_cut_contexts(length), _CONTEXT)
     shards = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "begin")
     spans = copies.union(shards.mapInArrow(_search_shards(length), _SPAN))
+    crowded = known.filter(f"NOT copy AND contexts > {CROWDED}")
+    if not crowded.isEmpty():
+        spans = spans.union(_crowded_spans(docs, crowded, length))
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("spans"))
 
 

@@ -88,3 +88,30 @@ def test_special_rows(spark):
     # Repeated rows are one document; "z" * 150 repeats itself; a null key is last.
     assert found == [("1", 0), ("2", 0), ("2", 0), ("2", 149), ("3", 150), ("None", len(text))]
     assert sd.removal_digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_shared_passage_is_no_large_group(spark, monkeypatch):
+    """Every document brings other text around the passage, so all contexts at its ends differ."""
+    dice = random.Random(9)
+    prose = lambda n: "".join(dice.choice("abcdefgh ") for _ in range(n))
+    passage = prose(300)
+    rows = [(i, prose(90) + passage + prose(90)) for i in range(80)]
+    real, most = sd._search_shards, 20
+
+    def watched(length):
+        run = real(length)
+
+        def counted(batches):
+            batches, seen = list(batches), {}
+            for batch in batches:
+                for gram in batch.column("gram").to_pylist():
+                    seen[gram] = seen.get(gram, 0) + 1
+            assert max(seen.values(), default=0) <= most, seen
+            return run(iter(batches))
+
+        return counted
+
+    monkeypatch.setattr(sd, "CROWDED", most)
+    monkeypatch.setattr(sd, "_search_shards", watched)
+    found = sd.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r[0]: tuple(r)[1:] for r in found} == brute_documents(rows, 100)
