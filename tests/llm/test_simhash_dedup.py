@@ -158,3 +158,22 @@ def test_a_repeated_line_does_not_join_texts(spark):
             texts.append(" ".join([next(own) for _ in range(words)] + shared * times))
     texts.append(texts[0].replace("own5 ", "changed "))
     assert grouped(spark, texts) == [*range(9), 0]
+
+
+@pytest.mark.parametrize("common", [256, 3])
+def test_short_near_copies_are_those_of_the_sets(spark, monkeypatch, common):
+    monkeypatch.setattr(sim, "COMMON", common)
+    dice = random.Random(8)
+    texts = []
+    for n in [8, 9, 10, 10, *(dice.randrange(1, 60) for _ in range(40))]:
+        base = ["w%d" % dice.randrange(2000) for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base[1:]]), " ".join([*base, "and", "more"])]
+        texts.append(" ".join([*("common line of all the short texts".split()), *base]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert grouped(spark, texts) == root and len(set(root)) < len(texts) - 40
