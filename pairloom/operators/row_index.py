@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from pairloom.scratch import write_scratch
 
 _SLOT = "__slot"  # partition in the high bits, position in it in the low 33 bits
 _POSITION_BITS = 33
-RANGE_BYTES = 128 << 20  # of the planner's estimate, per range
+RANGE_BYTES = 128 << 20  # measured bytes per range
 MAX_RANGES = 1 << 20  # what a row count per range may take on the driver; ranges grow only beyond 128 TB
 
 
@@ -76,16 +76,55 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*hashable)
 
 
-def _range_count(df: DataFrame) -> int:
-    """Number of ranges: one per MB of the planner's size estimate, up to the session's number of
-    shuffle partitions; beyond that, as many as keep a range at ``RANGE_BYTES``.
+def _row_bytes(kind: T.DataType, value: Column) -> Column:
+    """Bytes that a value takes in memory, about, from its own lengths; a null counts as one of no length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType):
+        size = F.greatest(F.size(value), F.lit(0)).cast("long")
+        if isinstance(kind.elementType, T.AtomicType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return size * 8 + 8
+        held = F.aggregate(value, F.lit(8).cast("long"), lambda total, x: total + _row_bytes(kind.elementType, x))
+        return F.coalesce(held, F.lit(8).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _row_bytes(T.ArrayType(kind.keyType), F.map_keys(value)) + _row_bytes(T.ArrayType(kind.valueType), F.map_values(value))
+    if isinstance(kind, T.StructType):
+        return sum((_row_bytes(f.dataType, value[f.name]) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is one stored table with columns picked, renamed or filtered: cheap to read again."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def _staged(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` to be read again cheaply, and its size in bytes, measured row by row.
+
+    The planner's own estimate is no measure: without statistics a join counts as the product of
+    its sides. A scan is measured by one pass over it. Anything else is written on the way, so
+    that what the range bounds are sampled from and what is shuffled is worked out once.
+    """
+    row = sum((_row_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))
+    total = F.sum(row).alias("bytes")
+    if _is_scan(df):
+        return df, df.agg(total).first()[0] or 0
+    seen = Observation()
+    stored = write_scratch(df.observe(seen, total), "unordered")
+    return stored, seen.get.get("bytes") or 0
+
+
+def _range_count(n_bytes: int, usual: int) -> int:
+    """Number of ranges for a table of this measured size: one per MB up to ``usual``, the session's
+    number of shuffle partitions; beyond that, as many as keep a range at ``RANGE_BYTES``.
 
     A fixed number keeps adaptive execution from joining ranges by their compressed size, which
     would put a mass of copies, being small when compressed, in a few tasks again.
     """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(usual, estimate >> 20), min(-(-estimate // RANGE_BYTES), MAX_RANGES))
+    return max(1, min(usual, n_bytes >> 20), min(-(-n_bytes // RANGE_BYTES), MAX_RANGES))
 
 
 def index_rows(
@@ -97,9 +136,10 @@ def index_rows(
 ) -> RowIndex:
     """Number the rows of ``df`` in the given order.
 
-    One range shuffle orders the table, which is then written once with each row's partition
-    and position in it; row counts per partition give the starting numbers. The table must be
-    written because range bounds come from a sample and would differ between two passes.
+    The rows are measured, and written if they are more than a scan; one range shuffle orders them,
+    and they are written with each row's partition and position in it. Row counts per partition give the
+    starting numbers. The ordered table must be written because range bounds come from a sample
+    and would differ between two passes.
 
     Set ``unique`` if the order columns, which must be names then, already tell rows apart, or to
     the names of columns that do. This is checked, and the index fails if two rows share them.
@@ -108,15 +148,17 @@ def index_rows(
     input partition's share of copies stays together. That partition is the same whenever a
     task runs again.
 
-    The number of ranges follows the table's size, unless given.
+    The number of ranges follows the measured size, unless given.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     columns = df.columns
     if not unique:
         df = df.withColumns({"__row": _row_hash(df), "__from": F.spark_partition_id()})
         keys += [F.col("__row"), F.col("__from")]
+    staged, n_bytes = _staged(df)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.repartitionByRange(partitions or _range_count(df), *keys)
+        staged.repartitionByRange(partitions or _range_count(n_bytes, usual), *keys)
         .sortWithinPartitions(*keys)
         .select(*columns, F.monotonically_increasing_id().alias(_SLOT))
     )
@@ -153,9 +195,8 @@ def number_rows(
 ) -> DataFrame:
     """The rows of ``df`` with their number.
 
-    An index reads its input twice, for range bounds and for the shuffle, and writes it once.
-    If column names that tell rows apart give the order, only those columns go through it, and
-    the numbers are joined back to the other columns.
+    If column names that tell rows apart give the order, only those columns are written, sorted and
+    numbered, and the numbers are joined back to the other columns.
     """
     if not unique or not all(isinstance(c, str) for c in order_by) or set(order_by) == set(df.columns):
         return index_rows(df, *order_by, name=name, unique=unique).table()

@@ -113,16 +113,16 @@ def build_vocabulary(
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    ranked = index_rows(counts, F.col("n").desc(), "token", unique=["token"]).table()
+    ranked = index_rows(counts, F.col("n").desc(), "token", unique=["token"])
     head = df.sparkSession.createDataFrame(
         [(i, token, 0) for i, token in enumerate(reserved)], "token_id int, token string, n long"
     )
-    numbered = head.unionByName(
-        ranked.select((F.col("row_idx") + len(reserved)).cast("int").alias("token_id"), "token", "n")
+    # The index is written already: numbers are added to its rows as they are read.
+    table = head.unionByName(
+        ranked.table().select((F.col("row_idx") + len(reserved)).cast("int").alias("token_id"), "token", "n")
     )
-    table = write_scratch(numbered, "vocabulary")
-    size, n_bytes = table.agg(F.count("*"), F.sum(F.octet_length("token") + 8)).first()
-    return Vocabulary(table, size, n_bytes, reserved)
+    n_bytes = table.agg(F.sum(F.octet_length("token") + 8)).first()[0]
+    return Vocabulary(table, ranked.total + len(reserved), n_bytes or 0, reserved)
 
 
 def encode(

@@ -49,10 +49,12 @@ def encode_pairs(
 ) -> EncodedPairs:
     """Token ids of both sides: language code, tokens, end mark.
 
-    Without a vocabulary one is built from both sides of these pairs.
+    Without a vocabulary one is built from both sides of these pairs, whose tokens are then
+    written: the pairs are worked out and tokenized once, for the vocabulary and for the ids.
     """
     tokenized = tokenize_pair(pairs, source, target, source_tokenizer, target_tokenizer)
     if vocabulary is None:
+        tokenized = write_scratch(tokenized, "tokenized")
         reserved = (PAD, END, UNKNOWN, source_lang, target_lang)
         vocabulary = build_vocabulary(tokenized, "source_tokens", "target_tokens", reserved=reserved)
     end = [vocabulary.reserved_id(END)]

@@ -60,12 +60,29 @@ def test_a_wrong_promise_of_unique_keys_fails(spark):
         row_index.index_rows(df, F.col("k").desc(), unique=True)
 
 
-def test_ranges_follow_the_size(spark, monkeypatch):
-    df = spark.range(0, 4_000_000)  # 32 MB by the planner's estimate
-    assert row_index._range_count(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    monkeypatch.setattr(row_index, "RANGE_BYTES", 1 << 20)
-    assert row_index._range_count(df) == 31
-    assert row_index._range_count(spark.range(3)) == 1
+def test_ranges_follow_the_measured_size(spark, monkeypatch):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert row_index._range_count(3, usual) == 1
+    assert row_index._range_count(32 << 20, usual) == usual
+    assert row_index._range_count(32 << 30, usual) == 256
+    # A join without statistics: the planner multiplies its sides, the measure does not.
+    left = spark.range(0, 20_000, 1, 4).select("id", F.concat(F.lit("x"), "id").alias("l"))
+    pairs = left.join(left.withColumnRenamed("l", "r"), "id").hint("merge")
+    estimate = int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimate > 1 << 30
+    assert len(row_index.index_rows(pairs, "id", unique=True).spans) == 1
+    # A table that is large by measure gets many ranges, whatever is planned.
+    monkeypatch.setattr(row_index, "RANGE_BYTES", 1 << 16)
+    assert len(row_index.index_rows(pairs, "id", unique=True).spans) == 11
+
+
+def test_the_measure_counts_every_kind_of_value(spark):
+    df = spark.sql(
+        "SELECT 1 AS a, 'abcd' AS b, array('xy', null) AS c, array(1.0D, 2.0D) AS d, map('k', 'vv') AS e, "
+        "named_struct('f', 'ggg', 'h', 1L) AS s, cast(null AS string) AS n, cast(null AS array<string>) AS m"
+    )
+    _, measured = row_index._staged(df)
+    assert measured == 8 + (4 + 8) + (8 + 10 + 8) + (2 * 8 + 8) + (8 + 9 + 8 + 10) + (8 + 11 + 8) + 8 + 8
 
 
 def test_empty_table(spark):
