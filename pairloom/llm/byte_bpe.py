@@ -75,7 +75,7 @@ _BLOCK = 256
 def code_classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or BLANK of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for code in range(0x110000):
+    for code in (*range(0x40000), *range(0xE0000, 0xF0000)):  # all other planes are unassigned or private
         first = unicodedata.category(chr(code))[0]
         if first == "L":
             kinds[code] = LETTER
@@ -173,39 +173,170 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Merger:
+    """Merges many pieces at once. Each round joins, in every piece, the adjacent parts of lowest joint
+    rank, leftmost first; joint ranks are looked up for the changed neighbours only."""
+
+    LONGEST = 64  # longer pieces are merged one by one, in n log n steps
+    NONE = 1 << 40  # rank of parts that do not join
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_byte = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
+        joined = [
+            (left << 32 | right, rank)
+            for token, rank in ranks.items()
+            for i in range(1, len(token))
+            if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
+        ]
+        table = np.array(sorted(joined) or [(-1, 0)], np.int64)
+        self.pairs, self.joint = table[:, 0].copy(), table[:, 1].copy()
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.joint[at], self.NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and the number of ids of each."""
+        out: list = [None] * len(pieces)
+        batch = []
+        for i, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = (whole,)
+            elif len(piece) > self.LONGEST:
+                out[i] = merge(piece, self.ranks)
+            else:
+                batch.append(i)
+        if batch:
+            ids, counts = self._merge_short([pieces[i] for i in batch])
+            ends = np.cumsum(counts)
+            for i, begin, end in zip(batch, (ends - counts).tolist(), ends.tolist()):
+                out[i] = ids[begin:end]
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        flat = np.concatenate([np.asarray(x, np.int64) for x in out]) if out else np.zeros(0, np.int64)
+        return flat, counts
+
+    def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        if (ids < 0).any():
+            raise ValueError("the ranks lack a single byte")
+        own = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        done_ids, done_own = [], []
+        rank = np.full(len(ids), self.NONE)
+        rank[:-1] = np.where(own[1:] == own[:-1], self._ranks(ids[:-1], ids[1:]), self.NONE)
+        while len(ids):
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            sizes = np.diff(np.append(first, len(ids)))
+            best = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            live = best < self.NONE
+            if not live.all():  # pieces that are finished leave
+                done_ids.append(ids[~live])
+                done_own.append(own[~live])
+                ids, own, rank, best = ids[live], own[live], rank[live], best[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.append(True, own[at[1:]] != own[at[:-1]])]  # the leftmost of each piece
+            ids[at] = rank[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))  # one part has gone from each piece before
+            ids, own, rank = ids[stay], own[stay], rank[stay]
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left < len(ids) - 1)]
+                rank[left] = np.where(own[left] == own[left + 1], self._ranks(ids[left], ids[left + 1]), self.NONE)
+            rank[-1] = self.NONE
+        ids, own = np.concatenate(done_ids), np.concatenate(done_own)
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(pieces))
+
+
+class _Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype: type):
+        self.held, self.size = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.zeros(max(end, 2 * self.size) - self.size, self.held.dtype)))
+        self.held[self.size : end] = values
+        self.size = end
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``first, first + 1, ...``, ``count`` of them, for each pair, end to end."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceCache(dict):
-    """Piece to its place in flat lists of ids and token lengths; cleared when it grows large."""
+    """Piece to its place in flat arrays of ids. Two generations: a full one becomes the elder, whose
+    pieces come over as they are met again, and the eldest go."""
 
-    MOST_PIECES, LONGEST = 200_000, 512
+    MOST_PIECES, LONGEST = 300_000, 512
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.lengths = ranks, np.zeros(max(ranks.values(), default=0) + 1, np.int32)
+        self.merger = Merger(ranks)
+        size = max(ranks.values(), default=0) + 1
+        self.lengths = np.zeros(size, np.int32)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
-        self.reset()
-
-    def reset(self) -> None:
+        by_rank = sorted(ranks, key=ranks.__getitem__)
+        # The tokens' bytes end to end, for decoding by gathering.
+        self.token_bytes = np.frombuffer(b"".join(by_rank) or b"\0", np.uint8)
+        self.token_start = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self._begin()
+        self.elder = ({}, self.ids, self.first, self.count)
+
+    def _begin(self) -> None:
         self.clear()
-        self.ids: list[int] = []
-        self.first: list[int] = []
-        self.count: list[int] = []
+        self.ids, self.first, self.count = _Grown(np.int32), _Grown(np.int64), _Grown(np.int64)
+        self.fresh: list[bytes] = []  # pieces that have a place, but no ids yet
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full. Called between chunks."""
+        if len(self) > self.MOST_PIECES or self.ids.size > 16 * self.MOST_PIECES:
+            self.elder = (dict(self), self.ids, self.first, self.count)
+            self._begin()
 
     def __missing__(self, piece: bytes) -> int:
-        ids = merge(piece, self.ranks)
-        place = len(self.first)
-        self.first.append(len(self.ids))
-        self.count.append(len(ids))
-        self.ids.extend(ids)
+        place = self.first.size + len(self.fresh)
+        self.fresh.append(piece)
         if len(piece) <= self.LONGEST:
             self[piece] = place
         return place
 
+    def settle(self) -> None:
+        """Find the ids of the pieces met, from the elder generation or by merging."""
+        if not self.fresh:
+            return
+        places, ids, first, count = self.elder
+        known = np.fromiter((places.get(p, -1) for p in self.fresh), np.int64, len(self.fresh))
+        old = np.flatnonzero(known >= 0)
+        new = np.flatnonzero(known < 0)
+        merged, sizes = self.merger.merge_all([self.fresh[i] for i in new.tolist()])
+        counts = np.zeros(len(known), np.int64)
+        counts[old], counts[new] = count.held[known[old]], sizes
+        begin = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        flat[_ranges(begin[old], counts[old])] = ids.held[_ranges(first.held[known[old]], counts[old])]
+        flat[_ranges(begin[new], counts[new])] = merged
+        self.first.extend(begin + self.ids.size)
+        self.count.extend(counts)
+        self.ids.extend(flat)
+        self.fresh = []
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids one after the other."""
+        return self.token_bytes[_ranges(self.token_start[ids], self.lengths[ids].astype(np.int64))]
+
 
 def encode_texts(values: list[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, byte offset of each id in its text, ids per text."""
-    if len(cache) > cache.MOST_PIECES or len(cache.ids) > 16 * cache.MOST_PIECES:
-        cache.reset()
+    cache.turn()
     lengths = np.fromiter(map(len, values), np.int64, len(values))
     joined = "\0".join(values)
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -224,11 +355,10 @@ def encode_texts(values: list[str], cache: PieceCache) -> tuple[np.ndarray, np.n
     places = np.fromiter(
         map(cache.__getitem__, map(data.__getitem__, map(slice, begin.tolist(), end.tolist()))), np.int64, len(begin)
     )
-    count, first = np.asarray(cache.count, np.int64)[places], np.asarray(cache.first, np.int64)[places]
-    total = np.cumsum(count)
-    n = int(total[-1]) if len(total) else 0
-    within = np.arange(n) - np.repeat(total - count, count)
-    ids = np.asarray(cache.ids, np.int32)[np.repeat(first, count) + within] if n else np.zeros(0, np.int32)
+    cache.settle()
+    count, first = cache.count.held[places], cache.first.held[places]
+    ids = cache.ids.held[_ranges(first, count)]
+    n = len(ids)
     owner = np.searchsorted(breaks, starts, side="right")  # the text of each piece
     per_text = np.bincount(owner, weights=count, minlength=len(values)).astype(np.int64)
     # A token begins where the lengths of the tokens before it in its text end.
@@ -283,33 +413,48 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     return texts(docs, *(f"`{f.name}`" for f in kept), f"`{text}`").mapInArrow(run, out)
 
 
+def _bytes(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values, ``counts`` bytes each, of bytes that lie end to end."""
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids as a binary column; null ids give no bytes."""
+    """``encoded`` with the bytes of its ids as a binary column; null ids give no bytes. An id that the
+    ranks do not have fails."""
     spark = encoded.sparkSession
     ship_package(spark)
-    tokens = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
+    ranks, mark = spark.sparkContext.broadcast(read_ranks(ranks_path)), ranks_path
     kept = [f for f in encoded.schema.fields if f.name != name]
     out = T.StructType([*kept, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens.value.__getitem__
+        cache = _worker_cache(mark, ranks)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                rows = batch.slice(begin, 256)
-                values = [b"".join(map(token, x or ())) for x in _as_lists(rows.column(ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(f.name) for f in kept), pa.array(values, pa.binary())], [*(f.name for f in kept), name]
-                )
+            for rows, values, counts in _id_chunks(batch, ids):
+                if len(values) and not (0 <= values.min() and values.max() < len(cache.lengths)):
+                    raise ValueError("an id that the ranks do not have")
+                ends = np.concatenate(([0], np.cumsum(cache.lengths[values], dtype=np.int64)))
+                per_row = np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+                decoded = _bytes(cache.bytes_of(values), per_row)
+                yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in kept), decoded], [*(f.name for f in kept), name])
 
     return encoded.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, out)
 
 
-def _as_lists(column: pa.Array) -> Iterator[list[int]]:
-    """Python lists of a list column, null as an empty one."""
-    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    valid = column.is_valid().to_pylist()
-    for i, good in enumerate(valid):
-        yield flat[offsets[i] : offsets[i + 1]].tolist() if good else []
+CHUNK_IDS = 1 << 18  # ids that are decoded at a time; a row of more is a chunk of its own
+
+
+def _id_chunks(batch: pa.RecordBatch, ids: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Row slices of a batch with the ids in them and their number per row, null as none."""
+    sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, size in enumerate([*sizes.tolist(), None]):
+        if size is None or (i > begin and held + size > CHUNK_IDS):
+            rows = batch.slice(begin, i - begin)
+            yield rows, rows.column(ids).flatten().to_numpy(zero_copy_only=False), sizes[begin:i]
+            begin, held = i, 0
+        held += size or 0
 
 
 def token_digests(docs: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:

@@ -55,3 +55,34 @@ def test_operator_keeps_rows_and_columns(spark, reference):
     assert [bytes(r["decoded"]).decode() for r in sorted(decoded, key=lambda r: len(r["ids"]))] == ["", "", "it's", "it's", "abc " * 40_000]
     assert all(r["ids"] == reference.encode_ordinary(bytes(r["decoded"]).decode()) for r in decoded)
     assert bpe.token_digests(docs.limit(0), PATH).collect() == []
+
+
+def test_generations_of_the_cache_give_the_same_ids(ranks, reference, monkeypatch):
+    monkeypatch.setattr(bpe.PieceCache, "MOST_PIECES", 60)
+    cache, values = bpe.PieceCache(ranks), made_up(600)
+    for begin in range(0, 600, 20):
+        part = values[begin : begin + 20]
+        ids, _, counts = bpe.encode_texts(part, cache)
+        for text, end, count in zip(part, np.cumsum(counts), counts):
+            assert ids[end - count : end].tolist() == reference.encode_ordinary(text)
+        assert cache.bytes_of(ids).tobytes().decode() == "".join(part)
+    assert cache.elder[0] and len(cache) < 600
+
+
+def test_decoding_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_IDS", 7)
+    rows = [(i, None if i % 7 == 0 else list(range(i, i + i % 11))) for i in range(60)]
+    tokens = {rank: token for token, rank in bpe.read_ranks(PATH).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    found = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(docs, PATH).collect()}
+    assert found == {i: b"".join(tokens[x] for x in ids or ()) for i, ids in rows}
+    with pytest.raises(Exception, match="do not have"):
+        bpe.decode(spark.createDataFrame([(1, [60_000])], docs.schema), PATH).collect()
+
+
+def test_merging_many_pieces_is_merging_each(ranks):
+    pieces = [t.encode() for t in made_up(400) if t] + [b"a" * 64, b"a" * 65, b"ab" * 40, b"th", b"\xff\xfe"]
+    ids, counts = bpe.Merger(ranks).merge_all(pieces)
+    ends = np.cumsum(counts)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == [bpe.merge(p, ranks) for p in pieces]
+    assert bpe.Merger(ranks).merge_all([])[0].tolist() == []
