@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
-PART_EDGES = 250_000  # edges that a task joins up on its own, about
+PART_EDGES = 250_000  # edges that a task joins up at a time, about
 MAX_ROUNDS = 60  # rounds grow with the logarithm of a component's length; this is only a guard
 
 
@@ -36,7 +36,8 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as stars around the smallest node of each of its components: fewer edges than nodes."""
+    """Edges as stars around the smallest node of each of their components, ``PART_EDGES`` at a time:
+    fewer edges than nodes, whatever a task's share is."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -44,12 +45,21 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             above[x] = x = above[up]
         return x
 
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, y) for x in list(above) if (y := top(x)) != x]
+        above.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    taken = 0
     for batch in batches:
+        if taken and taken + batch.num_rows > PART_EDGES:
+            yield stars()
+            taken = 0
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             a, b = top(a), top(b)
             above[max(a, b)] = min(a, b)
-    pairs = [(x, y) for x in list(above) if (y := top(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        taken += batch.num_rows
+    yield stars()
 
 
 def components(edges: DataFrame) -> DataFrame:

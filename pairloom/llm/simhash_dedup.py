@@ -8,12 +8,6 @@ join on segment and value meets every pair, and the whole fingerprints are then
 A segment value shared by very many fingerprints would meet all their pairs. Fingerprints with
 such a value instead look up, by an equality join on whole fingerprints, each fingerprint that
 differs from them by few enough bits. Nothing is dropped in either form.
-
-For near copies that differ in more than a few bits (``near_copies``) fingerprints are longer, and
-segments (bands) are indexed the same way; with many bands one is likely to differ by at most one
-bit. Texts of few shingles, whose bits say little, meet by their rarest shingles instead. Either way
-only brings texts together: members of a bucket are linked by a spanning forest of the pairs whose
-sets of shingles are similar enough, counted exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import texts
@@ -74,21 +68,18 @@ def fingerprint(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fp)`` per row of ``docs``; ``fp`` is the fingerprint's bits as a signed long."""
+    """``(key, fp, text_id)`` per row of ``docs``; ``fp`` is the fingerprint's bits as a signed long,
+    ``text_id`` a hash of the text."""
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x.as_py() or "", width) for x in batch.column(text)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(values.view(np.int64))], [key, "fp"])
-
-    return texts(docs, key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
-
+            values = np.array([fingerprint(x.as_py() or "", width) for x in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], [key, "fp", "text_id"])
 
-def _masks(bits: range) -> list[int]:
-    """Masks that keep all bits but one, as signed longs."""
-    return [~(1 << b) if b < 63 else (1 << 63) - 1 for b in bits]
+    wanted = texts(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), F.xxhash64(text).alias("text_id"))
+    return wanted.mapInArrow(run, f"`{key}` {kind}, fp long, text_id long")
 
 
 def _segments(distance: int, bits: int = BITS) -> list[range]:
@@ -146,21 +137,23 @@ def links(nodes: DataFrame, distance: int, hot: int = 512) -> DataFrame:
     return pairs.union(near.join(nodes.select(F.col("fp").alias("b")), "b").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: its key, ``fp``, and ``component_id``, the smallest key its fingerprint reaches.
+    ``also`` may name ``text_id``, a 64-bit hash of the row's text, and ``root``, a fingerprint that
+    stands for the component (components share an id if their smallest keys are equal).
 
     Rows with equal fingerprints are linked, and links are followed. A null text is an empty one;
     all texts without a word share the fingerprint zero. Repeated rows come back repeated. A null
     key never becomes a component's id unless the component has no other.
     """
-    prints = write_scratch(fingerprints(docs, width, key), "prints")
+    prints = write_scratch(fingerprints(docs, width, key).select(key, "fp", *[c for c in also if c == "text_id"]), "prints")
     nodes = write_scratch(prints.groupBy("fp").agg(F.min(key).alias("first_key")), "nodes")
     found = write_scratch(components(links(nodes, distance)), "members")
     rooted = nodes.join(found, nodes.fp == found.node, "left").select(
         "fp", "first_key", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", *[c for c in also if c == "root"])
     return prints.join(named, "fp")
 
 
@@ -171,253 +164,35 @@ def component_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- near copies by long fingerprints
-
-BANDS, BAND_BITS = 36, 28
-LONG_BITS = BANDS * BAND_BITS
-_WORDS = -(-LONG_BITS // 64)  # 64-bit words of a fingerprint; bits beyond LONG_BITS are zero
-ROUNDS = 3  # rounds that the bands are dealt over
-BUCKET = 2_048  # members of a bucket that are compared in one go; larger buckets are compared in pairs of parts
-BUCKET_SHINGLES = 1 << 22  # shingles of such a part, about
-SHORT = 64  # shingles up to which texts meet by shingles, not by bands
-COMMON = 256  # texts of few shingles from which on a shingle counts as common
-WANTED = 500_000  # texts whose numbers are broadcast to pick them
-_SALTS = np.random.default_rng(7).integers(0, 1 << 64, _WORDS, np.uint64)
-
-
-def long_fingerprint(text: str, width: int) -> bytes:
-    """SimHash of ``LONG_BITS`` bits over a text's different shingles; all zero without a word."""
-    return _long_print(shingle_set(text, width))
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Hashes of a text's different shingles, in order."""
-    return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
-
-
-def _long_print(hashes: np.ndarray) -> bytes:
-    """Each shingle's hash is drawn out by as many mixes as the fingerprint has words."""
-    mixed = (hashes[:, None] ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return _majority(mixed ^ (mixed >> np.uint64(29)))[: LONG_BITS // 8].ljust(_WORDS * 8, b"\0")
-
-
-def most_bits(similarity: float) -> int:
-    """Bits in which two texts whose shingle sets have this Jaccard similarity differ, and 1.5 standard errors more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(LONG_BITS * share + 1.5 * np.sqrt(LONG_BITS * share * (1 - share)))
-
-
-def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which of the sets (hashes in order, none empty) have at least this Jaccard similarity with ``one``."""
-    sizes = np.fromiter(map(len, others), np.int64, len(others))
-    least, most = np.minimum(sizes, len(one)), np.maximum(sizes, len(one))
-    out = least >= similarity * most - 1e-9
-    tried = np.flatnonzero(out)
-    if len(tried):
-        flat = np.concatenate([others[i] for i in tried.tolist()])
-        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-        shared = np.add.reduceat(one[at] == flat, np.cumsum(sizes[tried]) - sizes[tried], dtype=np.int64)
-        out[tried] = shared >= similarity * (len(one) + sizes[tried] - shared) - 1e-9
-    return out
-
-
-def forest(prints: np.ndarray, limit: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> list[tuple[int, int]]:
-    """Edges that connect whatever close pairs connect; prints are rows of 64-bit words.
-
-    With ``sets`` close pairs are those of this Jaccard similarity; bits only set the order. Rows with most close ones come first, so that the buckets of one group choose much the same
-    edges, around the group's middle.
-    """
-    n = len(prints)
-    close = np.empty((n, n), bool)
-    for at in range(0, n, 64):
-        close[at : at + 64] = np.bitwise_count(prints[at : at + 64, None] ^ prints[None]).sum(axis=2, dtype=np.int32) <= limit
-    degree = close.sum(axis=1)
-    edges, left = [], np.ones(n, bool)
-    for start in np.argsort(-degree, kind="stable").tolist():
-        if not left[start]:
-            continue
-        left[start], todo = False, [start]
-        while todo:
-            i = todo.pop()
-            if sets is None:
-                found = np.flatnonzero(close[i] & left)
-            else:
-                found = np.flatnonzero(left)
-                found = found[similar(sets[i], [sets[j] for j in found.tolist()], similarity)]
-            left[found] = False
-            todo = sorted([*todo, *found.tolist()], key=degree.__getitem__)
-            edges += [(i, j) for j in found.tolist()]
-    return edges
-
-
-def _link_buckets(similarity: float):
-    """Rows come sorted by bucket; each bucket is at most two parts of about ``BUCKET`` members."""
-    limit = most_bits(similarity)
-
-    def close(bucket: dict[int, tuple[bytes, bytes]]) -> list[tuple[int, int]]:
-        if len(bucket) < 2:
-            return []
-        nodes = sorted(bucket)
-        prints = np.frombuffer(b"".join(bucket[x][0][: _WORDS * 8] for x in nodes), np.uint64).reshape(-1, _WORDS)
-        sets = [np.frombuffer(bucket[x][1], np.uint64) for x in nodes]
-        return [(nodes[i], nodes[j]) for i, j in forest(prints, limit, sets, similarity)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, last, edges = {}, None, []
-        for batch in batches:
-            for *key, node, found, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "print", "set"))):
-                if key != last:
-                    edges += close(bucket)
-                    bucket, last = {}, key
-                bucket[node] = (found, hashes)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
-            edges = []
-        edges = close(bucket)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return run
-
-
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: its key, ``print`` and ``component_id``, the smallest key among its near copies.
-
-    Near copies are texts whose sets of shingles have at least this Jaccard similarity, counted
-    exactly; links are followed. A pair with a text of up to ``SHORT`` shingles is always found: of
-    similar sets each has one of the other's rarest shingles among its own. A pair of longer texts
-    is found if their fingerprints share a band but for one bit: nine in ten pairs at similarity
-    0.8, 49 in 50 at 0.85, all but one in 2,000 at 0.9, by the arithmetic of independent bits.
-    Bands and shingles are taken in rounds; what one round links the next leaves alone, and the
-    result is that of a single round.
-
-    Texts without a word are copies of each other. Repeated rows come back repeated; a null key
-    never becomes a component's id unless the component has no other.
-    """
-    ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, sizes, few = [], [], []
-            for x in batch.column("text"):
-                hashes = shingle_set(x.as_py() or "", width)
-                # The set's own digest tells apart what the bits do not.
-                values.append(_long_print(hashes) + xxhash.xxh64_digest(hashes.tobytes(), SEED))
-                sizes.append(len(hashes))
-                few.append(hashes.view(np.int64) if len(hashes) <= SHORT / similarity else None)
-            columns = [batch.column(key), pa.array(values, pa.binary()), batch.column("text_id"), pa.array(sizes, pa.int32()), pa.array(few, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "print", "text_id", "size", "few"])
-
-    text_id = F.xxhash64("text").alias("text_id")
-    prints = texts(docs, key, "text", text_id).mapInArrow(run, f"`{key}` {kind}, print binary, text_id long, size int, few array<long>")
-    prints = write_scratch(prints, "prints")
-    nodes = prints.groupBy("print").agg(F.min(key).alias("first_key"), F.min("text_id").alias("text_id"), F.first("size").alias("size"), F.first("few").alias("few"))
-    nodes = write_scratch(nodes.withColumn("node", F.xxhash64("print")), "nodes")
-    nodes = nodes.drop("few").join(_rarest(nodes, similarity), "node", "left").withColumn("root", F.col("node"))
-    members = Window.partitionBy("bucket")
-    # Every band as it is, and with each of its set bits deleted in turn.
-    deleted = [F.when(F.col("key").bitwiseAND(F.lit(1 << i)) != 0, F.col("key").bitwiseAND(F.lit(~(1 << i)))) for i in range(BAND_BITS)]
-    variants = F.concat(F.array("key"), F.filter(F.array(*deleted), lambda x: x.isNotNull()))
-    label = F.shiftright("node", 32)
-    columns = ["print", "text_id", "size", "rarest", "first_key", "node", "root"]
-    for n, begin in enumerate(range(0, BANDS, BANDS // ROUNDS)):
-        # What the bands so far have linked need not be linked again, which spares a dense group
-        # most of its buckets in the rounds that follow. The label tells what is linked.
-        nodes = write_scratch(nodes.withColumns({"node": _labelled("node", "root"), "root": _labelled("root", "root")}), "nodes")
-        bands = F.slice(_bands("print"), begin + 1, BANDS // ROUNDS)
-        # A key's own bucket counts a text's shingles, one with a deletion counts them below zero.
-        banded = nodes.filter(F.col("size") > SHORT).select("node", "size", F.explode(bands).alias("key")).select("node", "size", "key", F.explode(variants).alias("bucket"))
-        banded = banded.select("node", "bucket", F.when(F.col("bucket") == F.col("key"), F.col("size")).otherwise(-F.col("size")).alias("size"))
-        rare = nodes.select("node", F.explode(F.filter("rarest", lambda x: F.pmod(x, F.lit(ROUNDS)) == n)).alias("bucket"), "size")
-        # A bucket with deletions only, or with members of one label only, links nothing new.
-        shared = (
-            banded.union(rare)
-            .repartition("bucket")
-            .withColumns(
-                {
-                    "n": F.count("*").over(members),
-                    "shingles": F.sum(F.abs("size")).over(members),
-                    "wholes": F.count_if(F.col("size") > 0).over(members),
-                    "least": F.min(label).over(members),
-                    "most": F.max(label).over(members),
-                }
-            )
-            .filter("least < most AND wholes > 0")
-        )
-        known = nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
-        found = write_scratch(components(known.union(_bucket_edges(shared, nodes, docs, width, similarity))), "members")
-        # A label is its root's digest, so it changes with the root.
-        nodes = nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*columns)
-    rooted = nodes.select("print", "first_key", "root")
-    least = rooted.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    named = rooted.select("print", "root").join(least, "root").select("print", "component_id")
-    return prints.select(key, "print").join(named, "print")
-
-
-def _rarest(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(node, rarest)`` of texts of few shingles: buckets of so many shingles that similar sets share one.
-
-    Sets of which more than ``1 - similarity`` of the shingles come first in any one order share one
-    of these. Common shingles come last in it, so that few texts meet there.
-    """
-    each = nodes.select("node", "size", F.explode("few").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(0)), "shingle")
-    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    chosen = each.join(F.broadcast(write_scratch(common, "common")), "shingle", "left").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first)
-    # Buckets of bands are lower numbers.
-    bucket = F.col("shingle").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return chosen.groupBy("node").agg(F.collect_list(bucket).alias("rarest"))
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(node, set)``: a text's shingles, for rows ``(node, text_id)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingle_set(x.as_py() or "", width).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.binary())], ["node", "set"])
-
-    wanted = write_scratch(wanted, "wanted")
-    if wanted.count() <= WANTED:
-        wanted = F.broadcast(wanted)
-    found = docs.select(F.xxhash64("text").alias("text_id"), "text").join(wanted, "text_id").dropDuplicates(["node"])
-    return found.select("node", "text").mapInArrow(run, "node long, set binary")
-
-
-def _bands(prints: str) -> Column:
-    """All bands of a fingerprint as numbers, each with the band's place above its bits."""
-    digits = BAND_BITS // 4
-    hexed = F.hex(prints)
-    return F.array(*(F.conv(F.substring(hexed, 1 + i * digits, digits), 16, 10).cast("long") + F.lit(i << BAND_BITS) for i in range(BANDS)))
-
-
-def _labelled(node: str, root: str) -> Column:
-    """A node's number with half the digest of its root in front: rows carry their label without another column."""
-    return F.xxhash64(root).bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col(node).bitwiseAND(F.lit((1 << 32) - 1)))
-
-
-def _bucket_edges(shared: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` from rows ``(node, bucket, n, shingles)``; a bucket that is too large is met in pairs of parts."""
-    parts = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("shingles") / BUCKET_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    met = (
-        shared.select("node", F.col("bucket").alias("key"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("node", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    )
-    met = write_scratch(met, "met")
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "text_id", "print")
-    sets = _shingle_sets(docs, wanted.drop("print"), width)
-    held = write_scratch(wanted.drop("text_id").join(sets, "node"), "sets")
-    dealt = met.join(held, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.select("key", "low", "high", "node", "print", "set").mapInArrow(_link_buckets(similarity), "a long, b long")
+TWICE = 1 << 20  # left-out rows that are broadcast to the texts, at 16 bytes each
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row of smallest key, once; all columns stay.
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row of smallest key, once; all columns stay.
 
-    Rows with a null key are kept if their group has no other; equal ones once.
+    Of rows that share the smallest key, one text stays, the one of lowest hash. Rows with a null key
+    are kept if their group has no other key. Texts are not shuffled: they meet a list of the rows
+    that go, which is broadcast if it is short.
     """
-    groups = near_copies(docs.select(key, "text"), key=key, **options)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key, "text"])
+    groups = write_scratch(near_duplicates(docs, width, distance, key, ("text_id", "root")), "groups")
+    first = groups.filter(F.col(key).eqNullSafe(F.col("component_id")))
+    held = first.groupBy(key, "root").agg(F.min("text_id").alias("own"), F.count("*").alias("rows"))
+    several = write_scratch(held.filter("rows > 1"), "held")
+    named = [F.col(key).alias("_key"), F.col("text_id").alias("_id")]
+    gone = groups.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(*named)
+    if not several.isEmpty():  # rows that share a group's smallest key: other texts go, and copies of the row
+        same = several.select(F.col(key).alias("_held"), F.col("root").alias("_root"), "own")
+        there = F.col(key).eqNullSafe(F.col("_held")) & (F.col("root") == F.col("_root")) & (F.col("own") != F.col("text_id"))
+        gone = gone.union(first.join(same, there).select(*named))
+    gone = write_scratch(gone.distinct(), "gone")
+    left = _without(docs, gone, key)
+    if several.isEmpty():
+        return left
+    again = write_scratch(several.select(F.col(key).alias("_key"), F.col("own").alias("_id")), "again")
+    return _without(left, again, key).unionByName(_without(left, again, key, "left_semi").dropDuplicates([key, "text"]))
+
+
+def _without(docs: DataFrame, listed: DataFrame, key: str, how: str = "left_anti") -> DataFrame:
+    """Rows of ``docs`` that are not (or are) listed by ``(_key, _id)``, key and hash of the text."""
+    listed = F.broadcast(listed) if listed.count() <= TWICE else listed
+    return docs.join(listed, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_id")), how)

@@ -100,80 +100,50 @@ def test_texts(spark):
     assert docs.filter("doc_id = 100").select(F.length("text")).first()[0] is None
 
 
-def test_forest_connects_close_pairs():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 64, (8, 8), np.uint64)
-    prints = base[rng.integers(0, 8, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 8), np.uint64))
-    edges = sim.forest(prints, 12)
-    root = list(range(300))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in edges:
-        assert int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= 12
-        root[find(a)] = find(b)
-    ints = [int.from_bytes(p.tobytes(), "little") for p in prints]
-    wanted = brute_components(ints, 12)
-    assert len({(find(i), w) for i, w in enumerate(wanted)}) == len(set(wanted)) == 300 - len(edges)
-
-
-@pytest.mark.parametrize("bucket", [2_048, 3])
-def test_near_copies(spark, monkeypatch, bucket):
-    monkeypatch.setattr(sim, "BUCKET", bucket)
+def test_one_of_each(spark):
     dice = random.Random(6)
-    rows, group = [], {}
+    rows = []
     for g in range(40):
         base = ["w%d" % dice.randrange(3000) for _ in range(200)]
         for c in range(dice.choice((1, 1, 2, 6))):
-            words = list(base)
-            for _ in range(dice.randrange(3) if c else 0):
-                words[dice.randrange(len(words))] = "edit%d" % dice.randrange(99)
-            key = len(rows) * 7 % 1000
-            rows.append((key, " ".join(words), "x"))
-            group[key] = g
-    found = {r["doc_id"]: r["component_id"] for r in sim.near_copies(spark.createDataFrame(rows, "doc_id long, text string, print string")).collect()}
-    least = {g: min(k for k in group if group[k] == g) for g in group.values()}
-    assert found == {k: least[g] for k, g in group.items()}
-    odd = [(2000, None, "a"), (2001, "", "b"), (None, "only here once", "c"), (None, "only here once", "c"), rows[0], (-1, rows[0][1], "d")]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, print string")
-    kept = sorted(str(r["doc_id"]) for r in sim.one_of_each(docs).collect())
-    assert kept == sorted([str(k) for k in set(least.values()) - {least[group[rows[0][0]]]}] + ["2000", "None", "-1"])
-    assert sim.one_of_each(docs.limit(0)).collect() == [] and sim.one_of_each(docs).columns == docs.columns
-
-
-def grouped(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r["component_id"] for r in sim.near_copies(docs).orderBy("doc_id").collect()]
-
-
-def test_a_repeated_line_does_not_join_texts(spark):
-    own = iter("own%d" % i for i in range(10**6))
-    texts = []
-    for words, line, times in ((300, 12, 20), (60, 10, 10), (200, 20, 12)):
-        shared = ["line%d" % i for i in range(line)]
-        for _ in range(3):
-            texts.append(" ".join([next(own) for _ in range(words)] + shared * times))
-    texts.append(texts[0].replace("own5 ", "changed "))
-    assert grouped(spark, texts) == [*range(9), 0]
-
-
-@pytest.mark.parametrize("common", [256, 3])
-def test_short_near_copies_are_those_of_the_sets(spark, monkeypatch, common):
-    monkeypatch.setattr(sim, "COMMON", common)
-    dice = random.Random(8)
-    texts = []
-    for n in [8, 9, 10, 10, *(dice.randrange(1, 60) for _ in range(40))]:
-        base = ["w%d" % dice.randrange(2000) for _ in range(n)]
-        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base[1:]]), " ".join([*base, "and", "more"])]
-        texts.append(" ".join([*("common line of all the short texts".split()), *base]))
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    assert grouped(spark, texts) == root and len(set(root)) < len(texts) - 40
+            rows.append((len(rows) * 7 % 1000, " ".join(base) + (" end" if c > 3 else ""), "x"))
+    rows += [(2000, None, "a"), (2001, "", "b"), (None, "only here once", "c"), (None, "only here once", "c"), rows[0], (-1, rows[0][1], "d")]
+    rows += [(3000, "one text of this key", "e"), (3000, "another text of this key that stands alone", "e"), (3001, "one text of this key", "e")]
+    prints = [brute_print(t) for _, t, _ in rows]
+    roots = brute_components(prints, 2)
+    group = {}
+    for (key, text, _), root in zip(rows, roots):
+        group.setdefault(root, []).append((key is None, key or 0, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = sim.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == len(group) == len(set(found))
+    least = {root: min(m[:2] for m in members) for root, members in group.items()}
+    for key, text in found:
+        root = next(r for (k, t, _), r in zip(rows, roots) if (k, t) == (key, text))
+        assert least[root] == (key is None, key or 0)
+    assert sim.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    words = ["w%d" % (i * i % 9973) for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "short")]
+    found = sim.component_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[0], r[1], r[2]) for r in found) == [
+        (k, f"{brute_print(t):016x}", c) for (k, t), c in zip(rows, (1, 1, 3))
+    ]
+
+
+def test_edges_of_a_task_are_joined_up_in_shares(spark, monkeypatch):
+    from pairloom.llm import components as parts
+
+    monkeypatch.setattr(parts, "PART_EDGES", 40)
+    monkeypatch.setattr(parts, "ship_package", lambda spark: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        edges = spark.range(0, 500, 1, 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = dict(parts.components(edges).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    assert found == {i: 0 for i in range(501)}
