@@ -20,17 +20,20 @@ Windows of ``length`` bytes that are equal must meet, and without moving every w
    measured per run. Matching statistics of all other positions are streamed from those samples:
    going left from a sampled position, the match partner goes left too and the match grows by one. Statistics of ``length`` or more link a
    window to an equal one; of each chain of links all but the first window start earlier.
-4. A hash with very many contexts would make a large shard. Its contexts are cut to single
-   windows, of which only digests are kept. The first window of each digest is found with combining
-   before the shuffle; all others start earlier. Digests of very many windows are few and broadcast,
-   so that they need not meet in one task.
+4. A hash with very many contexts would make a large shard: a passage that very many documents
+   share, with other text around it in each. Such contexts are cut, by how far a window begins before
+   its anchor, into a few segments, runs of windows. All windows of a segment share a *core* of bytes,
+   so segments can only have equal windows if their cores are equal. Of equal segments all but the
+   first start earlier; a core that comes once is done; cores of few segments go to index shards; those
+   of many are cut again. Segments are compared by their bytes, with combining before the shuffle,
+   and a context has few segments that are still open, since most lie in the passage (all equal) or
+   reach out of it (all different).
 
 Copies of a whole text are set aside first: of them only the first is looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +46,10 @@ from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
 GRAM = 28  # bytes that an anchor's hash covers
-CROWDED = 2_000  # contexts of one hash from which on they are cut to windows, and windows of one digest from which on it is broadcast
+CROWDED = 2_000  # contexts of one hash (segments of one core) beyond which they are cut, before they are indexed
+PARTS = 4  # segments that a run of windows is cut to
 BROADCAST_ANCHORS = 200_000  # anchors of crowded hashes that are broadcast to their texts
+BROADCAST_KEYS = 100_000  # crowded segments or cores that are broadcast, at most ``length + 71`` bytes each
 SHARD_BYTES = 1 << 17  # text of one index, about; whole hashes are kept together. Its arrays fit a core's cache
 
 # ---------------------------------------------------------------- anchors
@@ -225,7 +230,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
 
 _ANCHOR = "gram long, whole long, doc long, tie long, begin int, windows int, n int"
 _CONTEXT = "gram long, doc long, tie long, begin int, context binary"
-_WINDOW = "digest binary, doc long, tie long, begin int"
+_SEGMENT = "low int, high int, top int, windows int, content binary, doc long, tie long, begin int"
 _SPAN = "doc long, tie long, begin int, finish int"
 _SLICE = 1 << 22  # windows of a long text that are worked on at a time
 
@@ -322,8 +327,15 @@ def _cut_contexts(length: int):
     return run
 
 
-def _cut_windows(length: int):
-    """Digests of the single windows of one text's anchors."""
+def anchor_place(context: bytes, length: int) -> int:
+    """Where the anchor that owns a context's windows begins in it."""
+    data = np.frombuffer(context, np.uint8)
+    grams = Rolling(data, 0).of(slice(0, len(data) - GRAM + 1), slice(GRAM, len(data) + 1))
+    return int(_last_least((grams >> np.uint64(32)).astype(np.uint32), length - GRAM + 1)[0])
+
+
+def _cut_segments(length: int):
+    """Contexts of one text's anchors as one segment each, over all places of an anchor in a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,30 +344,66 @@ def _cut_windows(length: int):
                 for text, row in zip(values, rows.select(["doc", "tie", "wanted"]).to_pylist()):
                     data = text.encode()
                     for a in row["wanted"]:
-                        for at in range(a["begin"], a["begin"] + a["windows"]):
-                            out.append((hashlib.blake2b(data[at : at + length], digest_size=16).digest(), row["doc"], row["tie"], at))
-                yield _batch(out, _WINDOW)
+                        begin = a["begin"]
+                        content = data[begin : begin + a["windows"] + length - 1]
+                        out.append((0, length - GRAM, anchor_place(content, length), a["windows"], content, row["doc"], row["tie"], begin))
+                yield _batch(out, _SEGMENT)
 
     return run
 
 
-def _crowded_spans(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows of ``anchors`` that start earlier."""
-    wanted = anchors.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "windows")).alias("wanted"))
-    if anchors.count() <= BROADCAST_ANCHORS:
-        wanted = F.broadcast(wanted)
-    windows = write_scratch(docs.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).mapInArrow(_cut_windows(length), _WINDOW), "windows")
-    return again(windows).select("doc", "tie", "begin", (F.col("begin") + length).alias("finish"))
+def _split(segments: DataFrame, length: int) -> DataFrame:
+    """Segments cut to ``PARTS`` along the places that an anchor has in their windows.
 
-
-def again(windows: DataFrame) -> DataFrame:
-    """Rows ``(digest, doc, tie, begin)`` but the first of each digest, and those at the first one's place."""
-    here = F.struct("doc", "tie", "begin")
-    firsts = write_scratch(windows.groupBy("digest").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-    crowded = firsts.filter(F.col("n") > CROWDED)
-    many = windows.join(F.broadcast(crowded), "digest")
-    few = windows.join(F.broadcast(crowded), "digest", "left_anti").join(firsts.filter(F.col("n") <= CROWDED), "digest")
-    return many.union(few).filter(here != F.col("first")).select("digest", "doc", "tie", "begin")
+    A segment's windows begin ``top``, ``top - 1``, ... bytes before the anchor; the cell that it lies
+    in has all places from ``low`` to ``high``, and cells are cut alike for all contexts.
+    """
+    part = segments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = part.withColumns(
+        {
+            "from": F.expr(f"low + part * (high - low + 1) div {PARTS}").cast("int"),
+            "to": F.expr(f"low + (part + 1) * (high - low + 1) div {PARTS} - 1").cast("int"),
+        }
+    )
+    first = F.least("top", "to")
+    count = first - F.greatest(F.col("top") - F.col("windows") + 1, F.col("from")) + 1
+    part = part.withColumns({"first": first, "count": count, "skip": F.col("top") - first}).filter("from <= to AND count > 0")
+    return part.select(
+        F.col("from").alias("low"), F.col("to").alias("high"), F.col("first").alias("top"), F.col("count").alias("windows"),
+        F.substring("content", F.col("skip") + 1, F.col("count") + (length - 1)).alias("content"),
+        "doc", "tie", (F.col("begin") + F.col("skip")).alias("begin"),
+    )
+
+
+def _meet(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with their group. Groups of more than ``CROWDED`` rows, which are few, are broadcast, so that
+    these rows stay where they are."""
+    crowded = groups.filter(F.col("n") > CROWDED)
+    few = crowded.count()
+    if few == 0 or few > BROADCAST_KEYS:
+        return rows.join(groups, on)
+    return rows.join(F.broadcast(crowded), on).unionByName(rows.join(groups.filter(F.col("n") <= CROWDED), on))
+
+
+def split_crowded(segments: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts ``(gram, doc, tie, begin, context)`` to be indexed, no more than ``CROWDED`` of a gram, and
+    spans ``(doc, tie, begin, finish)`` of windows that start earlier. Both lists have one table per round."""
+    same, here = ["low", "high", "top", "windows", "content"], F.struct("doc", "tie", "begin")
+    contexts, spans = [], []
+    while True:  # a cell has a PARTS-th of the places of the one before; at one place, equal cores are equal segments
+        segments = write_scratch(_split(segments, length), "segments")
+        firsts = write_scratch(segments.groupBy(*same).agg(F.min(here).alias("first"), F.count("*").alias("n")), "firsts")
+        again = _meet(segments, firsts.filter("n > 1"), same).filter(here != F.col("first"))
+        spans.append(again.select("doc", "tie", "begin", (F.col("begin") + F.col("windows") + (length - 1)).alias("finish")))
+        core = F.substring("content", F.col("top") - F.col("low") + 1, F.lit(length) - (F.col("high") - F.col("low")))
+        held = firsts.select(*same, "first.*", core.alias("core"))
+        cores = write_scratch(held.groupBy("low", "high", "core").agg(F.count("*").alias("n")).filter("n > 1"), "cores")
+        calm = held.join(cores.filter(F.col("n") <= CROWDED), ["low", "high", "core"])
+        contexts.append(calm.select(F.xxhash64("low", "high", "core").alias("gram"), "doc", "tie", "begin", F.col("content").alias("context")))
+        crowded = cores.filter(F.col("n") > CROWDED)
+        if crowded.isEmpty():
+            return contexts, spans
+        segments = _meet(held, crowded, ["low", "high", "core"]).select(*same, "doc", "tie", "begin")
 
 
 def _search_shards(length: int):
@@ -412,11 +460,16 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     )
     # All columns of the texts come along: so this shuffle of theirs is the one that the result joins.
     contexts = docs.join(wanted, ["doc", "tie"]).select(*docs.columns, "wanted").mapInArrow(_cut_contexts(length), _CONTEXT)
+    crowded = known.filter(f"NOT copy AND contexts > {CROWDED}")
+    n_crowded = crowded.count()
+    if n_crowded:
+        listed = crowded.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "windows")).alias("wanted"))
+        listed = F.broadcast(listed) if n_crowded <= BROADCAST_ANCHORS else listed
+        segments = docs.select("doc", "tie", "text").join(listed, ["doc", "tie"]).mapInArrow(_cut_segments(length), _SEGMENT)
+        for more, earlier in zip(*split_crowded(segments, length)):
+            contexts, copies = contexts.union(more), copies.union(earlier)
     shards = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "begin")
     spans = copies.union(shards.mapInArrow(_search_shards(length), _SPAN))
-    crowded = known.filter(f"NOT copy AND contexts > {CROWDED}")
-    if not crowded.isEmpty():
-        spans = spans.union(_crowded_spans(docs, crowded, length))
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "finish")).alias("spans"))
 
 

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from test_decontaminate import brute
+from test_simhash_dedup import brute_components, brute_print
 from test_suffix_dedup import brute_windows
 
 import corpus_pipeline as cp
@@ -64,9 +65,12 @@ def test_stages(spark, corpus):
         assert docs.count() == len(seen[name])
     given = {r[0]: r[1] for r in rows}
     assert seen["toxicity"] == {k: t for k, t in given.items() if k not in toxic}
-    # Null and empty texts are copies of each other.
-    assert seen["near_copies"] == {k: t for k, t in seen["toxicity"].items() if k not in planted["copies"] and k != 2001}
-    order = sorted(seen["near_copies"].items(), key=lambda x: (x[0] is None, x[0]))
+    # Of each group by brute force the smallest id; null and empty texts are copies of each other.
+    there = sorted(seen["toxicity"].items(), key=lambda x: (x[0] is None, x[0]))
+    roots = brute_components([brute_print(t) for _, t in there], 2)
+    assert seen["simhash"] == {k: t for i, (k, t) in enumerate(there) if roots[i] == i}
+    assert {k for k in planted["copies"] if k in seen["simhash"]} < set(planted["copies"]) and 2001 not in seen["simhash"]
+    order = sorted(seen["simhash"].items(), key=lambda x: (x[0] is None, x[0]))
     cut = {}
     for (key, text), flags in zip(order, brute_windows([(t or "").encode() for _, t in order], 100)):
         gone = bytearray(len((text or "").encode()))
@@ -74,7 +78,7 @@ def test_stages(spark, corpus):
             if again:
                 gone[i : i + 100] = b"\1" * 100
         cut[key] = bytes(b for b, g in zip((text or "").encode(), gone) if not g).decode(errors="ignore")
-    assert seen["repeats"] == cut and cut != seen["near_copies"]
+    assert seen["repeats"] == cut and cut != seen["simhash"]
     leaky = {d for d, *_ in brute(list(cut.items()), items)}
     assert seen["decontamination"] == {k: t for k, t in cut.items() if k not in leaky} and leaky & set(planted["leaks"])
     path = public_tokenizers.path(cp.RANKS)

@@ -115,3 +115,23 @@ def test_a_shared_passage_is_no_large_group(spark, monkeypatch):
     monkeypatch.setattr(sd, "_search_shards", watched)
     found = sd.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r[0]: tuple(r)[1:] for r in found} == brute_documents(rows, 100)
+
+
+def test_segments_of_a_crowded_passage_are_few(spark, monkeypatch):
+    """Rows per round follow the contexts, not their windows, and no index gets a large group."""
+    dice = random.Random(10)
+    prose = lambda n: "".join(dice.choice("abcdefgh ") for _ in range(n))
+    passage, written, real = prose(400), {}, sd.write_scratch
+
+    def counted(df, tag):
+        out = real(df, tag)
+        written.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(sd, "CROWDED", 10)
+    monkeypatch.setattr(sd, "write_scratch", counted)
+    rows = [(i, prose(60 + i % 50) + passage + prose(90)) for i in range(60)]
+    found = sd.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r[0]: tuple(r)[1:] for r in found} == brute_documents(rows, 100)
+    contexts = 60 * 6  # at most so many anchors whose windows reach over an end
+    assert len(written["segments"]) >= 3 and max(written["segments"]) <= 2 * sd.PARTS * contexts
