@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each group of near duplicates: fingerprints of three-word shingles, two bits or fewer apart."""
+    return simhash_dedup.one_of_each(docs, width=3, distance=2)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
+    ("simhash", drop_near_copies),
     ("repeats", cut_repeats),
     ("decontamination", drop_leaks),
     ("tokens", tokenize),
