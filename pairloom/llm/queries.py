@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import byte_bpe, chat_format, decontaminate, html_text, language_id, multi_index, simhash_dedup, suffix_dedup, toxicity, url_filter
+from pairloom.llm import (
+    byte_bpe, chat_format, decontaminate, html_text, language_id, multi_index, packing, simhash_dedup, source_divergence, spelling, suffix_dedup,
+    toxicity, url_filter,
+)
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_PIECES = "word_bpe_49k.json"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -61,8 +65,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(chat_format.oracle_sql())
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    control = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES {chat_format.CONTROL_ROWS} AS own(conv_id, turn, role, text)")
     return chat_format.format_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
 
 
@@ -81,3 +84,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+@query(source_divergence.oracle_sql())
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES))
