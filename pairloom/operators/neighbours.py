@@ -41,6 +41,8 @@ BLOCK_ROWS = 16_384
 BLOCK_BYTES = 64 << 20
 # Up to this many groups larger than a block, their list is broadcast.
 BROADCAST_GROUPS = 200_000
+# Beyond that they are joined, the rows of each group in so many places.
+SALTS = 16
 
 _TILE = 1024  # queries per matrix product
 _GATHER = 8192  # candidates whose exact distance is computed at once
@@ -182,8 +184,12 @@ def _cells(
 ) -> DataFrame:
     """Candidates per cell of at most about ``block_rows`` vectors and queries."""
     if grouped:
-        vectors, large, small_rows = _plan_groups(vectors, queries, block_rows)
-        planned = [df.join(large, "grp", "left") for df in (vectors, queries)]
+        vectors, large, salts, small_rows = _plan_groups(vectors, queries, block_rows)
+        planned = [
+            # Rows of a hot group meet its plan in as many places as there are salts.
+            df.withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).join(large, ["grp", "salt"], "left").drop("salt")
+            for df, row_id in ((vectors, "vec_id"), (queries, "query_id"))
+        ]
     else:
         small_rows = 0
         blocks = {
@@ -230,9 +236,10 @@ def _cells(
 
 def _plan_groups(
     vectors: DataFrame, queries: DataFrame, block_rows: int
-) -> tuple[DataFrame, DataFrame, int]:
+) -> tuple[DataFrame, DataFrame, int, int]:
     """The vectors worth placing; the groups that need more than one block, with their numbers
-    of blocks; and how many vectors or queries, whichever are more, the other groups have.
+    of blocks, once per salt; the number of salts; and how many vectors or queries, whichever are
+    more, the other groups have.
 
     There are at most (rows / block_rows) large groups on either side, whatever the number of
     groups. Counting combines in each task, so a hot group sends one row per task.
@@ -256,12 +263,14 @@ def _plan_groups(
         F.ceil(F.col("n_v") / block_rows).cast("int").alias("v_block"),
         F.ceil(F.col("n_q") / block_rows).cast("int").alias("q_block"),
     )
-    if n_large <= BROADCAST_GROUPS:
+    salts = 1 if n_large <= BROADCAST_GROUPS else SALTS
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if salts == 1:
         large = F.broadcast(large)
     if n_asked <= BROADCAST_GROUPS:
         asked = sizes.filter(F.col("n_q") > 0).select("grp")
         vectors = vectors.join(F.broadcast(asked), "grp", "left_semi")
-    return vectors, large, max(v_rows or 0, q_rows or 0)
+    return vectors, large, salts, max(v_rows or 0, q_rows or 0)
 
 
 # ---------------------------------------------------------------- inside a task

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.operators.rows import attach
 from pairloom.scratch import write_scratch
+from pairloom.sources.files import commit_json, read_json
 
 _SLOT = "__slot"  # partition in the high bits, position in it in the low 33 bits
 _POSITION_BITS = 33
@@ -133,6 +134,7 @@ def index_rows(
     name: str = "row_idx",
     unique: bool | Sequence[str] = False,
     partitions: int | None = None,
+    path: str | None = None,
 ) -> RowIndex:
     """Number the rows of ``df`` in the given order.
 
@@ -148,7 +150,8 @@ def index_rows(
     input partition's share of copies stays together. That partition is the same whenever a
     task runs again.
 
-    The number of ranges follows the measured size, unless given.
+    The number of ranges follows the measured size, unless given. With a ``path`` the index is kept
+    there, and ``open_index`` opens it again without a pass over the rows.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     columns = df.columns
@@ -162,19 +165,63 @@ def index_rows(
         .sortWithinPartitions(*keys)
         .select(*columns, F.monotonically_increasing_id().alias(_SLOT))
     )
-    stored = write_scratch(ordered, "rows")
+    if path is None:
+        stored = write_scratch(ordered, "rows")
+    else:
+        ordered.write.mode("error").parquet(f"{path}/rows")
+        stored = df.sparkSession.read.schema(ordered.schema).parquet(f"{path}/rows")
     if unique:
         _require_unique(stored, list(order_by) if unique is True else list(unique))
-    counts = (
-        stored.groupBy(F.shiftright(_SLOT, _POSITION_BITS).alias("part"))
-        .agg(F.count("*").alias("rows"))
-        .collect()  # one row per range partition
-    )
+    part = F.shiftright(_SLOT, _POSITION_BITS).alias("part")
+    if path is not None:
+        return _kept(stored, part, path, name)
+    counts = stored.groupBy(part).agg(F.count("*").alias("rows")).collect()  # one row per range partition
+    return RowIndex(stored, _spans([(c["part"], c["rows"]) for c in counts]), name)
+
+
+def _spans(counts: list[tuple[int, int]]) -> tuple[tuple[int, int, int], ...]:
+    """Partition, first row number and rows, from rows by partition."""
     spans, start = [], 0
-    for part, rows in sorted((c["part"], c["rows"]) for c in counts):
+    for part, rows in sorted(counts):
         spans.append((part, start, rows))
         start += rows
-    return RowIndex(stored, tuple(spans), name)
+    return tuple(spans)
+
+
+@dataclass(frozen=True)
+class StoredIndex(RowIndex):
+    """A kept index. It knows the file of every span, so a lookup opens only files that hold its rows."""
+
+    files: tuple[str, ...] = ()
+
+    def between(self, low: int, high: int) -> DataFrame:
+        hits = [i for i, (_, start, rows) in enumerate(self.spans) if start < high and start + rows > low]
+        if not hits:
+            return super().between(low, high)
+        spark, schema = self.stored.sparkSession, self.stored.schema
+        rows = spark.read.schema(schema).parquet(*sorted({self.files[i] for i in hits}))
+        return RowIndex(rows, self.spans, self.name).between(low, high)
+
+
+def _kept(stored: DataFrame, part: Column, path: str, name: str) -> StoredIndex:
+    """Write the spans of rows that are at ``path``; without them the index is not there."""
+    spark = stored.sparkSession
+    file = F.substring_index("_metadata.file_path", "/", -1).alias("file")
+    counts = stored.select(part, file).groupBy("part", "file").agg(F.count("*").alias("rows"))
+    listed = [[r["part"], r["file"], r["rows"]] for r in counts.collect()]  # a row per file
+    if len({r[0] for r in listed}) != len(listed):
+        raise ValueError("a range was written to more than one file: unset spark.sql.files.maxRecordsPerFile")
+    commit_json(spark, f"{path}/index.json", {"name": name, "schema": stored.schema.jsonValue(), "spans": sorted(listed)})
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> StoredIndex:
+    """An index that ``index_rows`` has kept. Only its list of spans is read."""
+    kept = read_json(spark, f"{path}/index.json")
+    spans = _spans([(part, rows) for part, _, rows in kept["spans"]])
+    files = tuple(f"{path}/rows/{file}" for _, file, _ in kept["spans"])
+    stored = spark.read.schema(T.StructType.fromJson(kept["schema"])).parquet(f"{path}/rows")
+    return StoredIndex(stored, spans, kept["name"], files)
 
 
 def _require_unique(df: DataFrame, names: list) -> None:

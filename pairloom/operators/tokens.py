@@ -97,22 +97,23 @@ class Vocabulary:
         return uuid.uuid4().hex, self.table.sparkSession.sparkContext.broadcast(self.in_order())
 
 
+def count_tokens(df: DataFrame, *token_columns: str) -> DataFrame:
+    """``(token, n)`` of all given columns."""
+    every = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in token_columns]))
+    return df.select(F.explode(every).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
+
+
 def build_vocabulary(
-    df: DataFrame, *token_columns: str, reserved: Sequence[str] = (PAD, END, UNKNOWN)
+    df: DataFrame, *token_columns: str, reserved: Sequence[str] = (PAD, END, UNKNOWN), least: int = 1
 ) -> Vocabulary:
-    """Count the tokens of all given columns and number them by (count falling, token).
+    """Count the tokens of all given columns and number them by (count falling, token). Tokens that come
+    fewer than ``least`` times are left out, and so are unknown to ``encode``.
 
     Counts are combined in each task before the shuffle, so a frequent token is no hot key,
     and the numbering is a distributed row index.
     """
     reserved = tuple(reserved)
-    every = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in token_columns]))
-    counts = (
-        df.select(F.explode(every).alias("token"))
-        .filter(~F.col("token").isin(*reserved))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = count_tokens(df, *token_columns).filter((F.col("n") >= least) & ~F.col("token").isin(*reserved))
     ranked = index_rows(counts, F.col("n").desc(), "token", unique=["token"])
     head = df.sparkSession.createDataFrame(
         [(i, token, 0) for i, token in enumerate(reserved)], "token_id int, token string, n long"

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import arrays as ar
 from pairloom.functions.text import word_tokens
+from pairloom.operators.alignment import align
 from pairloom.operators.batching import BATCH_SIZE, assign_batches, pad_batches
 from pairloom.operators.datastore import datastore_entries
+from pairloom.operators.ledger import run_parts
 from pairloom.operators.scoring import PairModel, score_pairs
 from pairloom.operators.tokens import (
     END,
@@ -94,6 +96,23 @@ def embed_pairs(
     return rows
 
 
+def embed_in_parts(
+    encoded: EncodedPairs,
+    key: str | Sequence[str],
+    make_model: Callable[[], PairModel],
+    path: str,
+    n_parts: int = 64,
+    at_a_time: int = 8,
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """The states of ``embed_pairs``, written to ``path`` part by part: a run after a failure goes on with
+    the parts that are not finished. The vocabulary must be the same for both runs (keep it, see
+    ``vocabularies``)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = encoded.table.select(*keys, "source_ids", "target_ids")
+    return run_parts(rows, keys, lambda part: score_pairs(part, "source_ids", "target_ids", make_model, batch_size), path, n_parts, at_a_time)
+
+
 def build_datastore(
     encoded: EncodedPairs,
     key: str | Sequence[str],
@@ -106,7 +125,7 @@ def build_datastore(
     """Datastore rows ``(group_token_id, key, pos, key_vector, value_token_id)``.
 
     ``group_ids`` names an array column of the encoded table that files each target position
-    under a source token. Without one, positions are matched by number. Given a path, the
+    under a source token; ``align_pairs`` learns one. Without one, positions are matched by number. Given a path, the
     store is written by group and read back; else it is kept as a scratch table, as scoring
     must not run again for each use.
     """
@@ -123,6 +142,13 @@ def build_datastore(
     return entries.sparkSession.read.parquet(path).drop("n_buckets", "bucket")
 
 
+def align_pairs(encoded: EncodedPairs, rounds: int = 5, name: str = "group_ids") -> EncodedPairs:
+    """Encoded pairs with the source token that each target position belongs to, learned from all
+    pairs: a column of groups for ``build_datastore``. Special ids take no part; an unknown token does."""
+    aligned = align(encoded.table, "source_ids", "target_ids", encoded.vocabulary.special_ids, rounds, name=name)
+    return EncodedPairs(write_scratch(aligned.table, "aligned"), encoded.vocabulary)
+
+
 def same_position_groups(source_ids: str, target_ids: str):
     """For each target position the source id at the same position, or the last one there is."""
     n_source, n_target = F.size(source_ids), F.size(target_ids)

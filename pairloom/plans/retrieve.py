@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import l2_normalize
 from pairloom.operators.neighbours import NEIGHBOURS, require_dimension, search
 from pairloom.operators.row_index import first_rows
+from pairloom.sources.growing_store import GrowingStore
 from pairloom.sources.vector_tables import read_buckets_of
 
 
@@ -61,3 +62,10 @@ def search_store(
     # The search itself drops vectors of groups that no query asks for.
     stored = read_buckets_of(queries.sparkSession, path, group, queries)
     return search(stored.withColumnRenamed(vector, "vector"), queries, k, group, **limits)
+
+
+def search_growing(store: GrowingStore, queries: DataFrame, k: int = NEIGHBOURS, vector: str = "vector", **limits) -> DataFrame:
+    """Search one version of a growing store within groups; only files that hold a group of the queries
+    are opened. ``queries`` has ``query_id``, the store's group and ``vector``."""
+    stored = store.rows_of(queries).withColumnsRenamed({vector: "vector", store.vec_id: "vec_id"})
+    return search(stored, queries, k, store.group, **limits)

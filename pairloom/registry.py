@@ -11,12 +11,12 @@ from pairloom import stand_ins
 from pairloom.functions import arrays as ar
 from pairloom.functions import text as tx
 from pairloom.functions import vectors as vec
-from pairloom.operators import batching, datastore, neighbours, row_index, rows, scoring, tokens
+from pairloom.operators import alignment, batching, datastore, neighbours, row_index, rows, scoring, tokens
 from pairloom.plans import curate, embed, retrieve, translate
 from pairloom.session import spread
 from pairloom.scratch import scratch_path, write_scratch
-from pairloom.sources import bitext, vector_tables
-from pairloom.streaming.curate_stream import curate_stream
+from pairloom.sources import bitext, growing_store, vector_tables, vocabularies
+from pairloom.streaming.curate_stream import curate_stream, stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,15 +108,15 @@ def outcome_sql(column: str, limit: str = "0.65", passed: str = "ok") -> str:
 
 # Ids of both sides of the pairs: reserved 0-4 (pad, end, unknown, source, target language), then
 # words by frequency.
-def encoded_sql(vocabulary: str = "TRUE") -> str:
-    """With a condition, the vocabulary comes from the pairs that meet it, and other words are unknown (2)."""
+def encoded_sql(vocabulary: str = "TRUE", least: int = 1) -> str:
+    """The vocabulary has words that come ``least`` times in the pairs that meet a condition; others are unknown (2)."""
     return f"""
 {PAIRS_SQL},
 words AS (SELECT conv_id, turn, 'source' AS side, regexp_extract_all(source, '\\pL+') AS w FROM pairs
           UNION ALL SELECT conv_id, turn, 'target', regexp_extract_all(target, '\\pL+') FROM pairs),
 toks AS (SELECT conv_id, turn, side, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM words),
 vocab AS (SELECT token, CAST(4 + row_number() OVER (ORDER BY count(*) DESC, token) AS INTEGER) AS id
-          FROM toks WHERE {vocabulary} GROUP BY token),
+          FROM toks WHERE {vocabulary} GROUP BY token HAVING count(*) >= {least}),
 ids AS (SELECT conv_id, turn, side, p, coalesce(id, 2) AS id, CASE WHEN id IS NULL THEN '<unk>' ELSE token END AS token
         FROM toks LEFT JOIN vocab USING (token)
         UNION ALL SELECT conv_id, turn, side, 0, CASE side WHEN 'source' THEN 3 ELSE 4 END,
@@ -349,6 +349,14 @@ def curate_stream_job(spark, sf):
     return bitext_outcomes(spark, out)
 
 
+@query(f"WITH {PAIRS_SQL} SELECT outcome, count(*) AS n FROM (SELECT {outcome_sql('source', passed='kept')} AS outcome FROM pairs) GROUP BY outcome")
+def curate_stream_counts(spark, sf):
+    """Pairs per outcome as the stream has counted them."""
+    out = scratch_path(spark, "streamed")
+    curate_stream(spark, _written_pairs(spark, sf), out, scratch_path(spark, "stream-marks")).awaitTermination()
+    return stream_counts(spark, out)
+
+
 def bitext_outcomes(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return reader.csv(path).select("outcome", "english", "german")
@@ -432,6 +440,15 @@ def row_at(spark, sf):
     return row_index.index_rows(docs, "n_chars", "doc_id", unique=True).at(100)
 
 
+@query("""SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM events
+          QUALIFY row_idx BETWEEN 1000 AND 1499""")
+def row_index_kept(spark, sf):
+    """Rows of an index that is kept on disk and opened again."""
+    path = scratch_path(spark, "index")
+    row_index.index_rows(table(spark, sf, "events").select("event_id", "user_id"), "event_id", unique=True, path=path)
+    return row_index.open_index(spark, path).between(1000, 1500)
+
+
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 3")
 def first_n(spark, sf):
     return row_index.first_rows(table(spark, sf, "embeddings").select("vec_id", "label"), 3, "vec_id")
@@ -530,6 +547,22 @@ def encode_ids_joined(spark, sf):
     return tokens.encode(docs, "tokens", found, shared=False).select("doc_id", joined("ids").alias("ids"))
 
 
+@query(r"""WITH old AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\pL+')) AS token FROM documents) GROUP BY token),
+           first AS (SELECT CAST(2 + row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS token_id, token, n FROM old
+                     UNION ALL VALUES (0, '<pad>', 0), (1, '</s>', 0), (2, '<unk>', 0)),
+           fresh AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\pL+')) AS token FROM conversations)
+                     WHERE token NOT IN (SELECT token FROM old) GROUP BY token)
+           SELECT * FROM first UNION ALL
+           SELECT CAST((SELECT count(*) FROM first) - 1 + row_number() OVER (ORDER BY n DESC, token) AS INTEGER), token, n FROM fresh""")
+def vocabulary_kept(spark, sf):
+    """The documents' vocabulary, kept, opened, and extended by the words of the conversations."""
+    path = scratch_path(spark, "vocabulary")
+    vocabularies.save_vocabulary(tokens.build_vocabulary(doc_tokens(spark, sf), "tokens"), path, 8)
+    turns = tokens.tokenize(table(spark, sf, "conversations").select("text"), "text")
+    more = vocabularies.extend_vocabulary(vocabularies.open_vocabulary(spark, path), turns, "tokens")
+    return vocabularies.save_vocabulary(more, path, 8).table
+
+
 def _sides(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*PAIR_KEY, *[joined(f"{side}_{suffix}").alias(f"{side}_{suffix}") for side in ("source", "target")])
 
@@ -659,6 +692,15 @@ def embed_pairs_job(spark, sf):
     return sides[0].unionByName(sides[1]).select(*PAIR_KEY, "side", "tokens", "pos", "token_id", *state_columns("vector"))
 
 
+@query(f"WITH {STATES_SQL} SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token_id, {STATE_COLUMNS_SQL} FROM tgt_states")
+def embed_in_parts(spark, sf):
+    """States written part by part, with a ledger of the finished ones."""
+    path = scratch_path(spark, "parts")
+    scored = embed.embed_in_parts(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model, path, n_parts=8, at_a_time=4)
+    flat = scoring.flatten_states(scored, PAIR_KEY, "target_states", "target_ids")
+    return flat.select(*PAIR_KEY, "pos", "token_id", *state_columns("vector"))
+
+
 @query(f"""WITH {ENCODED_SQL} SELECT conv_id, turn,
                   coalesce(array_to_string(list_filter(target_ids, lambda x: x > 4), ' '), '') AS kept FROM encoded""")
 def compress_masked(spark, sf):
@@ -700,16 +742,52 @@ def datastore_build(spark, sf):
     return _store_columns(embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model))
 
 
-@query(f"WITH {_store_sql(states_sql(encoded_sql('conv_id % 2 = 0')))} {_STORE_COLUMNS_SQL}")
+@query(f"WITH {_store_sql(states_sql(encoded_sql('TRUE', 3)))} {_STORE_COLUMNS_SQL}")
 def datastore_build_unseen(spark, sf):
-    """All pairs, with the vocabulary of the even conversations: unknown words stay in their places."""
-    both = tokens.tokenize_pair(pairs(spark, sf).filter("conv_id % 2 = 0"), "source", "target")
+    """All pairs, with a vocabulary of the words that come three times or more: others are unknown, in their places."""
+    both = write_scratch(tokens.tokenize_pair(pairs(spark, sf), "source", "target"), "tokenized")
     reserved = (tokens.PAD, tokens.END, tokens.UNKNOWN, "<src>", "<tgt>")
-    known = tokens.build_vocabulary(both, "source_tokens", "target_tokens", reserved=reserved)
+    known = tokens.build_vocabulary(both, "source_tokens", "target_tokens", reserved=reserved, least=3)
     encoded = embed.encode_pairs(pairs(spark, sf), vocabulary=known)
     return _store_columns(embed.build_datastore(encoded, PAIR_KEY, stand_ins.make_pair_model))
 
 
+ROUNDS = 3  # of alignment, in the registered queries
+_CONTENT_SQL = """a_pairs AS (SELECT conv_id, turn, list_filter(source_ids, lambda x: x NOT IN (0, 1, 3, 4)) AS src,
+                  list_filter(target_ids, lambda x: x NOT IN (0, 1, 3, 4)) AS tgt FROM encoded)"""
+ALIGNED_SQL = f"{_CONTENT_SQL},\n{alignment.oracle_sql('a_pairs', 'conv_id, turn', ROUNDS)}"
+
+
+@query(f"WITH {ENCODED_SQL}, {ALIGNED_SQL} SELECT * FROM shares")
+def translation_shares(spark, sf):
+    """The share with which each source token gives each target token, in parts of a thousand million."""
+    encoded = encoded_pairs(spark, sf)
+    learned = alignment.align(encoded.table, "source_ids", "target_ids", encoded.vocabulary.special_ids, ROUNDS)
+    return learned.shares.select("source_id", "target_id", "share")
+
+
+@query(f"""WITH {ENCODED_SQL}, {ALIGNED_SQL}
+           SELECT conv_id, turn, CAST(p AS INTEGER) AS pos, id AS target_id, e AS source_id
+           FROM ids JOIN links USING (conv_id, turn) WHERE side = 'target' AND f = id""")
+def word_alignment(spark, sf):
+    """The source token that each target position belongs to."""
+    encoded = encoded_pairs(spark, sf)
+    learned = alignment.align(encoded.table, "source_ids", "target_ids", encoded.vocabulary.special_ids, ROUNDS)
+    return alignment.link_positions(learned.table, PAIR_KEY, "target_ids")
+
+
+@query(f"""WITH {STATES_SQL}, {ALIGNED_SQL},
+           lined AS (SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token_id AS value_token_id, lag(s) OVER w AS s, lag(token_id) OVER w AS before
+                     FROM tgt_states WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+           store AS (SELECT lined.*, e AS group_token_id FROM lined LEFT JOIN links ON links.conv_id = lined.conv_id AND links.turn = lined.turn
+                     AND f = value_token_id WHERE value_token_id NOT IN (0, 1, 3, 4) AND before NOT IN (0, 1, 3, 4))
+           {_STORE_COLUMNS_SQL}""")
+def datastore_aligned(spark, sf):
+    """The datastore with each target token filed under the source token that it is aligned to."""
+    encoded = embed.align_pairs(encoded_pairs(spark, sf), ROUNDS)
+    return _store_columns(embed.build_datastore(encoded, PAIR_KEY, stand_ins.make_pair_model, group_ids="group_ids"))
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -793,23 +871,26 @@ def knn_matrix(spark, sf):
     )
 
 
-@query(_knn_sql("q.label = x.label"))
+GROUP_QUERIES_SQL = f"q.label = x.label AND {QUERIES_SQL}"
+
+
+@query(_knn_sql(GROUP_QUERIES_SQL))
 def knn_grouped(spark, sf):
-    return _rounded(retrieve.search_all(vectors(spark, sf), 64, group="label"))
+    return _rounded(retrieve.search_table(vectors(spark, sf), 64, asked(spark, sf), group="label"))
 
 
-@query(_knn_sql("q.label = x.label"))
+@query(_knn_sql(GROUP_QUERIES_SQL))
 def knn_grouped_cells(spark, sf):
-    found = retrieve.search_all(vectors(spark, sf), 64, group="label", broadcast_queries=0, block_rows=50)
+    found = retrieve.search_table(vectors(spark, sf), 64, asked(spark, sf), group="label", broadcast_queries=0, block_rows=50)
     return _rounded(found)
 
 
-@query(_knn_sql("q.label = x.label"))
+@query(_knn_sql(GROUP_QUERIES_SQL))
 def knn_stored(spark, sf):
     path = scratch_path(spark, "grouped")
     unit = retrieve.normalized(vectors(spark, sf))
     vector_tables.write_grouped(unit, path, "label", 4)
-    queries = unit.withColumnRenamed("vec_id", "query_id")
+    queries = unit.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return _rounded(retrieve.search_store(path, queries, "label"))
 
 
@@ -818,17 +899,68 @@ def knn_stored(spark, sf):
            keys AS (SELECT vec_id, g, s % 97 AS a, s * 2 % 97 AS b, s * 3 % 97 AS c, s * 4 % 97 AS d FROM entries),
            -- Of equal keys in a group only the three with the lowest ids can be among the nearest.
            lowest AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY vec_id) <= 3),
-           asked AS (SELECT DISTINCT g, a, b, c, d FROM keys),
+           asked AS (SELECT DISTINCT g, a, b, c, d FROM keys WHERE vec_id % 100 = 0),
            hits AS (SELECT q.*, x.vec_id,
                            CAST((q.a-x.a)*(q.a-x.a) + (q.b-x.b)*(q.b-x.b) + (q.c-x.c)*(q.c-x.c) + (q.d-x.d)*(q.d-x.d) AS DOUBLE) AS distance
                     FROM asked q JOIN lowest x ON q.g = x.g),
            best AS (SELECT *, CAST(row_number() OVER (PARTITION BY g, a, b, c, d ORDER BY distance, vec_id) AS INTEGER) AS rank FROM hits)
            SELECT keys.vec_id AS query_id, rank, best.vec_id, value_token_id, distance
-           FROM keys JOIN best USING (g, a, b, c, d) JOIN entries ON entries.vec_id = best.vec_id WHERE rank <= 3""")
+           FROM keys JOIN best USING (g, a, b, c, d) JOIN entries ON entries.vec_id = best.vec_id WHERE rank <= 3 AND keys.vec_id % 100 = 0""")
 def datastore_lookup(spark, sf):
-    """Each stored key searched in the group of its source token, and the tokens found."""
+    """Every hundredth stored key searched in the group of its source token, and the tokens found."""
     store = embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)
     numbered = write_scratch(datastore.number_entries(store, *PAIR_KEY), "entries")
     keys = numbered.select("vec_id", F.col("key_vector").alias("vector"), "group_token_id")
-    found = neighbours.search(keys, keys.withColumnRenamed("vec_id", "query_id"), group="group_token_id")
+    found = neighbours.search(keys, keys.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), group="group_token_id")
     return found.join(numbered.select("vec_id", "value_token_id"), "vec_id")
+
+
+TEMPERATURE = 50.0
+
+
+@query(f"""WITH {_store_sql()},
+           entries AS (SELECT row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS vec_id, value_token_id, group_token_id AS g, s FROM store),
+           keys AS (SELECT vec_id, value_token_id, g, s % 97 AS a, s * 2 % 97 AS b, s * 3 % 97 AS c, s * 4 % 97 AS d FROM entries),
+           hits AS (SELECT q.vec_id AS query_id, x.vec_id, x.value_token_id,
+                           CAST((q.a-x.a)*(q.a-x.a) + (q.b-x.b)*(q.b-x.b) + (q.c-x.c)*(q.c-x.c) + (q.d-x.d)*(q.d-x.d) AS DOUBLE) AS distance
+                    FROM keys q JOIN keys x ON q.g = x.g WHERE q.vec_id % 100 = 0),
+           near AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 8),
+           tops AS (SELECT *, exp((min(distance) OVER (PARTITION BY query_id) - distance) / {TEMPERATURE}) AS w FROM near),
+           sums AS (SELECT query_id, value_token_id, sum(w ORDER BY w DESC) AS w FROM tops GROUP BY ALL),
+           weights AS (SELECT query_id, value_token_id, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS weight FROM sums)
+           SELECT query_id, value_token_id, weight FROM weights""")
+def datastore_choice(spark, sf):
+    """Every hundredth stored key searched among its source token's entries, and how its neighbours vote for a token."""
+    store = embed.build_datastore(encoded_pairs(spark, sf), PAIR_KEY, stand_ins.make_pair_model)
+    numbered = write_scratch(datastore.number_entries(store, *PAIR_KEY), "entries")
+    keys = numbered.select("vec_id", F.col("key_vector").alias("vector"), "group_token_id")
+    found = neighbours.search(keys, keys.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k=8, group="group_token_id")
+    chosen = datastore.choose_tokens(found, numbered, TEMPERATURE, best=8)
+    return chosen.select("query_id", "value_token_id", F.round("weight", 6).alias("weight"))
+
+
+@query(_knn_sql(GROUP_QUERIES_SQL))
+def knn_growing(spark, sf):
+    """A store that grew by two appends, with one in between that failed before its commit, and was compacted."""
+    path = scratch_path(spark, "growing")
+    unit = retrieve.normalized(vectors(spark, sf)).select(F.col("vec_id").alias("old_id"), "vector", "label")
+    schema = unit.withColumn("vec_id", F.lit(0).cast("long")).schema
+    store = growing_store.create_growing(spark, path, schema, "label", 4)
+    store = store.append(unit.filter("label % 2 = 0"), "old_id", unique=True)
+    store.write_generation(unit.withColumn("vec_id", F.col("old_id")))
+    store = growing_store.open_growing(spark, path).append(unit.filter("label % 2 <> 0"), "old_id", unique=True)
+    store = store.compact(1 << 40)
+    asked = unit.filter("old_id % 100 = 0").withColumnRenamed("old_id", "query_id")
+    found = retrieve.search_growing(store, asked)
+    named = found.join(store.table().select("vec_id", "old_id"), "vec_id").drop("vec_id").withColumnRenamed("old_id", "vec_id")
+    return _rounded(named)
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def store_directory(spark, sf):
+    """Rows of each group by the directory of a growing store, over all its files."""
+    path = scratch_path(spark, "growing")
+    rows = vectors(spark, sf)
+    store = growing_store.create_growing(spark, path, rows.schema, "label", 4)
+    store = store.append(rows.filter("label < 5"), "vector", "label").append(rows.filter("label >= 5"), "vector", "label")
+    return store.directory().groupBy("label").agg(F.sum("rows").alias("n"))
