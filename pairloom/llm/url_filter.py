@@ -2,7 +2,9 @@
 
 List entries are dated: from its date on, an entry blocks or allows a pattern, until the next entry
 of the same pattern. So each entry has a validity interval, and a capture is judged by the entries
-that were active when it was fetched, whatever the list says today.
+that were active when it was fetched, whatever the list says today. A pattern's intervals are one
+row, in order of time, and cut into spans of ``SPAN`` intervals; a capture meets a pattern as of its
+fetch time, that is the one span, and in it the one interval, so entries of other times do not multiply it.
 
 A pattern is a host, which also stands for all hosts below it, or a host and a path prefix of whole
 segments. A capture has a key for each host above its own and for each of its path prefixes (as deep
@@ -15,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000  # intervals are broadcast up to here, by count; else shuffled
+from pairloom.scratch import write_scratch
+
+BROADCAST_BYTES = 16 << 20  # patterns and their intervals are broadcast up to here, as measured; else shuffled
+SPAN = 256  # intervals of a pattern that are looked through for one capture, at most
 _AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?"
 
 
@@ -62,6 +67,21 @@ def keys(url: Column, deepest: int) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(hosts, own))).otherwise(F.array().cast("array<string>"))
 
 
+def histories(entries: DataFrame) -> DataFrame:
+    """``(pattern, begins, history, periods)`` for each span of a pattern's intervals: where the span begins, its
+    intervals as ``(begins, blocks)`` in order of time, and when all spans of the pattern begin."""
+    valid = intervals(entries).withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("begins")) - 1)
+    spans = valid.groupBy("pattern", F.floor(F.col("n") / SPAN).alias("span")).agg(
+        F.min("begins").alias("begins"), F.array_sort(F.collect_list(F.struct("begins", "blocks"))).alias("history")
+    )
+    return spans.select("pattern", "begins", "history", F.array_sort(F.collect_set("begins").over(Window.partitionBy("pattern"))).alias("periods"))
+
+
+def _as_of(values: Column, at: Column, begins) -> Column:
+    """The last of ``values``, which are in order of time, that begins no later than ``at``; null if none does."""
+    return F.try_element_at(F.filter(values, lambda x: begins(x) <= at), F.lit(-1))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched") -> DataFrame:
     """``captures`` with ``blocked`` and ``decided_by``, the pattern that decided (null if none was active).
 
@@ -69,24 +89,34 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     Columns of these two names are replaced; all others stay, and repeated rows stay repeated.
     Equal captures are looked up once, so a URL that fills the table is one row in the join.
     """
-    valid = intervals(entries)
-    counted = valid.agg(F.count("*").alias("n"), F.max(F.size(F.split("pattern", "/")) - 1).alias("deepest")).first()
-    if counted["n"] <= BROADCAST_ROWS:
-        valid = F.broadcast(valid)
+    held = write_scratch(histories(entries), "histories")
+    size = F.octet_length("pattern") + 24 * F.size("history") + 16 * F.size("periods")
+    told = held.agg(F.sum(size).alias("bytes"), F.max(F.size(F.split("pattern", "/")) - 1).alias("deepest")).first()
+    small = (told["bytes"] or 0) <= BROADCAST_BYTES
+    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     captures = captures.drop("blocked", "decided_by")
-    asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).filter("_url IS NOT NULL AND _at IS NOT NULL").distinct()
-    hits = (
-        asked.select("_url", "_at", F.explode(keys(F.col("_url"), counted["deepest"] or 0)).alias("pattern"))
-        .join(valid, "pattern")
-        .filter((F.col("_at") >= F.col("begins")) & (F.col("ends").isNull() | (F.col("_at") < F.col("ends"))))
-    )
-    rank = F.struct(F.contains("pattern", F.lit("/")).alias("deep"), F.length("pattern").alias("long"), "pattern", "blocks")
-    decided = hits.groupBy("_url", "_at").agg(F.max(rank).alias("won")).select("_url", "_at", F.col("won.blocks").alias("blocked"), F.col("won.pattern").alias("decided_by"))
-    return (
-        captures.join(decided, (captures[url] == decided["_url"]) & (captures[at] == decided["_at"]), "left")
-        .drop("_url", "_at")
-        .withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    )
+    asked = captures.select(F.col(url).alias("asked"), F.col(at).alias("time")).filter("asked IS NOT NULL AND time IS NOT NULL").distinct()
+    met = asked.select("asked", "time", F.explode(keys(F.col("asked"), told["deepest"] or 0)).alias("pattern"))
+    # As of the fetch time: the span of the pattern, by equality, then the interval in it.
+    periods = held.select("pattern", "periods").distinct()
+    met = met.join(near(periods), "pattern").withColumn("begins", _as_of(F.col("periods"), F.col("time"), lambda x: x)).drop("periods")
+    met = met.join(near(held.select("pattern", "begins", "history")), ["pattern", "begins"])
+    active = met.withColumn("entry", _as_of(F.col("history"), F.col("time"), lambda x: x["begins"])).filter("entry IS NOT NULL")
+    rank = F.struct(F.contains("pattern", F.lit("/")).alias("deep"), F.length("pattern").alias("long"), "pattern", F.col("entry.blocks").alias("blocks"))
+    decided = active.groupBy("asked", "time").agg(F.max(rank).alias("won"))
+    names = [_free(name, captures.columns) for name in ("asked", "time", "won")]
+    decided = decided.select(*[F.col(c).alias(n) for c, n in zip(("asked", "time", "won"), names)])
+    judged = captures.join(decided, (F.col(f"`{url}`") == F.col(names[0])) & (F.col(f"`{at}`") == F.col(names[1])), "left")
+    won = F.col(names[2])
+    verdict = judged.withColumns({"blocked": F.coalesce(won["blocks"], F.lit(False)), "decided_by": won["pattern"]})
+    return verdict.select(*[f"`{c}`" for c in captures.columns], "blocked", "decided_by")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A name that no column has, whatever the case of its letters."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- a list and fetch dates worked out from the pages

@@ -9,15 +9,18 @@ from pairloom.llm import decontaminate as dec
 
 
 def brute(docs, items, width=5, share=0.8):
-    def sets(rows):
+    def sets(rows, widths):
         out = {}
         for key, text in rows:
             w = re.findall(r"[^\W_]+", (text or "").lower())
             if key is not None:
-                out.setdefault(key, set()).update(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)) if w)
+                for n in widths(w):
+                    out.setdefault(key, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
         return out
 
-    d, i = sets(docs), sets(items)
+    i = sets(items, lambda w: [min(width, len(w))] if w else [])
+    occurring = {min(width, len(re.findall(r"[^\W_]+", (t or "").lower()))) for _, t in items} - {0}
+    d = sets(docs, lambda w: [n for n in occurring if n <= len(w)])
     return sorted(
         (a, b, len(i[b]), len(d[a] & i[b])) for a in d for b in i if i[b] and len(d[a] & i[b]) >= share * len(i[b]) - 1e-9
     )
@@ -46,5 +49,22 @@ def test_same_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dec, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, dec.contained_items(d, i).collect())) == wanted
     leaky = {w[0] for w in wanted}
-    assert sorted(str(r["doc_id"]) for r in dec.without_leaks(d, i).collect()) == sorted(str(k) for k, _ in docs if k not in leaky)
+    lost = {t for k, t in docs if k is None and brute([(0, t)], items)}
+    kept = sorted(str(k) for k, t in docs if k not in leaky and not (k is None and t in lost))
+    assert sorted(str(r["doc_id"]) for r in dec.without_leaks(d, i).collect()) == kept and "None" not in kept
     assert dec.contained_items(d.limit(0), i).collect() == [] and dec.contained_items(d, i.limit(0)).collect() == []
+
+
+def test_short_items_are_found_inside_documents(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox, jumps over"), (2, "brown jumps fox"), (3, "fox"), (4, "a fox jumps")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Brown fox jumps"), (2, "fox"), (3, "quick brown fox jumps over"), (4, "over the")], "item_id long, text string")
+    assert sorted(map(tuple, dec.contained_items(docs, items).collect())) == [(1, 1, 1, 1), (1, 2, 1, 1), (1, 3, 1, 1), (2, 2, 1, 1), (3, 2, 1, 1), (4, 2, 1, 1)]
+
+
+def test_a_very_long_document(spark):
+    dice = random.Random(2)
+    filler = " ".join("w%d" % dice.randrange(10**6) for _ in range(100_000))
+    item = " ".join("w%d" % dice.randrange(10**6) for _ in range(30))
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler)], "doc_id long, text string")
+    found = dec.contained_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 7, 26, 26)]

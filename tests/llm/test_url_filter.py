@@ -36,9 +36,10 @@ def plain(url, at, entries):
     return (best[1], best[2]) if best else (False, None)
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_same_as_plain_reading(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(uf, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("broadcast_bytes,span", [(16 << 20, 256), (0, 2)])
+def test_same_as_plain_reading(spark, monkeypatch, broadcast_bytes, span):
+    monkeypatch.setattr(uf, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(uf, "SPAN", span)
     dice = random.Random(8)
     hosts = ["a.example.com", "b.example.com", "example.com", "x.b.example.com", "other.org", "notexample.com"]
     entries = [(h + dice.choice(("", "/p", "/p/q", "/P/")), dice.choice(("block", "allow")), DAY + timedelta(dice.randrange(40))) for h in hosts for _ in range(5)]
@@ -68,3 +69,22 @@ def test_empty_tables(spark):
     listed = spark.createDataFrame([("a.b", "block", DAY)], "pattern string, action string, dated date")
     assert uf.judge(captures, listed.limit(0)).first()["blocked"] is False
     assert uf.judge(captures.limit(0), listed).collect() == [] and uf.judge(captures, listed).first()["blocked"] is True
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = "page_id long, url string, fetched date, _url string, _at string, asked string, Time string, won int, pattern string"
+    captures = spark.createDataFrame([(1, "http://a.b/c", DAY, "u", "a", "x", "y", 3, "p")] * 2, names)
+    listed = spark.createDataFrame([("a.b", "block", DAY)], "pattern string, action string, dated date")
+    rows = uf.judge(captures, listed)
+    assert rows.columns == [*captures.columns, "blocked", "decided_by"]
+    assert [tuple(r) for r in rows.collect()] == [(1, "http://a.b/c", DAY, "u", "a", "x", "y", 3, "p", True, "a.b")] * 2
+
+
+def test_many_entries_of_a_pattern_do_not_multiply_captures(spark):
+    entries = [("a.b", ("block", "allow")[i % 2], DAY + timedelta(i)) for i in range(2_000)]
+    captures = [(i, f"http://a.b/{i}", DAY + timedelta(i * 7)) for i in range(280)]
+    listed = spark.createDataFrame(entries, "pattern string, action string, dated date")
+    found = uf.judge(spark.createDataFrame(captures, "page_id long, url string, fetched date"), listed).collect()
+    assert {r["page_id"]: r["blocked"] for r in found} == {i: i * 7 % 2 == 0 for i in range(280)}
+    spans = uf.histories(listed).collect()
+    assert len(spans) == 8 and max(len(s["history"]) for s in spans) == uf.SPAN
