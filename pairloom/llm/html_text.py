@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ ASIDE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content main post entry story body articlebody maincontent".split())
 
+# Those of the aside words that an article may be about, or be called by its theme. They say little,
+# so that the block itself and its neighbours decide.
+DOUBTFUL_WORDS = frozenset(
+    "promo promotion widget search form notice notices alert share sharing social legal copyright login signup rail toolbar banner pager skip".split()
+)
+
 # Words of containers whose articles are not the page's own.
 OTHERS_WORDS = frozenset("comment comments disqus reply replies respondents related recommended sidebar teaser".split())
 
@@ -50,7 +57,8 @@ _HINT = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PIECE = regex.compile(r"[a-z]+|[0-9]+")
 _HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.IGNORECASE)
 
-NOWHERE, INSIDE, OUTSIDE, OTHERS = 0, 1, -1, -2  # OTHERS: outside, and so is any article in it
+# DOUBTFUL: a word hints at something beside the article. OTHERS: outside, and so is any article in it.
+NOWHERE, INSIDE, DOUBTFUL, OUTSIDE, OTHERS = 0, 1, -0.5, -1, -2
 
 
 @dataclass
@@ -58,7 +66,7 @@ class Block:
     text: str
     words: int
     link_words: int
-    zone: int
+    zone: float
     heading: bool
 
     @property
@@ -66,7 +74,7 @@ class Block:
         return self.link_words / self.words if self.words else 0.0
 
 
-def _zone(name: str, attributes: str, outer: int) -> int | None:
+def _zone(name: str, attributes: str, outer: float) -> float | None:
     """What a container says of its contents; None if nothing."""
     said = {w for hint in _HINT.findall(attributes) for w in _PIECE.findall(" ".join(hint).lower())}
     if outer == OTHERS or said & OTHERS_WORDS or name == "aside":
@@ -77,6 +85,8 @@ def _zone(name: str, attributes: str, outer: int) -> int | None:
         # A header inside an article is the article's own.
         return None if name == "header" and outer == INSIDE else OUTSIDE
     apart, content = said & ASIDE_WORDS, said & CONTENT_WORDS
+    if apart and apart <= DOUBTFUL_WORDS:
+        return None if outer == OUTSIDE else DOUBTFUL
     if apart:
         return None if content and apart == {"header"} else OUTSIDE
     return INSIDE if content else None
@@ -89,7 +99,7 @@ class _Reader:
     link_words: int = 0
     links: int = 0
     heading: bool = False
-    open: list[tuple[str, int]] = field(default_factory=list)  # containers and their zones
+    open: list[tuple[str, float]] = field(default_factory=list)  # containers and their zones
 
     def text(self, raw: str) -> None:
         if raw:
@@ -131,10 +141,30 @@ class _Reader:
             self.open.append((name, outer if zone is None else zone))
 
 
+@lru_cache(maxsize=64)
+def _closing(name: str) -> regex.Pattern:
+    return regex.compile(f"</{name}", regex.IGNORECASE | regex.ASCII)
+
+
+class _Ends:
+    """Where elements are closed. A place that was found holds until the reader has passed it, so a page is
+    searched once for each name, however often the element is opened."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def after(self, name: str, at: int) -> int:
+        """Place of the next end tag; -1 if there is none."""
+        found = self.next.get(name)
+        if found is None or -1 < found < at:
+            hit = _closing(name).search(self.page, at)
+            found = self.next[name] = hit.start() if hit else -1
+        return found
+
+
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks of a page, in order; contents of scripts, styles and controls are skipped."""
-    reader, at, skip = _Reader(), 0, None
-    lowered = None
+    reader, at, ends = _Reader(), 0, _Ends(page)
     while True:
         found = _MARKUP.search(page, at)
         if found is None:
@@ -149,8 +179,7 @@ def blocks_of(page: str) -> list[Block]:
         name, end = found[2].lower(), bool(found[1])
         if not end and (name in RAW or name in UNSEEN) and not found[3].endswith("/"):
             reader.flush() if name in RAW else None
-            lowered = page.lower() if lowered is None or len(lowered) != len(page) else lowered
-            close = lowered.find(f"</{name}", at)
+            close = ends.after(name, at)
             if close < 0:
                 at = len(page) if name in RAW else at
             else:
@@ -171,17 +200,31 @@ TRAINING = (
     (1, 11, 0.00, 3, 0.00, 95, 0.00, 1, 1), (1, 1, 0.00, 200, 0.00, 1, 0.00, 0, 1), (1, 40, 0.30, 60, 0.00, 20, 0.10, 0, 1),
     (1, 8, 1.00, 50, 0.00, 70, 0.05, 0, 1), (1, 25, 0.00, 2, 0.00, 0, 0.00, 0, 1), (1, 300, 0.02, 9, 0.00, 12, 1.00, 0, 1),
     (1, 6, 0.00, 4, 1.00, 7, 0.00, 0, 1), (1, 1, 0.00, 1, 0.00, 1, 0.00, 0, 1), (1, 60, 0.00, 5, 0.00, 20, 0.05, 0, 1),
+    (1, 38, 0.00, 12, 0.00, 10, 0.00, 0, 1), (1, 52, 0.00, 4, 0.00, 9, 0.00, 0, 1), (1, 25, 0.00, 8, 0.00, 11, 0.00, 0, 1),
+    (1, 90, 0.00, 30, 0.00, 10, 0.00, 0, 1), (1, 33, 0.10, 9, 0.00, 9, 0.00, 0, 1), (1, 14, 0.00, 10, 0.00, 9, 0.00, 0, 1),
+    (1, 5, 0.00, 3, 0.00, 2, 0.00, 0, 1), (1, 9, 0.50, 4, 0.00, 6, 0.80, 0, 1), (1, 4, 0.00, 2, 1.00, 3, 1.00, 0, 1),
+    (1, 12, 0.00, 0, 0.00, 0, 0.00, 0, 1), (1, 18, 0.00, 40, 0.00, 4, 0.90, 0, 1), (1, 7, 0.00, 6, 0.00, 8, 0.00, 1, 1),
     # in a menu, header, footer, sidebar, notice, advert, form or comment section
     (-1, 1, 1.00, 1, 1.00, 1, 1.00, 0, 0), (-1, 2, 1.00, 0, 0.00, 1, 1.00, 0, 0), (-1, 8, 0.00, 1, 1.00, 11, 0.00, 0, 0),
     (-1, 20, 0.00, 90, 0.00, 0, 0.00, 0, 0), (-1, 140, 0.00, 60, 0.00, 120, 0.00, 0, 0), (-1, 4, 0.00, 30, 0.00, 2, 0.50, 1, 0),
     (-1, 45, 0.10, 3, 0.00, 50, 0.00, 0, 0), (-1, 60, 0.00, 80, 0.00, 80, 0.00, 0, 0), (-1, 15, 0.40, 200, 0.00, 3, 1.00, 0, 0),
     (-1, 3, 0.00, 1, 0.00, 1, 0.00, 1, 0), (-1, 30, 0.00, 10, 0.00, 10, 0.00, 0, 0), (-1, 250, 0.01, 5, 0.00, 5, 0.00, 0, 0),
+    (-1, 38, 0.00, 70, 0.00, 30, 0.00, 0, 0), (-1, 75, 0.00, 45, 0.00, 60, 0.00, 0, 0), (-1, 10, 0.00, 50, 0.00, 65, 0.00, 0, 0),
+    (-1, 6, 0.00, 20, 0.00, 80, 0.00, 1, 0), (-1, 33, 0.00, 2, 1.00, 90, 0.00, 0, 0), (-1, 110, 0.05, 0, 0.00, 40, 0.00, 0, 0),
+    # a word that may be the article's theme as well: judged by words and links
+    (-0.5, 70, 0.00, 60, 0.00, 75, 0.00, 0, 1), (-0.5, 65, 0.00, 0, 0.00, 0, 0.00, 0, 1), (-0.5, 120, 0.00, 2, 1.00, 3, 1.00, 0, 1),
+    (-0.5, 48, 0.05, 50, 0.00, 60, 0.00, 0, 1), (-0.5, 18, 0.00, 70, 0.00, 80, 0.00, 0, 1), (-0.5, 260, 0.01, 5, 0.00, 5, 0.00, 0, 1),
+    (-0.5, 8, 0.00, 3, 1.00, 90, 0.00, 1, 1), (-0.5, 55, 0.00, 9, 0.00, 3, 1.00, 0, 1), (-0.5, 6, 0.00, 75, 0.00, 60, 0.00, 1, 1),
+    (-0.5, 20, 0.00, 90, 0.00, 0, 0.00, 0, 0), (-0.5, 8, 0.00, 1, 1.00, 11, 0.00, 0, 0), (-0.5, 4, 0.00, 30, 0.00, 2, 0.50, 0, 0),
+    (-0.5, 15, 0.40, 200, 0.00, 3, 1.00, 0, 0), (-0.5, 16, 0.00, 10, 0.00, 10, 0.00, 0, 0), (-0.5, 1, 1.00, 1, 1.00, 1, 1.00, 0, 0),
+    (-0.5, 3, 0.00, 1, 0.00, 1, 0.00, 1, 0), (-0.5, 80, 0.85, 40, 0.90, 60, 0.80, 0, 0), (-0.5, 12, 0.00, 8, 0.00, 4, 0.00, 0, 0),
     # nothing said: judged by words and links of the block and its neighbours
     (0, 80, 0.00, 60, 0.00, 75, 0.00, 0, 1), (0, 35, 0.05, 80, 0.00, 40, 0.00, 0, 1), (0, 22, 0.00, 50, 0.00, 60, 0.10, 0, 1),
     (0, 6, 0.00, 70, 0.00, 55, 0.00, 0, 1), (0, 9, 0.00, 1, 1.00, 70, 0.00, 1, 1), (0, 5, 0.00, 40, 0.00, 45, 0.00, 1, 1),
     (0, 18, 0.10, 45, 0.05, 30, 0.00, 0, 1), (0, 120, 0.00, 2, 1.00, 3, 1.00, 0, 1), (0, 3, 0.00, 30, 0.00, 28, 0.00, 0, 1),
     (0, 45, 0.00, 60, 0.00, 5, 0.00, 0, 1), (0, 70, 0.00, 5, 0.00, 2, 1.00, 0, 1), (0, 60, 0.00, 2, 1.00, 45, 0.00, 0, 1),
     (0, 30, 0.00, 5, 0.00, 6, 0.00, 0, 1), (0, 55, 0.00, 20, 0.00, 0, 0.00, 0, 1), (0, 90, 0.02, 0, 0.00, 0, 0.00, 0, 1),
+    (0, 40, 0.00, 30, 0.00, 10, 0.00, 0, 1), (0, 28, 0.00, 12, 0.00, 9, 0.00, 0, 1), (0, 50, 0.00, 10, 0.00, 11, 0.00, 0, 1),
     (0, 2, 1.00, 2, 1.00, 2, 1.00, 0, 0), (0, 1, 1.00, 0, 0.00, 3, 1.00, 0, 0), (0, 4, 0.00, 2, 1.00, 3, 1.00, 0, 0),
     (0, 7, 0.90, 60, 0.00, 5, 1.00, 0, 0), (0, 12, 0.75, 8, 0.80, 9, 1.00, 0, 0), (0, 5, 0.00, 4, 0.90, 0, 0.00, 0, 0),
     (0, 3, 0.50, 2, 0.80, 4, 0.00, 0, 0), (0, 9, 0.60, 3, 1.00, 90, 0.00, 0, 0), (0, 4, 0.00, 3, 0.00, 4, 0.00, 0, 0),

@@ -6,9 +6,12 @@ centroids of each half by inner product and walks the pairs in order of their su
 multi-sequence walk), until the cells it has taken hold enough entries. The entries of those cells
 are then ranked by their true inner products.
 
-Codebooks are fitted on a bounded sample; every row is indexed. Cell sizes, K * K numbers at most,
-are known to the walk. Equal vectors are one entry as long as the search runs: of them only those
-of smallest id can be among the nearest, so no heap of copies fills a cell.
+Codebooks are fitted on a bounded sample, and have more centroids the more entries there are; every
+row is indexed. How many entries are enough is measured, unless given: a bounded number of the queries
+is compared with all entries, and the share is taken that would have found so much of their true
+neighbours. So vectors with structure are searched by a few cells, and vectors without any by many.
+Cell sizes, K * K numbers at most, are known to the walk. Equal vectors are one entry as long as the
+search runs: of them only those of smallest id can be among the nearest, so no heap of copies fills a cell.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
-CENTROIDS = 32  # per half
-SHARE = 0.6  # of all entries, as many a query's cells hold at least
-LEAST = 4_000  # entries at least
-BLOCK = 4_096  # entries of a shard and, as the order of magnitude, queries that meet in one task
+CELL_ENTRIES = 25  # entries of a cell, on average, that the number of centroids aims at
+MOST_CENTROIDS = 256  # per half
+RECALL = 0.95  # of the neighbours of the probes
+PROBES = 64  # queries that are compared with all entries, at most
+BLOCK = 4_096  # entries of a shard
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -82,7 +86,8 @@ class Codebooks:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float) if len(column) else np.zeros((0, 1))
+    """Vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -97,33 +102,68 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def _rank_block(k: int):
-    """Entries of one shard against the queries that visit some of its cells; at most ``k`` per query come out."""
-
-    def rank(entries: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(entries) and len(visits):
-            e, ids = np.stack(entries["v"].to_numpy()), [np.asarray(x) for x in entries["ids"]]
-            cells, column = np.unique(entries["cell"].to_numpy(), return_inverse=True)
-            reach = 1e-9 * np.abs(e).max() * e.shape[1]
-            for begin in range(0, len(visits), 256):
-                asking = visits.iloc[begin : begin + 256]
-                q = np.stack(asking["q"].to_numpy())
-                open_ = np.stack([np.isin(cells, c) for c in asking["cells"]])
-                near = np.where(open_[:, column], q @ e.T, -np.inf)
-                # One entry may be the query's own, so one more than k; those within rounding stay too.
-                last = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] if near.shape[1] > k + 1 else np.full(len(q), -np.inf)
-                for row, query in enumerate(asking["query_id"]):
-                    pick = np.flatnonzero((near[row] >= last[row] - reach * np.abs(q[row]).max()) & (near[row] > -np.inf))
-                    if not len(pick):
-                        continue
-                    own = [ids[i][ids[i] != query] for i in pick]
-                    scores, every = np.repeat((e[pick] * q[row]).sum(axis=1), [len(o) for o in own]), np.concatenate(own)
-                    top = np.lexsort((every, -scores))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": every[top], "score": scores[top]}))
-        return pd.concat(out)
-
-    return rank
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _found(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    query = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int64)
+    ids, scores = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids.astype(np.int64)), pa.array(scores.astype(float))], ["query_id", "vec_id", "score"])
+
+
+class _Shard:
+    """Entries of one shard, ready to be compared."""
+
+    def __init__(self, rows: list[pa.RecordBatch], k: int):
+        self.e = np.concatenate([_matrix(r.column("v")) for r in rows])
+        self.ids = [ids for r in rows for ids in _lists(r.column("ids"))]
+        self.cells, self.column = np.unique(np.concatenate([r.column("cell").to_numpy() for r in rows]), return_inverse=True)
+        self.reach, self.k = 1e-9 * np.abs(self.e).max() * self.e.shape[1], k
+
+    def rank(self, asking: pa.RecordBatch) -> pa.RecordBatch:
+        """At most ``k`` entries for each query that visits some of the cells."""
+        q, k, out = _matrix(asking.column("v")), self.k, []
+        open_ = np.stack([np.isin(self.cells, c) for c in _lists(asking.column("cells"))])
+        near = np.where(open_[:, self.column], q @ self.e.T, -np.inf)
+        # One entry may be the query's own, so one more than k; those within rounding stay too.
+        last = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] if near.shape[1] > k + 1 else np.full(len(q), -np.inf)
+        for row, query in enumerate(asking.column("query_id").to_pylist()):
+            pick = np.flatnonzero((near[row] >= last[row] - self.reach * np.abs(q[row]).max()) & (near[row] > -np.inf))
+            if not len(pick):
+                continue
+            own = [self.ids[i][self.ids[i] != query] for i in pick]
+            scores, every = np.repeat((self.e[pick] * q[row]).sum(axis=1), [len(o) for o in own]), np.concatenate(own)
+            top = np.lexsort((every, -scores))[:k]
+            out.append((query, every[top], scores[top]))
+        return _found(out)
+
+
+def _rank_shards(k: int):
+    """Rows come by shard, entries (role 0) before the queries that visit it (role 1), which stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, shard = None, [], None
+        for batch in batches:
+            key = batch.column("shard").to_numpy() * 2 + batch.column("role").to_numpy()
+            edges = [*np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist(), len(key)] if len(key) else [0]
+            for begin, end in zip(edges, edges[1:]):
+                part = batch.slice(begin, end - begin)
+                number, role = divmod(int(key[begin]), 2)
+                if number != at:
+                    at, rows, shard = number, [], None
+                if role == 0:
+                    rows.append(part)
+                elif rows:
+                    shard = shard or _Shard(rows, k)
+                    for some in range(0, part.num_rows, 256):
+                        yield shard.rank(part.slice(some, 256))
+
+    return run
 
 
 def _shards(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +185,9 @@ def search(
     k: int = 20,
     key: str = "vec_id",
     vector: str = "embedding",
-    centroids: int = CENTROIDS,
-    share: float = SHARE,
-    least: int = LEAST,
+    centroids: int | None = None,
+    share: float | None = None,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` its ``k`` nearest among the other rows of ``vectors``.
 
@@ -155,7 +195,8 @@ def search(
     scores go to the smaller id. Rows with a null id, and vectors that are null, all zero or hold a
     null or non-finite component, take no part, nor do vectors of another length than the most
     common one. Repeated rows count once; a row is never its own neighbour, by id. With fewer than
-    ``k`` other rows all are returned. ``share`` of 1 makes the search exact.
+    ``k`` other rows all are returned. ``share`` is the part of all entries that a query's cells hold at
+    least; if it is not given, it is what ``recall`` takes on the probes. A share of 1 makes the search exact.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -169,6 +210,7 @@ def search(
     entries = good.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1)
     entries = write_scratch(entries.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     total = entries.count()
+    centroids = centroids or max(1, min(MOST_CENTROIDS, round((total / CELL_ENTRIES) ** 0.5)))
     sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toLocalIterator()], float)
     cut = max(1, width // 2)
     books = Codebooks(kmeans(sample[:, :cut], centroids), kmeans(sample[:, cut:], centroids) if width > 1 else np.zeros((1, 0)))
@@ -186,9 +228,11 @@ def search(
         sizes[row["cell"]] = row["n"]
     first, parts = _shards(sizes)
     known = spark.sparkContext.broadcast((sizes, first, parts))
-    enough = max(least, int(np.ceil(share * total)))
-    asked = write_scratch(usable(queries, key, vector).filter(F.size("v") == width).withColumnsRenamed({"id": "query_id", "v": "q"}), "queries")
-    crowds = max(1, asked.count() // BLOCK)
+    asked = usable(queries, key, vector).filter(F.size("v") == width).withColumnsRenamed({"id": "query_id", "v": "q"})
+    asked = write_scratch(asked, "queries")
+    if share is None:
+        share = _share_for(placed, asked, books, sizes, k, recall)
+    enough = max(k + 1, int(np.ceil(share * total)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each query and shard, with the cells to look at there."""
@@ -205,20 +249,62 @@ def search(
                     at += [i] * len(wanted)
                     shard += wanted
                     cells += wanted.values()
+                taken = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("query_id").take(pa.array(at, pa.int64())), rows.column("q").take(pa.array(at, pa.int64())), pa.array(shard, pa.int64()), pa.array(cells, pa.list_(pa.int32()))],
-                    ["query_id", "q", "shard", "cells"],
+                    [pa.array(shard, pa.int64()), rows.column("q").take(taken), rows.column("query_id").take(taken), pa.array(cells, pa.list_(pa.int32()))],
+                    ["shard", "v", "query_id", "cells"],
                 )
 
-    crowd = F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int").alias("crowd")
-    visits = asked.mapInArrow(route, "query_id long, q array<double>, shard long, cells array<int>").select("*", crowd)
+    # Routing is work per query, so queries are dealt over all cores by their number.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asked.count() // BLOCK))
+    visits = asked.repartition(tasks, "query_id").mapInArrow(route, "shard long, v array<double>, query_id long, cells array<int>")
     of_cell = F.element_at(F.lit(first), F.col("cell") + 1) + F.pmod(F.xxhash64("v"), F.element_at(F.lit(parts), F.col("cell") + 1))
-    dealt = placed.select("v", "ids", "cell", of_cell.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))).alias("crowd"))
-    ranked = dealt.groupBy("shard", "crowd").cogroup(visits.groupBy("shard", "crowd")).applyInPandas(_rank_block(k), "query_id long, vec_id long, score double")
+    none = lambda kind: F.lit(None).cast(kind)
+    held = placed.select(of_cell.alias("shard"), F.lit(0).alias("role"), "v", "ids", "cell", none("long").alias("query_id"), none("array<int>").alias("cells"))
+    asking = visits.select("shard", F.lit(1).alias("role"), "v", none("array<long>").alias("ids"), none("int").alias("cell"), "query_id", "cells")
+    met = held.union(asking).repartition("shard").sortWithinPartitions("shard", "role")
+    ranked = met.mapInArrow(_rank_shards(k), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _share_for(placed: DataFrame, asked: DataFrame, books: Codebooks, sizes: np.ndarray, k: int, recall: float) -> float:
+    """The least share of entries with which the walk finds this much of the probes' true neighbours."""
+    probes = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBES).collect()
+    if not probes:
+        return 1.0
+    points, names = np.array([r["q"] for r in probes], float), [r["query_id"] for r in probes]
+    told = placed.sparkSession.sparkContext.broadcast((points, names))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, names = told.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK):
+                rows = batch.slice(begin, BLOCK)
+                e, cell, ids = _matrix(rows.column("v")), rows.column("cell").to_numpy(), _lists(rows.column("ids"))
+                out: list[tuple] = []
+                for i, query in enumerate(names):
+                    scores = e @ points[i]
+                    for at in np.argsort(-scores, kind="stable")[: k + 1]:
+                        if len(ids[at]) > 1 or ids[at][0] != query:
+                            out.append((i, float(scores[at]), int(cell[at])))
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int32())], ["probe", "score", "cell"])
+
+    best = Window.partitionBy("probe").orderBy(F.desc("score"), "cell")
+    near = placed.mapInArrow(compare, "probe int, score double, cell int").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    total, needed = int(sizes.sum()), []
+    walks: dict[int, dict[int, int]] = {}
+    for row in near.select("probe", "cell").collect():  # at most k rows per probe
+        if row["probe"] not in walks:
+            order = books.walk(points[row["probe"]], sizes, total)
+            walks[row["probe"]] = dict(zip(order, np.cumsum(sizes[order]).tolist()))
+        needed.append(walks[row["probe"]][row["cell"]])
+    if not needed:
+        return 1.0
+    return sorted(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] / total
+
+
 def exact(vectors: pd.DataFrame, queries: np.ndarray, k: int = 20) -> dict[int, list[int]]:
     """Neighbours by comparing with every row, for measuring recall on a few queries."""
     matrix, ids = np.stack(vectors["embedding"].to_numpy()).astype(float), vectors["vec_id"].to_numpy()

@@ -68,3 +68,38 @@ def test_given_pages(spark):
         inside = re.search(r"<article>(.*)</article>", sources[row["page_id"]], re.S)[1]
         parts = (" ".join(unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inside))
         assert row["text"] == "\n\n".join(p for p in parts if p) and row["n_chars"] == len(row["text"])
+
+
+def test_letters_that_change_length_in_lower_case():
+    page = "<article><p>" + "\u0130stanbul " * 60 + "</p><script>var a = 1</ſcript> 2</SCRIPT><p>After the script.</p></article>"
+    found = ht.main_text(page, TREE).split("\n\n")
+    assert found[1:] == ["After the script."] and found[0].count("\u0130") == 60
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        page = "<article>" + "<p>some words here<button>\u0130" * n
+        began = time.perf_counter()
+        ht.main_text(page, TREE)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_misleading_names_do_not_lose_the_article():
+    body = "<p>" + "a sentence of the story with quite a few words in it " * 6 + "</p>"
+    for name in ("promo story", "widget", "search", "form-guide", "legal", "social", "share-prices", "notice", "banner"):
+        page = f"<nav><a href=/>Home</a></nav><div class='{name}'>{body}{body}</div><footer>all rights</footer>"
+        assert ht.main_text(page, TREE).count("sentence") == 12, name
+    notice = "<div class='notice'>Please note our terms</div><div class=share><a href=/x>Share this</a></div>"
+    assert ht.main_text(f"<article>{body}</article>{notice}", TREE).count("\n\n") == 0
+
+
+def test_pages_without_telling_names():
+    links = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(8))
+    paragraphs = "".join(f"<div class=x{i}>" + "plain words of a paragraph " * n + "</div>" for i, n in enumerate((12, 20, 9)))
+    page = f"<table><tr><td><ul>{links}</ul></td><td>{paragraphs}</td></tr></table><div><a href=/>Back</a> | <a href=/s>Map</a></div>"
+    found = ht.main_text(page, TREE).split("\n\n")
+    assert [len(b.split()) for b in found] == [60, 100, 45]
