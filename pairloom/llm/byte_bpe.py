@@ -265,7 +265,7 @@ class _Grown:
         self.size = end
 
 
-def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers ``first, first + 1, ...``, ``count`` of them, for each pair, end to end."""
     ends = np.cumsum(count)
     return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -288,6 +288,9 @@ class PieceCache(dict):
         # The tokens' bytes end to end, for decoding by gathering.
         self.token_bytes = np.frombuffer(b"".join(by_rank) or b"\0", np.uint8)
         self.token_start = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.begin()
+
+    def begin(self) -> None:
         self._begin()
         self.elder = ({}, self.ids, self.first, self.count)
 
@@ -309,6 +312,10 @@ class PieceCache(dict):
             self[piece] = place
         return place
 
+    def find(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are not known, end to end, and their number for each."""
+        return self.merger.merge_all(pieces)
+
     def settle(self) -> None:
         """Find the ids of the pieces met, from the elder generation or by merging."""
         if not self.fresh:
@@ -317,13 +324,13 @@ class PieceCache(dict):
         known = np.fromiter((places.get(p, -1) for p in self.fresh), np.int64, len(self.fresh))
         old = np.flatnonzero(known >= 0)
         new = np.flatnonzero(known < 0)
-        merged, sizes = self.merger.merge_all([self.fresh[i] for i in new.tolist()])
+        merged, sizes = self.find([self.fresh[i] for i in new.tolist()])
         counts = np.zeros(len(known), np.int64)
         counts[old], counts[new] = count.held[known[old]], sizes
         begin = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
-        flat[_ranges(begin[old], counts[old])] = ids.held[_ranges(first.held[known[old]], counts[old])]
-        flat[_ranges(begin[new], counts[new])] = merged
+        flat[ranges(begin[old], counts[old])] = ids.held[ranges(first.held[known[old]], counts[old])]
+        flat[ranges(begin[new], counts[new])] = merged
         self.first.extend(begin + self.ids.size)
         self.count.extend(counts)
         self.ids.extend(flat)
@@ -331,7 +338,7 @@ class PieceCache(dict):
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids one after the other."""
-        return self.token_bytes[_ranges(self.token_start[ids], self.lengths[ids].astype(np.int64))]
+        return self.token_bytes[ranges(self.token_start[ids], self.lengths[ids].astype(np.int64))]
 
 
 def encode_texts(values: list[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,7 +364,7 @@ def encode_texts(values: list[str], cache: PieceCache) -> tuple[np.ndarray, np.n
     )
     cache.settle()
     count, first = cache.count.held[places], cache.first.held[places]
-    ids = cache.ids.held[_ranges(first, count)]
+    ids = cache.ids.held[ranges(first, count)]
     n = len(ids)
     owner = np.searchsorted(breaks, starts, side="right")  # the text of each piece
     per_text = np.bincount(owner, weights=count, minlength=len(values)).astype(np.int64)

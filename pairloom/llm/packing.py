@@ -25,12 +25,14 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.byte_bpe import PieceCache, ranges
 from pairloom.llm.common import chunks, texts
 from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
@@ -145,7 +147,84 @@ def breed(sizes: list[int], capacity: int, seed: int, start: Packing | None = No
 # ---------------------------------------------------------------- pieces
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
-_LONG = 1 << 20  # ids of a text are turned into arrays of so many at a time
+# Python counts these as white space, the tokenizer does not.
+_NO_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+WORD_END = "</w>"  # fixed value: how the vocabulary marks the last token of a word
+BLOCK_WORDS = 4_000
+
+
+def _plain(word: str) -> int:
+    """Words that the tokenizer takes a plain word for: Latin-1 letters are one, with a mark behind them two; else 0."""
+    body = word[:-1] if word and word[-1] in ".,;:!?" else word
+    return 1 + (len(body) < len(word)) if body.isalpha() and max(body) <= "\xff" else 0
+
+
+class WordIds(PieceCache):
+    """Ids of white-space separated words, as the tokenizer gives them; each different word is tokenized once.
+
+    For tokenizers that drop white space and never join what it parts. Two generations bound it.
+    """
+
+    def __init__(self, tokenizer):
+        dict.__init__(self)
+        self.tokenizer = tokenizer
+        names = {i: name for name, i in tokenizer.get_vocab().items()}
+        self.ends_word = np.array([names.get(i, "").endswith(WORD_END) for i in range(max(names) + 1)])
+        self.begin()
+
+    def find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Plain words are tokenized a block at a time as one text; the ids that end a word tell them apart.
+        parts = [_plain(w) for w in pieces]
+        plain, found = [i for i, n in enumerate(parts) if n], {}
+        for begin in range(0, len(plain), BLOCK_WORDS):
+            block = plain[begin : begin + BLOCK_WORDS]
+            ids = np.array(self._encode([" ".join(pieces[i] for i in block)])[0], np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            last = np.cumsum([parts[i] for i in block])
+            if len(ends) == last[-1]:
+                cuts = ends[last - 1].tolist()
+                found.update((i, ids[a:b]) for i, a, b in zip(block, [0, *cuts], cuts))
+        rest = [i for i in range(len(pieces)) if i not in found]
+        found.update(zip(rest, self._encode([pieces[i] for i in rest])))
+        every = [found[i] for i in range(len(pieces))]
+        return np.concatenate([np.asarray(x, np.int64) for x in every]), np.fromiter(map(len, every), np.int64, len(every))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_texts(self, values: list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        self.turn()
+        words = [[v] if any(c in v for c in _NO_BLANKS) else v.split() for v in values]
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        self.settle()
+        count = self.count.held[places]
+        ids = self.ids.held[ranges(self.first.held[places], count)]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum([len(w) for w in words])]
+        return np.split(np.insert(ids, ends, end_id).astype("<u4"), ends[:-1] + np.arange(1, len(values)))
+
+
+_kept: dict[int, WordIds] = {}
+
+
+def _worker_ids(definition: str) -> WordIds:
+    """The worker's words of this tokenizer; those of another are let go."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    mark = hash(definition)
+    if mark not in _kept:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        tokenizer = Tokenizer.from_str(definition)
+        tokenizer.encode_special_tokens = True
+        _kept.clear()
+        _kept[mark] = WordIds(tokenizer)
+    return _kept[mark]
 
 
 def pieces(
@@ -155,7 +234,8 @@ def pieces(
     ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers) and, if asked for, ``ids``.
 
     Strings of special tokens in a text are ordinary text. A null text is an empty one and has one
-    piece, the end id. The tokenizer's file is read on the driver and sent to the workers.
+    piece, the end id. The tokenizer's file is read on the driver and sent to the workers. It must be one
+    that drops white space and never joins what it parts: each different word is tokenized once by a worker.
     """
     ship_package(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -165,19 +245,11 @@ def pieces(
     kind = rows.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
+        known = _worker_ids(shared.value)
         for batch in batches:
             for part, values in chunks(batch, "text"):
-                encoded = tokenizer.encode_batch_fast(values, add_special_tokens=False)
                 owner, number, start, length, crc, ids = [], [], [], [], [], []
-                for row, one in enumerate(encoded):
-                    data = np.array([*one.ids, end_id], "<u4")
+                for row, data in enumerate(known.of_texts(values, end_id)):
                     for k, begin in enumerate(range(0, len(data), capacity)):
                         cut = data[begin : begin + capacity]
                         owner.append(row)

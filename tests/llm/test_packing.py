@@ -88,3 +88,16 @@ def test_ids_and_columns_come_along(spark):
     found = {r["doc_id"]: r for r in pk.pack(pk.pieces(docs, PATH, with_ids=True)).collect()}
     assert found[2]["ids"] == [0] and found[1]["ids"][-1] == 0 and len(found[1]["ids"]) == found[1]["length"]
     assert found[1]["other"] == "x" and found[1]["sequence_id"] == found[2]["sequence_id"]
+
+
+def test_words_one_by_one_are_the_whole_text(monkeypatch):
+    """Whatever white space parts words, and in every generation of the cache, ids are the tokenizer's own."""
+    monkeypatch.setattr(pk.WordIds, "MOST_PIECES", 40)
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    dice, known = random.Random(8), pk.WordIds(tokenizer)
+    alphabet = [*"aAbBzé'sdtI1٣,.!-_Σς日😀\u0301\u0130ﬁ", " ", "\n", "\t", "\u00a0", "\u2003", "\u0085", "\x1c", "\x1f", "\u200b", "'ll", "<|endoftext|>", "  "]
+    for _ in range(40):
+        texts = ["".join(dice.choice(alphabet) for _ in range(dice.randrange(60))) for _ in range(25)] + ["", " ", "w" * 700]
+        for text, ids in zip(texts, known.of_texts(texts, 0)):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
