@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ from pairloom.session import ship_package
 LEAST_DOCS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 BLOCK = 1 << 12  # terms of a tree; a power of two
 CHUNK = 48  # sources of one side of a cell, about
+KEPT_BYTES = 32 << 20  # kept terms are sent to the workers up to this size, as measured; beyond it, all terms are counted and joined
 HELD = 200_000  # distinct terms that a task combines before it sends them on
 SLICE = 1 << 22  # bytes of a long text that are cut into terms at a time
 BROADCAST_GROUPS = 100_000  # languages or groups of a list that is broadcast
@@ -61,33 +63,69 @@ def terms_of(data: bytes) -> Iterator[list[bytes]]:
     yield data[begin:].translate(_FOLD).split()
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term in each group, combined over a task's share."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    made = [pa.array(c, pa.binary()).cast(pa.string()) if name == "term" else pa.array(c, kind) for c, (name, kind) in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(made, [name for name, _ in schema])
+
+
+def _count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each term in each language, combined over a task's share."""
+    held: dict[str, Counter] = {}
+    schema = [("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64())]
 
     def emit() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (seen, docs) in held.items() for term, n in seen.items()]
+        rows = [(lang, term, n) for lang, docs in held.items() for term, n in docs.items()]
         held.clear()
-        lang, source, term, n, docs = zip(*rows) if rows else ((),) * 5
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()),
-             pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
+        return _rows(schema, rows)
 
     for batch in batches:
-        for lang, source, data in zip(*(batch.column(c) for c in ("lang", "source", "data"))):
-            seen, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+        for lang, data in zip(batch.column("lang").to_pylist(), batch.column("data")):
             own: set[bytes] = set()
             for words in terms_of(data.as_py()):
-                seen.update(words)
                 own.update(words)
-            docs.update(own)
-        if sum(len(seen) for seen, _ in held.values()) > HELD:
+            held.setdefault(lang, Counter()).update(own)
+        if sum(map(len, held.values())) > HELD:
             yield emit()
     yield emit()
 
 
+def _count_terms(kept: Broadcast | None):
+    """Occurrences of each kept term (without a list, of each term) in each group, combined over a task's share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], Counter] = {}
+        schema = [("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())]
+
+        def emit() -> pa.RecordBatch:
+            rows = [(lang, source, term, n) for (lang, source), seen in held.items() for term, n in seen.items()]
+            held.clear()
+            return _rows(schema, rows)
+
+        for batch in batches:
+            for lang, source, data in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("data")):
+                seen = held.setdefault((lang, source), Counter())
+                wanted = None if kept is None else kept.value.get(lang, frozenset())
+                for words in terms_of(data.as_py()):
+                    seen.update(words if wanted is None else filter(wanted.__contains__, words))
+            if sum(map(len, held.values())) > HELD:
+                yield emit()
+        yield emit()
+
+    return run
+
+
+def _listed(kept: DataFrame) -> Broadcast | None:
+    """The kept terms by language for the workers, if they are as few as measured here; else nothing."""
+    size = kept.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
+    if size > KEPT_BYTES:
+        return None
+    held: dict[str, set[bytes]] = {}
+    for row in kept.select("lang", "term").toLocalIterator():
+        held.setdefault(row["lang"], set()).add(row["term"].encode())
+    return kept.sparkSession.sparkContext.broadcast({lang: frozenset(terms) for lang, terms in held.items()})
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcasting if it is as short as a list of groups usually is."""
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
@@ -206,18 +244,25 @@ def audit(
     ship_package(spark)
     name = lambda column: F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
     rows = docs.select(name(lang).alias("lang"), name(source).alias("source"), name(text).cast("binary").alias("data"))
-    counted = texts(rows, "lang", "source", "data").mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
-    counts = write_scratch(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+    given = texts(rows, "lang", "source", "data")
+    docs_of = given.select("lang", "data").mapInArrow(_count_docs, "lang string, term string, docs long")
+    kept = docs_of.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+    kept = write_scratch(kept.select("lang", "term"), "kept")
+    # Texts are read twice, so that rare terms, which are most, are counted by language only.
+    listed = _listed(kept)
+    counted = given.mapInArrow(_count_terms(listed), "lang string, source string, term string, n long")
+    counts = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    counts = write_scratch(counts if listed is not None else counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "counts")
+    totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"))
     # Languages come one after the other, so a term's number in its language is its row less the language's first.
-    numbered = index_rows(kept.drop("docs"), "lang", F.col("total").desc(), "term", unique=["lang", "term"]).table()
+    numbered = index_rows(totals, "lang", F.col("total").desc(), "term", unique=["lang", "term"]).table()
     langs = write_scratch(
         numbered.groupBy("lang").agg(F.count("*").alias("terms"), F.min("row_idx").alias("begin"), F.sum("total").alias("lang_total")), "langs"
     )
     here = counts.select("lang", "source", "term", "n").join(numbered, ["lang", "term"]).join(_small(langs.select("lang", "begin")), "lang")
     here = write_scratch(here.select("lang", "source", "term", "n", "total", (F.col("row_idx") - F.col("begin")).alias("id")), "kept-counts")
-    totals = here.groupBy("lang", "source").agg(F.sum("n").alias("group_total"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["group_total"])
+    group_totals = here.groupBy("lang", "source").agg(F.sum("n").alias("group_total"))
+    groups = rows.select("lang", "source").distinct().join(group_totals, ["lang", "source"], "left").fillna(0, ["group_total"])
     groups = write_scratch(groups.join(_small(langs), "lang", "left").fillna(0, ["terms", "lang_total"]).drop("begin"), "groups")
     pairs = _pairs(here, groups, smoothing, scale)
     ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")

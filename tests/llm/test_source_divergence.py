@@ -57,9 +57,9 @@ def test_values_are_exact_for_large_counts(spark):
     assert [int(sd._values(np.array([n]), t, v, 5, 10**9)[0]) for n, t, v in numbers] == found
 
 
-@pytest.mark.parametrize("block,chunk,held,slice_", [(1 << 12, 48, 200_000, 1 << 22), (8, 2, 10, 64)])
-def test_audit(spark, monkeypatch, block, chunk, held, slice_):
-    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("HELD", held), ("SLICE", slice_)):
+@pytest.mark.parametrize("block,chunk,held,slice_,kept", [(1 << 12, 48, 200_000, 1 << 22, 32 << 20), (8, 2, 10, 64, 0)])
+def test_audit(spark, monkeypatch, block, chunk, held, slice_, kept):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("HELD", held), ("SLICE", slice_), ("KEPT_BYTES", kept)):
         monkeypatch.setattr(sd, name, value)
     dice = random.Random(7)
     words = ["".join(dice.choice("abcdé日Zz") for _ in range(dice.randrange(1, 5))) for _ in range(60)]
