@@ -103,3 +103,17 @@ def test_prefixes(spark):
     df = spark.createDataFrame([(1, [10, 5, 6]), (2, [])], "id int, ids array<int>")
     rows = tokens.unroll_prefixes(df, "id", "ids").sort("n").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 10), (1, 2, 5), (1, 3, 6)]
+
+
+def test_joined_lookup_leaves_other_columns(spark, vocabulary, monkeypatch):
+    """Token strings are neither shuffled with the ids nor needed for them, and both columns share one lookup."""
+    monkeypatch.setattr(tokens, "HEAD_TOKENS", 4)
+    df = spark.createDataFrame([(1, ["a", "c", None, "a"], ["zzz"]), (2, None, ["Ü", "b", "Ü"]), (2, [], None)], "id int, s array<string>, t array<string>")
+    encoded = tokens.encode_sides(df, {"s": "x", "t": "y"}, vocabulary, shared=False)
+    assert encoded.columns == ["id", "s", "t", "x", "y"]
+    assert sorted((r["x"] or [], r["y"] or []) for r in encoded.collect()) == [([], []), ([], [6, 3, 6]), ([4, 5, 2, 4], [2])]
+    back = tokens.decode_sides(encoded, {"x": "u", "y": "v"}, vocabulary, shared=False)
+    assert sorted((r["u"] or [], r["v"] or []) for r in back.collect()) == [([], []), ([], ["Ü", "b", "Ü"]), (["a", "c", "<unk>", "a"], ["<unk>"])]
+    plan = encoded.select("id", "x")._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[: plan.index("Generate")]  # the rows, before the tokens that are looked up
+    assert "Relation" in left and not any(f" {c}#" in line or f"[{c}#" in line for c in ("s", "t") for line in left.splitlines() if "Project" in line)
