@@ -135,3 +135,13 @@ def test_gather_and_first(spark):
     assert {r["k"]: r["v"] for r in batching.gather_positions(df, "k", "pos", "v").collect()} == {1: ["a", "b", "c"], 2: ["z"]}
     first = batching.first_per_group(df, "k", F.col("pos"), "pos", "v").collect()
     assert {r["k"]: (r["pos"], r["v"]) for r in first} == {1: (0, "a"), 2: (5, "z")}
+
+
+def test_gathered_positions_with_gaps(spark):
+    """Nulls keep their places, and what is shuffled is lists of positions and of values, not of pairs."""
+    rows = [(1, 2, "c"), (1, 0, "a"), (1, 1, None), (2, None, "x"), (2, None, None), (3, 5, None), (None, 1, "z"), (1, 1, "b")]
+    df = spark.createDataFrame(rows, "k int, pos int, v string").repartition(3)
+    gathered = batching.gather_positions(df, "k", "pos", "v")
+    assert {r["k"]: r["v"] for r in gathered.collect()} == {1: ["a", None, "b", "c"], 2: [], 3: [None], None: ["z"]}
+    plan = gathered._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(" in plan and "collect_list(struct" not in plan and "THEN struct(" not in plan and "THEN named_struct(" not in plan
