@@ -20,7 +20,9 @@ An island whose packing has as few bins as its tokens need is done; breeding end
 
 from __future__ import annotations
 
+import json
 import random
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -151,6 +153,20 @@ _PIECE = "piece int, start long, length long, ids_crc32 long"
 _NO_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+# The normalizer and the pattern of tokenizers for which ``parted`` holds.
+LOWER_CASE = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts_like_this(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and cuts where ``parted`` does."""
+    made = json.loads(tokenizer.to_str())
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    split = first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return steps == LOWER_CASE and split and all(t["special"] for t in made["added_tokens"])
+
+
 WORD_END = "</w>"  # fixed value: how the vocabulary marks the last token of a word
 BLOCK_WORDS = 4_000
 
@@ -161,6 +177,48 @@ def _plain(word: str) -> int:
     return 1 + (len(body) < len(word)) if body.isalpha() and max(body) <= "\xff" else 0
 
 
+def _latin_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and class of the Latin-1 characters; the last entry stands for all others."""
+    chars = [chr(c) for c in range(256)]
+    lower = np.array([ord(c.lower()) for c in chars] + [0], np.uint32)
+    kinds = [_LETTER if c.isalpha() else _NUMBER if unicodedata.category(c)[0] == "N" else _BLANK if c.isspace() else _MARK for c in chars]
+    kinds[ord("'")] = _QUOTE
+    return lower, np.array([*kinds, _FOREIGN], np.uint8)
+
+
+_LETTER, _NUMBER, _MARK, _QUOTE, _BLANK, _FOREIGN = range(6)
+_LOWER, _KIND = _latin_tables()
+# Classes side by side that no piece of the pattern holds; a quote may begin a contraction, but never follows a letter in one.
+_PARTED = np.zeros((6, 6), bool)
+_PARTED[_LETTER, [_NUMBER, _MARK, _QUOTE]] = True
+_PARTED[_NUMBER, [_LETTER, _NUMBER, _MARK, _QUOTE]] = True
+_PARTED[_MARK, [_LETTER, _NUMBER]] = True
+_PARTED[_QUOTE, _NUMBER] = True
+
+
+def parted(values: list[str]) -> list[str]:
+    """The texts with Latin-1 letters in lower case and a blank wherever the pattern parts two Latin-1
+    characters in any text, so that a word is the same with and without marks around it.
+
+    Next to other characters nothing changes: what the tokenizer makes of them, the library decides.
+    """
+    lengths = np.fromiter(map(len, values), np.int64, len(values))
+    codes = np.frombuffer("\n".join(values).encode("utf-32-le"), np.uint32)
+    if not len(codes):
+        return values
+    latin = np.minimum(codes, 256)
+    kinds = _KIND[latin]
+    keep = latin == 256
+    keep[:-1] |= keep[1:]  # a combining mark may follow
+    codes = np.where(keep, codes, _LOWER[latin])
+    cuts = np.flatnonzero(_PARTED.ravel()[kinds[:-1] * 6 + kinds[1:]]) + 1
+    joined = np.insert(codes, cuts, 0x20).tobytes().decode("utf-32-le")
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    end = begin + lengths
+    begin, end = begin + np.searchsorted(cuts, begin, "right"), end + np.searchsorted(cuts, end)
+    return [joined[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+
 class WordIds(PieceCache):
     """Ids of white-space separated words, as the tokenizer gives them; each different word is tokenized once.
 
@@ -172,6 +230,8 @@ class WordIds(PieceCache):
         self.tokenizer = tokenizer
         names = {i: name for name, i in tokenizer.get_vocab().items()}
         self.ends_word = np.array([names.get(i, "").endswith(WORD_END) for i in range(max(names) + 1)])
+        # Another tokenizer may tell upper case, or join marks to words: its words stay as they are.
+        self.cut = parted if _parts_like_this(tokenizer) else list
         self.begin()
 
     def find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +259,8 @@ class WordIds(PieceCache):
     def of_texts(self, values: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         self.turn()
-        words = [[v] if any(c in v for c in _NO_BLANKS) else v.split() for v in values]
+        odd = [any(c in v for c in _NO_BLANKS) for v in values]
+        words = [[v] if whole else cut.split() for v, whole, cut in zip(values, odd, self.cut(values))]
         places = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         self.settle()
         count = self.count.held[places]

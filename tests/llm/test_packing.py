@@ -101,3 +101,17 @@ def test_words_one_by_one_are_the_whole_text(monkeypatch):
         texts = ["".join(dice.choice(alphabet) for _ in range(dice.randrange(60))) for _ in range(25)] + ["", " ", "w" * 700]
         for text, ids in zip(texts, known.of_texts(texts, 0)):
             assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_a_word_is_kept_once_whatever_marks_it_has():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    known = pk.WordIds(tokenizer)
+    known.of_texts(['Große große, (GROSSE) "grosse" große... grosse;'], 0)
+    assert sorted(w for w in known if w[0].isalpha()) == ["grosse", "große"]
+    dice = random.Random(7)
+    alphabet = list("abS'tRElv  ,.!?(1²ªßÀ×\t\xa0\x85\xad<|>") + ["'s", "'LL", "\u0301", "\u0338", "=", "İ", "Σ", "“", "’", "日", "\U0001f600", "\x1c"]
+    values = ["", *("".join(dice.choice(alphabet) for _ in range(dice.randrange(40))) for _ in range(2_000)), ""]
+    values += [f"x{chr(a)}{chr(b)}s" for a in range(256) for b in (*range(0x20, 0x80), 0xA0, 0xB2, 0xC0, 0xDF)]
+    expected = [[*e.ids, 0] for e in tokenizer.encode_batch(values, add_special_tokens=False)]
+    assert [ids.tolist() for ids in pk.WordIds(tokenizer).of_texts(values, 0)] == expected
