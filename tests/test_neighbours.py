@@ -195,3 +195,45 @@ def test_added_vectors_go_on_from_the_highest_id(spark):
 def test_search_first_finds_itself(spark):
     found = hits(retrieve.search_first(frame(spark, np.random.default_rng(7).normal(size=(20, 4))), 3))
     assert sorted(found) == [0, 1, 2] and all(h[0] == (q, 0.0) for q, h in found.items())
+
+
+def test_a_query_meets_near_regions_only(spark):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(4000, 2)).astype(np.float32)
+    groups = np.where(np.arange(4000) < 3900, 1, 2)  # the second one fits a block
+    df = frame(spark, matrix, groups).withColumnRenamed("grp_id", "grp")
+    asked = df.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    candidates = neighbours._many(df, asked, 3, 100, 8)
+    # All blocks of a group gave three rows each for every query: 39 * 3 of them.
+    assert candidates.count() < 200 * 3 * 5
+    found = neighbours.search(df, asked, 3, group="grp", broadcast_queries=0, block_rows=100)
+    near = brute(matrix, matrix[::20], 3, groups, groups[::20])
+    assert hits(found) == {q * 20: got for q, got in near.items()}
+
+
+def test_masses_of_copies_in_a_crowded_group(spark):
+    rng = np.random.default_rng(9)
+    matrix = rng.integers(0, 2, (600, 2)) * [1, 3]  # four points
+    matrix = np.concatenate([matrix, rng.normal(size=(50, 2)), [[np.nan, 0.0]]])
+    df = frame(spark, matrix)
+    asked = df.filter("vec_id % 10 = 0 AND vec_id < 650").withColumnRenamed("vec_id", "query_id")
+    found = neighbours.search(df, asked, 4, broadcast_queries=0, block_rows=40)
+    near = brute(matrix[:650], matrix[:650:10], 4)
+    assert hits(found) == {q * 10: got for q, got in near.items()}
+
+
+def test_no_vector_within_reach_is_in_a_region_left_out():
+    rng = np.random.default_rng(10)
+    for matrix in (rng.normal(size=(500, 3)), rng.integers(0, 3, (500, 3)).astype(float), np.ones((500, 3))):
+        groups = rng.integers(0, 3, 500)
+        regions = neighbours._Regions(groups, matrix, 20)
+        leaves = regions.leaf(groups, matrix)
+        queries, q_groups, reach = rng.normal(size=(80, 3)), rng.integers(0, 3, 80), rng.random(80)
+        rows, near = regions.near(q_groups, queries, reach)
+        met = set(zip(rows.tolist(), near.tolist()))
+        assert len(met) == len(rows) and (np.diff(rows) >= 0).all()
+        gap = ((queries[:, None] - matrix[None]) ** 2).sum(axis=2)
+        for q, v in zip(*np.nonzero((gap <= reach[:, None]) & (q_groups[:, None] == groups[None]))):
+            assert (q, leaves[v]) in met
+        for leaf in np.flatnonzero(regions.stuck):
+            assert len(np.unique(matrix[leaves == leaf], axis=0)) == 1
