@@ -28,6 +28,7 @@ from pairloom.session import ship_package
 
 BITS = 64
 SEED = 42
+TWICE = 1 << 20  # left-out rows or fingerprints that are broadcast, at 16 bytes each
 
 
 def shingle_hashes(text: str, width: int) -> bytes:
@@ -123,7 +124,8 @@ def links(nodes: DataFrame, distance: int, hot: int = 512) -> DataFrame:
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     # Equal values meet twice, once from either side.
     once = (F.col("own") != F.col("value")) | (F.col("a") < F.col("b"))
-    pairs = stored.join(asked, ["segment", "value"]).filter(close & once).select("a", "b")
+    # Spark sizes exploded rows as if each came once, so neither of these tables may be broadcast by that size.
+    pairs = stored.join(asked.hint("merge"), ["segment", "value"]).filter(close & once).select("a", "b")
     if plain:
         return pairs
     flips = [0]
@@ -134,7 +136,9 @@ def links(nodes: DataFrame, distance: int, hot: int = 512) -> DataFrame:
     near = dense.select("a", F.explode(F.lit(np.array(flips, np.int64))).alias("flip")).select(
         "a", F.col("a").bitwiseXOR(F.col("flip")).alias("b")
     )
-    return pairs.union(near.join(nodes.select(F.col("fp").alias("b")), "b").select("a", "b"))
+    known = nodes.select(F.col("fp").alias("b"))
+    near, known = (near, F.broadcast(known)) if known.count() <= TWICE else (near.hint("merge"), known)
+    return pairs.union(near.join(known, "b").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
@@ -164,9 +168,6 @@ def component_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-TWICE = 1 << 20  # left-out rows that are broadcast to the texts, at 16 bytes each
-
-
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row of smallest key, once; all columns stay.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import simhash_dedup as sim
 from pairloom.llm.components import components
+from pairloom.scratch import write_scratch
 
 
 def brute_print(text: str | None, width: int = 3) -> int:
@@ -72,6 +73,28 @@ def test_links_are_all_close_pairs(spark, drifting, distance, hot):
     assert found == wanted and len(wanted) > 150
 
 
+def _broadcast(node):
+    """Names of the nodes below each broadcast of an executed plan."""
+    names = lambda x: [x.nodeName(), *(n for c in _children(x) for n in names(c))]
+    return ([names(node)] if node.nodeName() == "BroadcastExchange" else []) + [b for c in _children(node) for b in _broadcast(c)]
+
+
+def _children(node):
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return [node.executedPlan()]
+    return [node.children().apply(i) for i in range(node.children().size())]
+
+
+@pytest.mark.parametrize("hot,most", [(512, 1 << 20), (20, 1 << 20), (20, 10)])
+def test_exploded_fingerprints_are_not_broadcast(spark, drifting, monkeypatch, hot, most):
+    monkeypatch.setattr(sim, "TWICE", most)
+    nodes = write_scratch(spark.createDataFrame([(signed(x),) for x in drifting], "fp long"), "nodes")  # a scan has a size
+    sent = _broadcast(sim.links(nodes, 2, hot)._jdf.queryExecution().executedPlan())
+    assert not any("Generate" in names for names in sent)
+    found = {tuple(sorted(r)) for r in sim.links(nodes, 2, hot).collect()}
+    assert found == {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(drifting) for b in drifting[:i] if (a ^ b).bit_count() <= 2}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (2000, 1999), (1999, 2000)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
