@@ -377,12 +377,13 @@ def _split(segments: DataFrame, length: int) -> DataFrame:
 
 def _meet(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """Rows with their group. Groups of more than ``CROWDED`` rows, which are few, are broadcast, so that
-    these rows stay where they are."""
+    these rows stay where they are. Equal texts are small on disk, so Spark's size of these tables says nothing
+    about their size in memory: nothing else is broadcast."""
     crowded = groups.filter(F.col("n") > CROWDED)
     few = crowded.count()
     if few == 0 or few > BROADCAST_KEYS:
-        return rows.join(groups, on)
-    return rows.join(F.broadcast(crowded), on).unionByName(rows.join(groups.filter(F.col("n") <= CROWDED), on))
+        return rows.join(groups.hint("merge"), on)
+    return rows.join(F.broadcast(crowded), on).unionByName(rows.join(groups.filter(F.col("n") <= CROWDED).hint("merge"), on))
 
 
 def split_crowded(segments: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -398,7 +399,7 @@ def split_crowded(segments: DataFrame, length: int) -> tuple[list[DataFrame], li
         core = F.substring("content", F.col("top") - F.col("low") + 1, F.lit(length) - (F.col("high") - F.col("low")))
         held = firsts.select(*same, "first.*", core.alias("core"))
         cores = write_scratch(held.groupBy("low", "high", "core").agg(F.count("*").alias("n")).filter("n > 1"), "cores")
-        calm = held.join(cores.filter(F.col("n") <= CROWDED), ["low", "high", "core"])
+        calm = held.join(cores.filter(F.col("n") <= CROWDED).hint("merge"), ["low", "high", "core"])
         contexts.append(calm.select(F.xxhash64("low", "high", "core").alias("gram"), "doc", "tie", "begin", F.col("content").alias("context")))
         crowded = cores.filter(F.col("n") > CROWDED)
         if crowded.isEmpty():

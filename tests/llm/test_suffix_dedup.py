@@ -7,7 +7,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import suffix_dedup as sd
+from pairloom.scratch import write_scratch
 
 
 def brute_windows(contexts, length):
@@ -135,3 +138,12 @@ def test_segments_of_a_crowded_passage_are_few(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in found} == brute_documents(rows, 100)
     contexts = 60 * 6  # at most so many anchors whose windows reach over an end
     assert len(written["segments"]) >= 3 and max(written["segments"]) <= 2 * sd.PARTS * contexts
+
+
+def test_equal_segments_are_not_broadcast_by_their_size_on_disk(spark):
+    """Equal texts take little space on disk, and all of it in a broadcast."""
+    rows = write_scratch(spark.range(0, 3000).selectExpr("id doc", "id % 300 AS low", "repeat('x', 500) AS content"), "rows")
+    groups = write_scratch(rows.groupBy("low", "content").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups")
+    met = sd._meet(rows, groups, ["low", "content"])
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 3000 and met.filter("n <> 10 OR first <> low").count() == 0
