@@ -237,3 +237,22 @@ def test_no_vector_within_reach_is_in_a_region_left_out():
             assert (q, leaves[v]) in met
         for leaf in np.flatnonzero(regions.stuck):
             assert len(np.unique(matrix[leaves == leaf], axis=0)) == 1
+
+
+@pytest.mark.parametrize("name", ["knn_grouped"])
+def test_grouped_searches_ask_with_every_vector(spark, tmp_path, name):
+    from pairloom.registry import QUERIES
+
+    dice = np.random.default_rng(4)
+    matrix = dice.normal(size=(70, 64)).astype(np.float32)
+    rows = [(i + 1, matrix[i].tolist(), i % 3) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {}
+    for r in QUERIES[name](spark, str(tmp_path)).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(found) == [v for v, _, _ in rows]
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    for i in range(70):
+        own = [j for j in range(70) if j % 3 == i % 3]
+        nearest = sorted(own, key=lambda j: (((unit[i] - unit[j]) ** 2).sum(), j))[:3]
+        assert found[i + 1] == {n: j + 1 for n, j in enumerate(nearest, 1)}
