@@ -239,7 +239,7 @@ def test_no_vector_within_reach_is_in_a_region_left_out():
             assert len(np.unique(matrix[leaves == leaf], axis=0)) == 1
 
 
-@pytest.mark.parametrize("name", ["knn_grouped", "knn_grouped_cells"])
+@pytest.mark.parametrize("name", ["knn_grouped", "knn_grouped_cells", "knn_stored"])
 def test_grouped_searches_ask_with_every_vector(spark, tmp_path, name):
     from pairloom.registry import QUERIES
 
