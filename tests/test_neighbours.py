@@ -256,3 +256,14 @@ def test_grouped_searches_ask_with_every_vector(spark, tmp_path, name):
         own = [j for j in range(70) if j % 3 == i % 3]
         nearest = sorted(own, key=lambda j: (((unit[i] - unit[j]) ** 2).sum(), j))[:3]
         assert found[i + 1] == {n: j + 1 for n, j in enumerate(nearest, 1)}
+
+
+def test_datastore_lookup_asks_with_every_entry(spark, tmp_path):
+    from pairloom.registry import QUERIES
+
+    turns = [(c, t, ("user", "assistant")[t % 2], f"one two three word{c % 4} and then some more") for c in range(12) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = QUERIES["datastore_lookup"](spark, str(tmp_path))
+    entries = QUERIES["datastore_build"](spark, str(tmp_path)).count()
+    first = [(r["query_id"], r["distance"]) for r in found.filter("rank = 1").collect()]
+    assert entries > 50 and sorted(first) == [(i, 0.0) for i in range(entries)]
