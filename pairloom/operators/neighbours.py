@@ -346,9 +346,10 @@ def _plan_groups(
         .withColumn("is_large", F.greatest("n_v", "n_q") > block_rows)
     )
     sizes = write_scratch(sizes, "group-sizes")
-    n_large, n_asked, v_rows, q_rows = sizes.agg(
+    n_large, n_asked, n_idle, v_rows, q_rows = sizes.agg(
         F.count_if("is_large"),
         F.count_if(F.col("n_q") > 0),
+        F.count_if(F.col("n_q") == 0),
         F.sum(F.when(~F.col("is_large"), F.col("n_v"))),
         F.sum(F.when(~F.col("is_large"), F.col("n_q"))),
     ).first()
@@ -362,7 +363,7 @@ def _plan_groups(
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     if salts == 1:
         large = F.broadcast(large)
-    if n_asked <= BROADCAST_GROUPS:
+    if n_idle and n_asked <= BROADCAST_GROUPS:
         asked = sizes.filter(F.col("n_q") > 0).select("grp")
         vectors = vectors.join(F.broadcast(asked), "grp", "left_semi")
     return vectors, large, salts, max(v_rows or 0, q_rows or 0)
