@@ -145,3 +145,25 @@ def test_gathered_positions_with_gaps(spark):
     assert {r["k"]: r["v"] for r in gathered.collect()} == {1: ["a", None, "b", "c"], 2: [], 3: [None], None: ["z"]}
     plan = gathered._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(" in plan and "collect_list(struct" not in plan and "THEN struct(" not in plan and "THEN named_struct(" not in plan
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "double", "string"])
+def test_gathered_positions_of_any_type(spark, kind):
+    """Order is that of the column's type, equal positions go by value, and whole numbers are not shuffled whole."""
+    spread = {"tinyint": (-128, -1, 0, 5, 127), "string": (0, 1, 255, 256, 9), "double": (-0.5, 0.25, 300.0, -300.5)}
+    places = spread.get(kind, (-70_000, -257, -256, -1, 0, 1, 127, 128, 255, 256, 257, 65_535, 65_536))
+    rows = [(k, str(p), f"{k} {p}") for k in (1, None) for p in places] + [(1, "0", "b"), (1, "0", "a"), (1, "1", None), (1, None, "x"), (2, None, None)]
+    df = spark.createDataFrame(rows, "k int, pos string, v string").withColumn("pos", F.col("pos").cast(kind)).repartition(3)
+    expected = {}
+    for r in df.collect():
+        expected.setdefault(r["k"], []).extend([] if r["pos"] is None else [(r["pos"], r["v"] is not None, r["v"] or "")])
+    gathered = batching.gather_positions(df, "k", "pos", "v")
+    assert {r["k"]: r["v"] for r in gathered.collect()} == {k: [v if known else None for _, known, v in sorted(e)] for k, e in expected.items()}
+    plan = gathered._jdf.queryExecution().optimizedPlan().toString()
+    assert ("shiftright" in plan) == (kind not in ("double", "string"))
+
+
+def test_gathered_vectors_and_nested_positions(spark):
+    df = spark.createDataFrame([(1, (300,), [1.0]), (1, (-2,), [2.0]), (1, (299,), None)], "k int, at struct<pos:int>, v array<double>")
+    assert [r["v"] for r in batching.gather_positions(df, ["k"], "at.pos", "v").collect()] == [[[2.0], None, [1.0]]]
+    assert batching.gather_positions(df.limit(0), "k", "at.pos", "v").collect() == []
