op2_toxicity (and pipeline's toxicity stage): only near copies and frequent features are shuffled in learning

Symptom: op2_toxicity shuffled 365 MB for 0.51 GB of documents, and learning scanned all documents three times for its 40,000 texts.
Evidence: the profiler, the large input: 265 MB were the feature lists of every labelled text, shuffled so that near copies count once; in a local run on the small input those were 106 of 137 MB and the counts of all features 30 MB. The scan with its join ran for the sizes, the features and the matches.
Fix: picked texts are written once with their sample keys; only texts that share key and label send their lists, and only features that enough toxic texts have are counted in the others. The small tables are written, so Spark broadcasts them by their size or not at all.
Effect: at 0.6 GB of input CPU 378 -> 360 s, shuffle 0.27 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 2.42 -> 1.55 GB, longest task 12 -> 12 s, most memory of a task 76 -> 102 MB; at 6 GB of input CPU 1728 -> 1609 s, shuffle 0.29 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 24.20 -> 12.45 GB, longest task 30 -> 30 s, most memory of a task 76 -> 102 MB; with hot keys, at 0.6 GB of input CPU 226 -> 230 s, shuffle 0.09 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.48 GB, longest task 5 -> 6 s, most memory of a task 69 -> 101 MB.

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.llm.common import chunks, fold, texts
+from pairloom.scratch import write_scratch
 from pairloom.session import ship_package
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
@@ -150,6 +151,10 @@ class Grammar:
         return _Classes(self.insults, self.stems)
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in _TOKEN.findall(text.lower()) if w not in _BREAKS]
+
+
 def _sample_key(words: list[str]) -> int:
     """Near copies mostly share this: the least hash of three words in a row."""
     return min((hash_of(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
@@ -176,8 +181,10 @@ def _sharpest(counts: dict[str, tuple[int, int]]) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = LABELLED_ROWS) -> Grammar:
     """Learn from labelled documents: at most ``rows`` of them, picked by a hash of the key.
 
-    The picked keys are few enough to broadcast, so no text is shuffled for them but theirs. Near
-    copies count once. A word, or a stem of 4 to 6 letters, is an insult if at least 1 % of the
+    The picked keys are few enough to broadcast, so no text is shuffled. The documents are read once: the picked
+    ones are written with their sample keys. Near copies count once; only texts that share a sample key and a label
+    send their features to be compared, and only features that enough toxic texts have are counted in the
+    others. A word, or a stem of 4 to 6 letters, is an insult if at least 1 % of the
     toxic texts have it (4 at least) and it is 30 times as common in them as in the others; of a stem
     and a longer one that serves as well, the one with fewer errors stays.
     Rows without a key, text or label are left out; without toxic and other rows nothing is learned.
@@ -194,30 +201,46 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     )
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked), "key")
 
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, values in chunks(batch, "text"):
+                keys = [_sample_key(_words(value)) for value in values]
+                yield pa.RecordBatch.from_arrays([chunk.column("label"), pa.array(keys, pa.int64()), chunk.column("text")], ["label", "sample", "text"])
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, values in chunks(batch, "text"):
                 out = []
                 for value in values:
-                    words = [w for w in _TOKEN.findall(value.lower()) if w not in _BREAKS]
-                    seen = set(words)
-                    out.append((_sample_key(words), sorted(seen | {w[:n] + "*" for w in seen for n in _STEMS if len(w) > n})))
-                yield pa.RecordBatch.from_arrays(
-                    [chunk.column("label"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.string()))],
-                    ["label", "sample", "features"],
-                )
-
-    seen = labelled.mapInArrow(features, "label int, sample long, features array<string>")
-    once = seen.groupBy("label", "sample").agg(F.min("features").alias("features"))
-    sizes = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+                    seen = set(_words(value))
+                    out.append(sorted(seen | {w[:n] + "*" for w in seen for n in _STEMS if len(w) > n}))
+                yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("sample"), pa.array(out, pa.list_(pa.string()))], ["label", "sample", "features"])
+
+    picked_texts = write_scratch(labelled.mapInArrow(samples, "label int, sample long, text string"), "labelled")
+    groups = picked_texts.groupBy("label", "sample").agg(F.count("*").alias("n"))
+    sizes = {r["label"]: r["n"] for r in groups.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, others = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not others:
         return Grammar()
+    # Written, so that Spark knows its size and broadcasts it only if it is small; so are the frequent features.
+    shared = write_scratch(groups.filter("n > 1").select("label", "sample"), "shared-samples")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """A row for each feature of each text, near copies taken once."""
+        alone, copies = (
+            rows.join(shared, ["label", "sample"], how).mapInArrow(features, "label int, sample long, features array<string>")
+            for how in ("left_anti", "left_semi")
+        )
+        once = alone.unionByName(copies.groupBy("label", "sample").agg(F.min("features").alias("features")))
+        return once.select("label", F.explode("features").alias("feature"))
+
+    least = max(4, -(-toxic // 100))
+    frequent = marked(picked_texts.filter("label <> 0")).groupBy("feature").agg(F.sum("label").alias("toxic")).filter(F.col("toxic") >= least)
     told = (
-        once.select("label", F.explode("features").alias("feature"))
+        marked(picked_texts)
+        .join(write_scratch(frequent.select("feature"), "frequent-features"), "feature")
         .groupBy("feature")
         .agg(F.sum("label").alias("toxic"), F.count_if(F.col("label") == 0).alias("others"))
-        .filter(F.col("toxic") >= max(4, -(-toxic // 100)))
         .filter((F.col("toxic") + 0.5) * others >= 30.0 * toxic * (F.col("others") + 0.5))
         .collect()  # at most 100 per word of a text, since each is in a hundredth of the texts
     )
@@ -231,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int64()))], ["label", "kinds"])
 
     # One row of 16 counts for each of the picked texts.
-    table = labelled.mapInArrow(matches, "label int, kinds array<long>").groupBy("label", "kinds").count().orderBy("label", "kinds").collect()
+    table = picked_texts.select("label", "text").mapInArrow(matches, "label int, kinds array<long>").groupBy("label", "kinds").count().orderBy("label", "kinds").collect()
     x = np.log1p(np.array([r["kinds"] for r in table], float))
     y = np.array([r["label"] for r in table], float)
     grammar.weights, grammar.bias = fit(x, y, np.array([r["count"] for r in table], float))
