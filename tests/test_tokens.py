@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from pairloom import registry
 from pairloom.operators import tokens
 
 
@@ -117,3 +121,18 @@ def test_joined_lookup_leaves_other_columns(spark, vocabulary, monkeypatch):
     plan = encoded.select("id", "x")._jdf.queryExecution().optimizedPlan().toString()
     left = plan[: plan.index("Generate")]  # the rows, before the tokens that are looked up
     assert "Relation" in left and not any(f" {c}#" in line or f"[{c}#" in line for c in ("s", "t") for line in left.splitlines() if "Project" in line)
+
+
+def test_shifted_pairs_are_counted_as_one_column(spark, tmp_path):
+    """Odd texts, repeated rows and all kinds of blanks; a task holds one text for each pair."""
+    texts = ["a b a b", "a b a b", None, "", "one", "\u00e9t\u00e9\u00a0b\tb\nb", "x1y_z", "\u4f60\u597d, \u4e16\u754c!", "  a  b  ", "\U00010400a B"]
+    rows = [(i % 8, text) for i, text in enumerate(texts)] + [(None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = Counter()
+    for _, text in rows:
+        words = regex.findall(r"\p{L}+", text or "")
+        expected.update(zip(words, words[1:]))
+    counted = registry.shifted_pairs(spark, str(tmp_path))
+    assert counted.dtypes == [("prev", "string"), ("cur", "string"), ("n", "bigint")]
+    assert Counter({(r["prev"], r["cur"]): r["n"] for r in counted.collect()}) == expected
+    assert "Aggregate [pair#" in counted._jdf.queryExecution().optimizedPlan().toString()
